@@ -9,7 +9,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows that one Arrow step hands to numpy at a time; texts of any length stay whole.
 CHUNK_ROWS = 512
@@ -56,7 +55,3 @@ def hash_words(items: list[bytes]) -> np.ndarray:
     import xxhash
 
     return np.fromiter(map(xxhash.xxh64_intdigest, items), dtype=np.uint64, count=len(items))
-
-
-def popcount_sum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum(value).alias(value))
