@@ -98,7 +98,7 @@ RULES: dict[str, Callable[[Text], bool]] = {
     "few_words": lambda t: t.n_words < 50,
     "repeats": lambda t: 100 * t.n_repeat_words > 50 * t.n_words,
     "symbols": lambda t: 10 * t.n_symbols > t.n_words,
-    "repeated_lines": lambda t: 10 * t.n_dup_lines > 3 * len(t.lines),
+    "repeated_lines": lambda t: 10 * t.n_dup_lines > 6 * len(t.lines),
     "word_length": lambda t: not 2 * t.n_words <= t.word_chars <= 14 * t.n_words,
     "letters": lambda t: 100 * t.letters < 60 * t.word_chars,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtspark.llm import chat, packing, pii, quality, sharding, simhash, substring, toxicity
+from evtspark.llm import chat, decontaminate, html_text, packing, pii, quality, sharding, simhash, substring, toxicity
 from evtspark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "stop", "edits")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -55,7 +60,7 @@ m AS (
   FROM d LEFT JOIN cov USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 6 * n_lines
             OR NOT (word_chars BETWEEN 2 * n_words AND 14 * n_words) OR 100 * letters < 60 * word_chars) AS kept
 FROM m
 """
@@ -93,6 +98,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.main_text(table(spark, sf_dir, "pages"))
+    return texts.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -131,9 +141,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_html_extraction": op6_html_extraction,
     "op7_pii": op7_pii,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_sharding": op9_sharding,

@@ -118,20 +118,26 @@ def ball(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(WIDTH), r)], np.int64)
 
 
+def around(counts: np.ndarray, radius: int) -> np.ndarray:
+    """For each group and value, the fingerprints with a value in the ball around it."""
+    values = np.arange(1 << WIDTH)
+    return sum(counts[:, values ^ m] for m in ball(radius))
+
+
 def allocate(hist: np.ndarray, distance: int) -> list[int]:
     """Probe radius of each group (-1: not probed), with sum(radius + 1) = distance + 1.
 
     Dynamic program over groups; a group's cost at a radius is its estimated
-    number of candidates (every fingerprint against all in the ball around its
-    group value) plus the rows that are dealt out for it.
+    number of candidates plus the rows that are dealt out for it.
     """
-    n, values = hist[0].sum(), np.arange(1 << WIDTH)
-    cost = np.zeros((GROUPS, distance + 2))
-    for g in range(GROUPS):
-        for radius in range(min(distance, WIDTH) + 1):
-            masks = ball(radius)
-            around = sum(hist[g][values ^ m].astype(float) for m in masks)
-            cost[g, radius + 1] = (hist[g] * around).sum() / 50 + n * (len(masks) + (radius > 0))
+    n = hist[0].sum()
+    cost = np.full((GROUPS, distance + 2), np.inf)
+    cost[:, 0] = 0
+    for radius in range(min(distance, 6) + 1):
+        index, probe = radius // 2, radius - radius // 2
+        pairs = (around(hist, index).astype(float) * around(hist, probe)).sum(axis=1)
+        rows = len(ball(index)) + (len(ball(probe)) if radius % 2 else 0)
+        cost[:, radius + 1] = pairs / 100 + n * rows
     best = {0: (0.0, [])}
     for g in range(GROUPS):
         step: dict[int, tuple[float, list[int]]] = {}
@@ -148,12 +154,14 @@ def allocate(hist: np.ndarray, distance: int) -> list[int]:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], groups: list[list[int]], radii: list[int], tables: object) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, fp): the comparison cells that a fingerprint takes part in.
+    """Rows (key, cell, side, fp): the comparison cells that a fingerprint takes part in.
 
-    Without a radius, a bucket's blocks meet pairwise (side 3: both sides of one
-    block). With a radius, side 1 is the index and side 2 the probe.
+    Two values within radius r meet where the ball of r // 2 around one meets the
+    ball of r - r // 2 around the other. For even r both are the same rows, whose
+    blocks meet pairwise (side 3: both sides of one block); for odd r, side 1 is
+    the index and side 2 the probe.
     """
-    hist, probes = tables.value
+    index, probe = tables.value
     schema = pa.schema([("key", pa.int64()), ("cell", pa.int32()), ("side", pa.int8()), ("fp", pa.int64())])
     for batch in chunks(batches, 4096):
         fps = batch.column(0).to_numpy(zero_copy_only=False)
@@ -162,12 +170,11 @@ def _deal(batches: Iterator[pa.RecordBatch], groups: list[list[int]], radii: lis
         for g, radius in enumerate(radii):
             if radius < 0:
                 continue
-            sides = [(1, np.zeros(1, np.int64))] + [(2, ball(radius))] * (radius > 0)
+            sides = [(1, ball(radius // 2))] + [(2, ball(radius - radius // 2))] * (radius % 2)
             for side, masks in sides:
                 for mask in masks:
                     v = values[:, g] ^ mask
-                    own = -(-hist[g][v] // CELL)
-                    other = -(-probes[g][v] // CELL) if radius else own
+                    own, other = -(-index[g][v] // CELL), -(-probe[g][v] // CELL)
                     some = np.flatnonzero((own > 0) & (other > 0))
                     v, own, other = v[some], own[some], other[some]
                     blocks, copies = (own, other) if side == 1 else (other, own)
@@ -175,7 +182,7 @@ def _deal(batches: Iterator[pa.RecordBatch], groups: list[list[int]], radii: lis
                     row = np.repeat(np.arange(len(some)), copies)
                     to = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
                     b, o, c = block[row], own[row], other[row]
-                    if radius:
+                    if radius % 2:
                         cell, s = (b * c + to, 1) if side == 1 else (to * c + b, 2)
                         s = np.full(len(row), s)
                     else:  # block b meets every block; cell (low, high)
@@ -186,8 +193,29 @@ def _deal(batches: Iterator[pa.RecordBatch], groups: list[list[int]], radii: lis
                     )
 
 
-def _forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
-    """Links of a spanning forest of the verified pairs of whole cells, rows sorted by cell."""
+def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a minimum spanning forest: every part takes its lightest link out, until none is left."""
+    order = np.argsort(weight, kind="stable")
+    a, b, root, taken = a[order], b[order], np.arange(n), []
+    left = np.arange(len(a))
+    while len(left):
+        left = left[root[a[left]] != root[b[left]]]
+        ends = np.concatenate([root[a[left]], root[b[left]]])
+        least = np.full(n, len(a))
+        np.minimum.at(least, ends, np.concatenate([left, left]))
+        chosen = np.unique(least[least < len(a)])
+        taken.append(chosen)
+        root = local_roots(n, np.concatenate([a[chosen], np.arange(n)]), np.concatenate([b[chosen], root]))
+    took = np.concatenate(taken) if taken else np.empty(0, np.int64)
+    return a[took], b[took]
+
+
+def _forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int, nearest: bool) -> pa.RecordBatch:
+    """Links that join what the verified pairs of whole cells join, rows sorted by cell.
+
+    ``nearest``: links are such pairs themselves, the nearest ones; else each
+    fingerprint is linked with the first one that pairs lead to.
+    """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[starts, len(key)])
     end = np.repeat(starts + size, size)
@@ -197,16 +225,20 @@ def _forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) ->
         a, b = at, at + shift
         near = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= distance
         a, b = a[near], b[near]
-        cross = (side[a] != side[b]) | (side[a] == 3)
+        cross = ((side[a] != side[b]) | (side[a] == 3)) & (fp[a] != fp[b])
         left.append(a[cross])
         right.append(b[cross])
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    root = local_roots(len(fp), a, b)
-    linked = np.flatnonzero(root != np.arange(len(fp)))
-    return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], names=["u", "v"])
+    if nearest:
+        a, b = _nearest_forest(len(fp), a, b, np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)))
+    else:
+        root = local_roots(len(fp), a, b)
+        a = np.flatnonzero(root != np.arange(len(fp)))
+        b = root[a]
+    return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["u", "v"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], distance: int, nearest: bool) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted by cell; a cell that goes on in the next batch waits for it."""
     kept: list[np.ndarray] = []
     for batch in batches:
@@ -218,12 +250,12 @@ def _verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
         if whole:
             ready = np.concatenate([*kept[:-1], rows[:, :whole]], axis=1)
             kept = [rows[:, whole:]]
-            yield _forest(*ready, distance)
+            yield _forest(*ready, distance, nearest)
         elif kept[0][0, 0] != last:  # the batch is one cell and an older one waits
-            yield _forest(*np.concatenate(kept[:-1], axis=1), distance)
+            yield _forest(*np.concatenate(kept[:-1], axis=1), distance, nearest)
             kept = [rows]
     if kept:
-        yield _forest(*np.concatenate(kept, axis=1), distance)
+        yield _forest(*np.concatenate(kept, axis=1), distance, nearest)
 
 
 def _table(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -234,7 +266,7 @@ def _table(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return out.reshape(shape)
 
 
-def links(prints: DataFrame, distance: int) -> DataFrame:
+def links(prints: DataFrame, distance: int, nearest: bool = False) -> DataFrame:
     """``(u, v)``: links that connect the distinct fingerprints ``prints(fp)`` just as all pairs within ``distance`` would."""
     spark = prints.sparkSession
     both = _table(prints.mapInArrow(_cooccurrence, "cell long, n long"), (BITS, BITS))
@@ -242,30 +274,67 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
     groups = group_bits(both, n)
     hist = _table(prints.mapInArrow(partial(_histogram, groups=groups), "cell long, n long"), (GROUPS, 1 << WIDTH))
     radii = allocate(hist, distance)
-    probes, values = np.zeros_like(hist), np.arange(1 << WIDTH)
-    for g, radius in enumerate(radii):
-        for mask in ball(max(radius, 0)):
-            probes[g] += hist[g][values ^ mask]
-    tables = spark.sparkContext.broadcast((hist, probes))  # 2 x 4 x 65536 counts, whatever the corpus
+    index = np.stack([around(hist[g : g + 1], max(r, 0) // 2)[0] for g, r in enumerate(radii)])
+    probe = np.stack([around(hist[g : g + 1], max(r, 0) - max(r, 0) // 2)[0] for g, r in enumerate(radii)])
+    tables = spark.sparkContext.broadcast((index, probe))  # 2 x 4 x 65536 counts, whatever the corpus
     dealt = prints.mapInArrow(partial(_deal, groups=groups, radii=radii, tables=tables), "key long, cell int, side byte, fp long")
     cells = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return cells.mapInArrow(partial(_verify, distance=distance), "u long, v long")
+    return cells.mapInArrow(partial(_verify, distance=distance, nearest=nearest), "u long, v long")
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, 128):
+        sets = [np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+
 
+def similar(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """``pairs(u, v)`` whose texts have a Jaccard similarity of shingle sets of ``similarity`` or more.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
+    A fingerprint's text is that of its smallest id (ids are then unique).
+    """
+    nodes = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(distinct, "fp")
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(nodes, "id")
+    sets = stage(texts.select("fp", "text").mapInArrow(partial(_shingle_sets, width=width), "fp long, set array<long>"))
+    both = pairs.join(sets.withColumnsRenamed({"fp": "u", "set": "a"}), "u").join(sets.withColumnsRenamed({"fp": "v", "set": "b"}), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    union = F.size("a") + F.size("b") - common
+    return both.where((common >= similarity * union) | (union == 0)).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
     """``(id, fp, component)`` for each row of ``docs``.
 
     Rows are linked if their fingerprints differ in at most ``distance`` bits;
-    ``component`` is the smallest id that links reach. Null and empty texts have
-    fingerprint 0 and are linked like any other; repeated rows come back as often
-    as they went in; null ids are kept and never name a component unless it has
-    no other id. An empty table gives no rows; other columns are ignored.
+    ``component`` is the smallest id that links reach. With ``similarity``, of the
+    links the nearest that join a group are held against the texts, and those of
+    a lower Jaccard similarity of shingle sets are dropped; equal fingerprints
+    stay linked. Null and empty texts have fingerprint 0 and are linked like any
+    other; repeated rows come back as often as they went in; null ids are kept and
+    never name a component unless it has no other id. An empty table gives no
+    rows; other columns are ignored.
     """
     prints = stage(fingerprints(docs, id_col, text_col, width))
     distinct = stage(prints.groupBy("fp").agg(F.min("id").alias("id")))
-    roots = components(links(distinct.select("fp"), distance))
+    pairs = links(distinct.select("fp"), distance, nearest=similarity is not None)
+    if similarity is not None:
+        pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        pairs = similar(pairs, docs, distinct, id_col, text_col, width, similarity)
+    roots = components(pairs)
     linked = stage(distinct.join(roots.withColumnRenamed("node", "fp"), "fp"))
     least = linked.groupBy("root").agg(F.min("id").alias("component"))
     named = linked.join(least, "root").select("fp", "component")
     known = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "id").alias("component"))
     return prints.join(known, "fp").select("id", "fp", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 9, similarity: float = 0.8) -> DataFrame:
+    """One row of each near-duplicate class, that of the smallest id; of rows with that id, the first text. All columns stay.
+
+    Rows with a null id are kept: they cannot be told apart.
+    """
+    classes = near_duplicates(docs, id_col, text_col, width, distance, similarity)
+    gone = classes.where("id <> component").select(F.col("id").alias("_id")).distinct()
+    kept = docs.join(gone, docs[id_col].cast("long") == F.col("_id"), "left_anti")
+    unnamed = kept.where(F.col(id_col).isNull())
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(unnamed)
