@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(known, "fp").select("id", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 9, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 11, similarity: float = 0.8) -> DataFrame:
     """One row of each near-duplicate class, that of the smallest id; of rows with that id, the first text. All columns stay.
 
     Rows with a null id are kept: they cannot be told apart.
