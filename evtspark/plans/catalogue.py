@@ -1,5 +1,8 @@
 """All registered queries with the SQL that gives the same rows."""
 
-FLAGSHIP = "a3_psth"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from evtspark.plans import selection_plans, signal_plans, time_plans  # noqa: F401
+from evtspark.plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "j3_asof_nearest"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
