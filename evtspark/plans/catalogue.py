@@ -1,8 +1,8 @@
 """All registered queries with the SQL that gives the same rows."""
 
-from evtspark.plans import selection_plans, signal_plans, time_plans  # noqa: F401
+from evtspark.plans import selection_plans, signal_plans, summary_plans, time_plans  # noqa: F401
 from evtspark.plans.registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "j3_asof_nearest"
+FLAGSHIP = "a3_psth"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
