@@ -24,7 +24,7 @@ class Bits:
 
 
 class FMIndex:
-    """Index of ``text`` (numbers from 0) for patterns of up to 32 symbols.
+    """Index of ``text`` for patterns of up to 32 symbols over 1, 2, ...; it ends with 0, which parts texts and is in no pattern.
 
     Suffixes are sorted by their first 32 symbols, which is all that backward
     search of such patterns needs.

@@ -1,7 +1,7 @@
 """Main text of web pages by consensus of their host.
 
-Every page's containers are scored; pages vote with these scores for the
-container's generalised tag-class path, summed per host in Spark; each page is
+Every page's containers are scored; each page votes with the score for the
+generalised tag-class path of its best one, summed per host in Spark; each page is
 then extracted from the containers on its host's winning path, or from its own
 best one where the path is absent or holds much less.
 """
@@ -195,10 +195,8 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], float] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             _, containers = parse(page.as_py())
-            total = containers[0].good
-            for path in {n.path for n in containers if n.good and not n.skip}:
-                best_here = max(score(n, total) for n in containers if n.path == path)
-                sums[host, path] = sums.get((host, path), 0.0) + best_here
+            own = best(containers)
+            sums[host, own.path] = sums.get((host, own.path), 0.0) + score(own, containers[0].good)
         rows = [(h, p, s) for (h, p), s in sums.items() if s > 0]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["host", "path", "score"])
 
@@ -214,7 +212,7 @@ def host(url: F.Column) -> F.Column:
 
 
 def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, path)``: the container path with the largest sum of scores over the host's pages; ties go to the longer, then the first."""
+    """``(host, path)``: the path with the largest sum of votes of the host's pages; ties go to the longer, then the first."""
     rows = pages.select(host(pages[url_col].cast("string")).alias("host"), pages[html_col].cast("string").alias("html"))
     votes = rows.mapInArrow(_votes, "host string, path string, score double").groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"))
     order = F.struct(F.col("score"), F.length("path"), F.col("path"))

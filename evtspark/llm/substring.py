@@ -195,16 +195,14 @@ def repeats_in_shard(segments: list[tuple[int, int, int, list[bytes]]], window:
     order = sorted(range(len(segments)), key=lambda i: segments[i][:2])
     number: dict[bytes, int] = {}
     text, starts, rank, owner = [], [], [], []
-    at, places, last = 0, -1, None
+    at, places = 0, {}  # places in order; rows with one id share them
     for i in order:
         doc, start, n, own = segments[i]
         text += [number.setdefault(w, len(number) + 1) for w in own]
         text.append(0)
         for k in range(n):
-            if last != (doc, start + k):
-                places, last = places + 1, (doc, start + k)
             starts.append(at + k)
-            rank.append(places)
+            rank.append(places.setdefault((doc, start + k), len(places)))
             owner.append((i, k))
         at += len(own) + 1
     index = FMIndex(np.array(text, np.int64))
