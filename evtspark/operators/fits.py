@@ -37,8 +37,8 @@ def ridge_fit(design: DataFrame, counts: DataFrame, by: list[str], unit: str, al
     g = gram(design, by, fold).select(*keys, F.struct(F.lit("g").alias("k"), F.col("f1").alias("a"), F.col("f2").alias("b"), F.col("g").alias("v")).alias("e"))
     xy = design.join(counts, [*keys, "bin"]).groupBy(*keys, "feature", unit).agg(F.sum(F.col("value") * F.col("y")).alias("v"))
     xy = xy.select(*keys, F.struct(F.lit("x").alias("k"), F.col("feature").alias("a"), F.col(unit).cast("string").alias("b"), F.col("v").cast("double").alias("v")).alias("e"))
-    yy = counts.groupBy(*keys, unit).agg(F.sum(F.col("y") * F.col("y")).cast("double").alias("q"), F.sum("y").cast("double").alias("s"), F.count("*").cast("double").alias("n"))
-    parts = [yy.select(*keys, F.struct(F.lit(k).alias("k"), F.col(unit).cast("string").alias("a"), F.lit("").alias("b"), F.col(k).alias("v")).alias("e")) for k in ("q", "s", "n")]
+    yy = counts.groupBy(*keys, unit).agg(F.sum(F.col("y") * F.col("y")).cast("double").alias("_q"), F.sum("y").cast("double").alias("_s"), F.count("*").cast("double").alias("_n"))
+    parts = [yy.select(*keys, F.struct(F.lit(k).alias("k"), F.col(unit).cast("string").alias("a"), F.lit("").alias("b"), F.col(f"_{k}").alias("v")).alias("e")) for k in ("q", "s", "n")]
     rows = g.unionByName(xy)
     for p in parts:
         rows = rows.unionByName(p)
