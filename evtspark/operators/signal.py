@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evtspark.operators.timejoin import asof_join, peri_event_join
 
-START, NOW, END = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
+START = Window.unboundedPreceding
 
 
 def over(by: list[str], *order: str | Column):
@@ -56,7 +56,7 @@ def switch_points(df: DataFrame, by: list[str], order: list[str], cond: str, a:
     w, x = over(by, *order), F.coalesce(F.col(cond), F.lit(False)).cast("int")
     before = lambda n: F.sum(x).over(w.rowsBetween(-n, -1))
     rows_before = F.count(F.lit(1)).over(w.rowsBetween(START, -1))
-    rows_after = F.count(F.lit(1)).over(w.rowsBetween(0, END))
+    rows_after = F.count(F.lit(1)).over(Window.partitionBy(*by)) - rows_before
     ahead = lambda n: F.sum(x).over(w.rowsBetween(0, n - 1))
     down = (rows_before >= a) & (rows_after >= b) & (before(a) == a) & (ahead(b) == 0)
     up = (rows_before >= b) & (rows_after >= a) & (before(b) == 0) & (ahead(a) == a)

@@ -38,19 +38,18 @@ def asof_join(
     l_type = l_rows.schema["_l"].dataType
     r_rows = right.where(_time(F.col(on)).isNotNull()).select(*by, _time(F.col(on)).alias("_t"), F.lit(rank_right).alias("_k"), payload.alias("_r"), F.lit(None).cast(l_type).alias("_l"))
     both = l_rows.unionByName(r_rows).withColumn("_b", slot(F.col("_t")))
-    w = Window.partitionBy(*by, "_b").orderBy("_t", "_k")
-    seen = both.withColumns({
-        "_prev": F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_next": F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-    })
+    # two running frames, forwards and backwards: a frame that ends at the partition's end would be summed anew for every row
+    w, back_w = Window.partitionBy(*by, "_b").orderBy("_t", "_k"), Window.partitionBy(*by, "_b").orderBy(F.desc("_t"), F.desc("_k"))
+    running = (Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumns({"_prev": F.last("_r", True).over(w.rowsBetween(*running)), "_next": F.last("_r", True).over(back_w.rowsBetween(*running))})
     if bucket:
         edge = r_rows.withColumn("_b", slot(F.col("_t"))).groupBy(*by, "_b").agg(F.max_by("_r", "_t").alias("_last"), F.min_by("_r", "_t").alias("_first"))
         # a bucket without right rows still needs its neighbours'
         marks = l_rows.select(*by, slot(F.col("_t")).alias("_b")).distinct().join(edge, [*by, "_b"], "full")
-        over = Window.partitionBy(*by).orderBy("_b")
+        over, back_over = Window.partitionBy(*by).orderBy("_b"), Window.partitionBy(*by).orderBy(F.desc("_b"))
         marks = marks.select(
             *by, "_b", F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-            F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+            F.last("_first", True).over(back_over.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
         )
         seen = seen.join(marks, [*by, "_b"], "left").withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")})
     out = seen.where(F.col("_l").isNotNull())
