@@ -64,17 +64,24 @@ def last_days(catalog: DataFrame, n: int, now: str, col: str = "expDate") -> Dat
     return catalog.where(holds(F.datediff(F.to_date(F.lit(now)), F.to_date(F.col(col))) <= n))
 
 
-ALIASES = {"t": "multiSpaceWorld_checker_training", "p": "AVPassive_ckeckerboard_postactive", "s": "sparseNoise", "i": "imageWorld_AllInOne", "n": "spontaneousActivity"}
+#: Short names of protocols, and the protocol names that they stand for.
+ALIASES = {
+    "t": ["multiSpaceWorld_checker_training", "multiSpaceWorld_checker", "multiSpaceWorld", "multiSpaceSwitchWorld", "multiSpaceWorld_checker_training_block"],
+    "p": ["AVPassive_ckeckerboard_postactive", "AVPassive_checkerboard_extended"],
+    "s": ["spontaneousActivity"],
+    "i": ["imageWorld_AllInOne", "imageWorld_lefthemifield", "imageWorld2"],
+    "n": ["sparseNoise", "AP_sparseNoise"],
+}
 
 
-def select_protocol(catalog: DataFrame, spec: list[str], col: str = "expDef", regex: bool = True, aliases: dict[str, str] | None = None) -> DataFrame:
+def select_protocol(catalog: DataFrame, spec: list[str], col: str = "expDef", regex: bool = True, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
     """Rows whose protocol matches any of the patterns, or equals any of the (aliased) names without regard to case."""
     if regex:
         found = F.lit(False)
         for pattern in spec:
             found = found | F.col(col).rlike(pattern)
         return catalog.where(holds(found))
-    names = [(aliases or {}).get(s, s).lower() for s in spec]
+    names = [n.lower() for s in spec for n in aliases.get(s, [s])]
     return catalog.where(holds(F.lower(F.col(col)).isin(names)))
 
 
@@ -115,9 +122,9 @@ def region_3class(acronym: Column) -> Column:
     return F.when(superficial, "SCs").when(acronym.contains("SCi"), "SCi").when(acronym.contains("SCd"), "SCd").otherwise("nontarget")
 
 
-#: Limits of unit metrics: (metric, comparison that makes noise) and (metric, comparison that good units pass).
-NOISE = {"nPeaks": (">", 2), "nTroughs": (">", 1), "isSomatic": ("!=", 1), "spatialDecaySlope": (">", -0.003), "waveformDuration_peakTrough": ("outside", (100, 800)), "waveformBaselineFlatness": (">=", 0.3)}
-GOOD = {"nSpikes": (">", 300), "fractionRPVs_estimatedTauR": ("<=", 0.1), "rawAmplitude": (">", 20), "percentageSpikesMissing_gaussian": ("<=", 20), "signalToNoiseRatio": (">=", 0.1), "presenceRatio": (">=", 0.2)}
+#: Fixed values. Limits of unit metrics: (metric, comparison that makes noise) and (metric, comparison that good units pass).
+NOISE = {"nPeaks": (">", 2), "nTroughs": (">", 1), "isSomatic": ("!=", 1), "spatialDecaySlope": (">", -0.003), "waveformDuration_peakTrough": ("outside", (100, 800)), "waveformBaselineFlatness": (">", 0.3)}
+GOOD = {"nSpikes": (">=", 300), "fractionRPVs_estimatedTauR": ("<=", 0.1), "rawAmplitude": (">=", 20), "percentageSpikesMissing_gaussian": ("<=", 20), "signalToNoiseRatio": (">=", 0.1), "presenceRatio": (">=", 0.2)}
 
 
 def _test(metric: str, rule: tuple) -> Column:

@@ -81,7 +81,7 @@ def p3_select_protocol_regex(spark, d):
 
 @query(f"WITH {CAT} SELECT o_orderkey FROM cat WHERE lower(expDef) IN ('1-urgent', '5-low')")
 def p3_select_protocol_alias(spark, d):
-    return _keys(sel.select_protocol(catalog(spark, d), ["u", "5-LOW"], regex=False, aliases={"u": "1-URGENT"}))
+    return _keys(sel.select_protocol(catalog(spark, d), ["u", "5-LOW"], regex=False, aliases={"u": ["1-URGENT"]}))
 
 
 @query(f"WITH {CAT} SELECT o_orderkey FROM cat WHERE expNum IN (1, 3)")
