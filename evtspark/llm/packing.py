@@ -11,8 +11,9 @@ document its place.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,48 +21,122 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evtspark.llm.common import chunks, stage, words
+from evtspark.llm.common import chunks, stage
 
-#: Words whose ids a worker keeps; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps, from task to task; beyond it the memory starts anew.
+CACHE_WORDS = 500_000
+#: A word with an id of its own that parts the words of one call; words that hold it are encoded alone.
+PART = "~"
 PIECES = "id long, piece int, start long, length int, ids binary, part int, nth long"
 
 
 class Encoder:
-    """Token ids of whole texts, word by word.
+    """Token ids of whole texts, word by word, for byte-level tokenizers that drop case and white space and keep runs of letters whole.
 
-    The tokenizer's pieces never span white space, so a text's ids are its words'
-    ids in order; frequent words are encoded once per worker.
+    Pieces of such a tokenizer never span white space, so a text's ids are those
+    of its words in order. Each new word is encoded once, many to a call; a comma
+    or full stop after a letter is a piece of its own.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        import os
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    def encode(self, text: str | None) -> np.ndarray:
-        own = words(text)
-        new = [w for w in dict.fromkeys(own) if w not in self.known]
-        if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = list(dict.fromkeys(own))
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, "<u4")) for w, c in zip(new, coded, strict=True))
-        return np.concatenate([self.known[w] for w in own]) if own else np.empty(0, "<u4")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
+        self.tokenizer = Tokenizer.from_file(path)
+        # for words of letters alone the search for pieces is left out, for ASCII ones the normal form and byte letters too
+        self.letters, self.ascii = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii.normalizer = normalizers.Sequence([])
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.part = self.ids(PART)
+        self.known: dict[str, bytes] = {"": b""}
+        self.ends = {c: self.ids(c) for c in (",", ".")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Words of letters alone are one piece each, so their ids can be told apart in a call; others are parted by PART."""
+        tailed, letters, others = [], [], []
+        for w in new:
+            core, end = w[:-1], self.ends.get(w[-1])
+            if end and core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                tailed.append((w, core, end))
+                if core not in self.known:
+                    letters.append(core)
+            elif w.isalpha() and (w.isascii() or w.lower().isalpha()):
+                letters.append(w)
+            elif PART in w or "<|" in w:
+                self.known[w] = self.ids(w)
+            else:
+                others.append(w)
+        letters = list(dict.fromkeys(letters))
+        plain, wide = [w for w in letters if w.isascii()], [w for w in letters if not w.isascii()]
+        for words, parted, tokenizer in ((plain, False, self.ascii), (wide, False, self.letters), (others, True, self.tokenizer)):
+            calls = [words[k : k + 500] for k in range(0, len(words), 500)]
+            coded = tokenizer.encode_batch_fast([(f" {PART} " if parted else " ").join(c) for c in calls], add_special_tokens=False)
+            for call, code in zip(calls, coded, strict=True):
+                self.store(call, np.array(code.ids, "<u4"), parted)
+        for w, core, end in tailed:
+            self.known[w] = self.known[core] + end
+
+    def store(self, words: list[str], ids: np.ndarray, parted: bool) -> None:
+        if parted:
+            cut = np.flatnonzero(ids == np.frombuffer(self.part, "<u4")[0])
+            first, last = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), 4 * len(ids)]
+        else:
+            last = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+            first = [0, *last[:-1]]
+        if len(first) != len(words):
+            self.known.update((w, self.ids(w)) for w in words)
+            return
+        raw = ids.tobytes()
+        self.known.update((w, raw[a:z]) for w, a, z in zip(words, first, last, strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 32-bit ids of all texts in a row, and where each text's begin (one more than texts).
+
+        ASCII case, which the tokenizer drops anyway, goes first. Arrow numbers the
+        words, so all that follows is done once for each different word.
+        """
+        own = [(t.as_py() or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        words = pa.array(list(itertools.chain.from_iterable(own)), pa.binary()).dictionary_encode()
+        if len(self.known) > CACHE_WORDS:
+            self.known = {"": b""}
+        distinct, codes = [w.decode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()], words.indices.to_numpy(zero_copy_only=False)
+        self.learn([w for w in distinct if w not in self.known])
+        coded = [self.known[w] for w in distinct]
+        pool, size = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        begin, n = (np.cumsum(size) - size)[codes], size[codes]
+        after = np.cumsum(n)
+        ids = pool[np.repeat(begin - after + n, n) + np.arange(n.sum())]
+        return ids, np.r_[0, after][np.r_[0, np.cumsum([len(o) for o in own])].astype(np.int64)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process."""
+    return Encoder(path)
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, seen, part = Encoder(path), np.zeros(seq_len + 1, np.int64), TaskContext.get().partitionId()
-    for batch in chunks(batches, 256):
+    seen, part, end = np.zeros(seq_len + 1, np.int64), TaskContext.get().partitionId(), np.uint32(end_id).astype("<u4").tobytes()
+    for batch in chunks(batches, 2048):
         out: list[tuple] = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.append(encoder.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
-            for k, start in enumerate(range(0, len(ids), seq_len)):
-                piece = ids[start : start + seq_len]
-                out.append((doc, k, start, len(piece), piece.tobytes(), part, int(seen[len(piece)])))
-                seen[len(piece)] += 1
+        flat, begins = encoder(path).encode(batch.column(1))
+        for k_doc, doc in enumerate(batch.column(0).to_pylist()):
+            ids = flat[begins[k_doc] : begins[k_doc + 1]].tobytes() + end
+            for k, start in enumerate(range(0, len(ids) // 4, seq_len)):
+                piece = ids[4 * start : 4 * (start + seq_len)]
+                n = len(piece) // 4
+                out.append((doc, k, start, n, piece, part, int(seen[n])))
+                seen[n] += 1
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
         names = ["id", "piece", "start", "length", "ids", "part", "nth"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
