@@ -27,6 +27,8 @@ MINI = 4
 CHUNK_DOCS, CHUNK_WORDS = 4096, 2_000_000
 #: Words of an index, and segments of one minimiser beyond which its windows are dealt out singly.
 SHARD_WORDS, HOT_SEGMENTS = 500_000, 20_000
+#: Hot windows whose copies are settled in the mapper, before the exchange.
+CHUNK_WINDOWS = 1_000_000
 LOW = -(1 << 63)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 BASE = 0x9FB21C651E98DF25
@@ -170,8 +172,28 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, seg, lead = s["key"][-1], s["seg"][-1], (lead_doc[-1], lead_start[-1])
 
 
+PARTS = "hot boolean, later boolean, deal long, key long, seg long, doc long, tag int, start int, n int, words binary"
+KINDS = (pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+NAMES = [x.split()[0] for x in PARTS.split(", ")]
+
+
+def _windows(digests: list[bytes], place: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    """Windows of hot segments as segments of their own, named by 128 bits of their words; copies within the chunk are marked."""
+    name = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    doc, tag, start = (np.array(c, t) for c, t in zip(zip(*place, strict=True), (np.int64, np.int32, np.int32), strict=True))
+    s = {"key": name[:, 0], "seg": name[:, 1], "doc": doc, "tag": tag, "start": start, "n": np.ones(len(doc), np.int32)}
+    s, later, _ = _settle(s)
+    deal = np.where(later, _mix((s["doc"] + s["start"]).view(np.uint64)).view(np.int64), s["key"])
+    none = pa.nulls(len(doc), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), bool)), pa.array(later), pa.array(deal), *map(pa.array, s.values()), none], names=NAMES)
+
+
 def _extract(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The words of asked-for segments; hot ones window by window."""
+    """The words of asked-for segments; of hot ones the windows, by hash alone."""
+    import xxhash
+
+    digests: list[bytes] = []
+    place: list[tuple[int, int, int]] = []
     for batch in batches:
         rows: list[tuple] = []
         for doc, tag, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -179,13 +201,17 @@ def _extract(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             for s in wanted:
                 if s["hot"]:
                     for k in range(s["start"], s["start"] + s["n"]):
-                        part = b" ".join(own[k : k + window])
-                        rows.append((int(hash_words([part]).view(np.int64)[0]), doc, tag, k, 1, part))
+                        digests.append(xxhash.xxh3_128_digest(b" ".join(own[k : k + window])))
+                        place.append((doc, tag, k))
+                        if len(digests) >= CHUNK_WINDOWS:
+                            yield _windows(digests, place)
+                            digests, place = [], []
                 else:
-                    rows.append((s["key"], doc, tag, s["start"], s["n"], b" ".join(own[s["start"] : s["start"] + s["n"] + window - 1])))
+                    rows.append((False, False, s["key"], s["key"], 0, doc, tag, s["start"], s["n"], b" ".join(own[s["start"] : s["start"] + s["n"] + window - 1])))
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "doc", "tag", "start", "n", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
+    if digests:
+        yield _windows(digests, place)
 
 
 def repeats_in_shard(segments: list[tuple[int, int, int, list[bytes]]], window: int) -> list[np.ndarray]:
@@ -218,8 +244,27 @@ def repeats_in_shard(segments: list[tuple[int, int, int, list[bytes]]], window:
     return found
 
 
+def _copies(batch: pa.RecordBatch, lead: tuple | None) -> tuple[pa.RecordBatch, tuple | None]:
+    """Of hot windows sorted by (later, key, seg, doc, start), those that are not the first of their words.
+
+    ``lead``: key, seg, doc and start of the first window of the words that the last batch ended with.
+    """
+    later, key, seg, doc, tag, start, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 3, 4, 5, 6, 7, 8))
+    out = later.astype(bool)
+    at = np.flatnonzero(~out)
+    if len(at):
+        k, s, d, b = key[at], seg[at], doc[at], start[at]
+        old = lead is not None and lead[:2] == (k[0], s[0])
+        new = np.r_[not old, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
+        of = np.cumsum(new) - 1 + old
+        first_doc, first_start = (np.r_[np.array([lead[i]] if old else [], np.int64), x[new]][of] for i, x in ((2, d), (3, b)))
+        out[at] = (d != first_doc) | (b != first_start)
+        lead = (k[-1], s[-1], first_doc[-1], first_start[-1])
+    return _batch({"doc": doc[out], "tag": tag[out], "start": start[out], "n": n[out]}), lead
+
+
 def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Reads segments sorted by (shard, key); indexes and searches a few keys' worth of words at a time."""
+    """Reads segments sorted by (hot, key); streams hot windows, indexes and searches a few keys' worth of words of the rest at a time."""
     held: list[tuple] = []
     size, last = 0, None
 
@@ -233,8 +278,14 @@ def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "tag", "start", "n"])
 
+    lead = None
     for batch in batches:
-        for key, doc, tag, start, n, part in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+        hot = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+        if hot.any():
+            copies, lead = _copies(batch.filter(pa.array(hot)), lead)
+            yield copies
+            batch = batch.filter(pa.array(~hot))
+        for key, doc, tag, start, n, part in zip(*(batch.column(i).to_pylist() for i in (3, 5, 6, 7, 8, 9)), strict=True):
             if size >= SHARD_WORDS and key != last:
                 yield from flush()
                 held, size = [], 0
@@ -279,8 +330,8 @@ def repeats(rows: DataFrame, window: int) -> DataFrame:
     wanted = open_.join(hot, "key", "left").select("doc", "tag", F.struct("start", "n", "key", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
     wanted = wanted.groupBy("doc", "tag").agg(F.collect_list("s").alias("wanted"))
     asked = rows.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "wanted")
-    parts = asked.mapInArrow(partial(_extract, window=window), "key long, doc long, tag int, start int, n int, words binary")
-    shards = parts.repartition("key").sortWithinPartitions("key")
+    parts = asked.mapInArrow(partial(_extract, window=window), PARTS)
+    shards = parts.repartition("deal").sortWithinPartitions("hot", "later", "key", "seg", "doc", "start")
     found = shards.mapInArrow(partial(_search, window=window), "doc long, tag int, start int, n int")
     return copies.union(found)
 

@@ -197,6 +197,29 @@ def test_substring_planted(spark, monkeypatch, hot):
     assert sorted([tuple(r) for r in got], key=key) == sorted(plain_repeats(rows, 20), key=key)
 
 
+def test_substring_hot_windows_are_not_held(spark, monkeypatch):
+    """Copies of a passage in ever new surroundings: a search that may hold no word of them still marks all but the first."""
+    monkeypatch.setattr(substring, "HOT_SEGMENTS", 5)
+    monkeypatch.setattr(substring, "CHUNK_WINDOWS", 64)
+    passage = [f"p{k}" for k in range(40)]
+    rows = [(d, " ".join([f"a{d}x{k}" for k in range(25)] + passage + [f"b{d}x{k}" for k in range(25)])) for d in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = []
+    search = substring.repeats_in_shard
+    monkeypatch.setattr(substring, "repeats_in_shard", lambda segments, window: sizes.append(len(segments)) or search(segments, window))
+    asked = df.select(F.col("doc_id").alias("doc"), F.lit(0).alias("tag"), "text", F.array(F.struct(F.lit(6).alias("start"), F.lit(59).alias("n"), F.lit(1).cast("long").alias("key"), F.lit(True).alias("hot"))).alias("wanted"))
+    parts = [b for p in range(4) for b in substring._extract(iter(asked.where(F.col("doc") % 4 == p).toArrow().to_batches()), 20)]
+    table = pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in ("hot", "later", "key", "seg", "doc", "start")])
+    assert sum(not x for x in table.column("later").to_pylist()) < table.num_rows
+    found = []
+    for size in (7, 1000):
+        found.append(sorted(x for b in substring._search(iter(table.combine_chunks().to_batches(size)), 20) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)))
+    assert found[0] == found[1] == sorted((d, 0, 25 + k, 1) for d in range(1, 400) for k in range(21))
+    assert not sizes
+    key = lambda r: (str(r[0]), r[3], r[2])
+    assert sorted([tuple(r) for r in substring.remove_repeats(df).collect()], key=key) == sorted(plain_repeats(rows, 20), key=key)
+
+
 def test_meet_across_batches():
     """The streaming pass over sorted segments gives the same rows however they are cut into batches."""
     import pyarrow as pa
