@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evtspark.llm.common import chunks, stage, words
@@ -26,6 +26,8 @@ BITS = 64
 GROUPS, WIDTH = 4, 16
 #: Fingerprints of one side of a comparison cell; larger buckets are cut into such cells.
 CELL = 2048
+#: The id that null ids are read as where a text's row is sought.
+LOW = -(1 << 63)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -53,8 +55,9 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        prints = [fingerprint(shingle_hashes(x.as_py(), width)) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["id", "fp"])
+        *own, texts = batch.columns
+        prints = [fingerprint(shingle_hashes(x.as_py(), width)) for x in texts]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(prints, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -154,19 +157,21 @@ def allocate(hist: np.ndarray, distance: int) -> list[int]:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], groups: list[list[int]], radii: list[int], tables: object) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cell, side, fp): the comparison cells that a fingerprint takes part in.
+    """Rows (key, cell, side, fp, further columns): the comparison cells that a fingerprint takes part in.
 
     Two values within radius r meet where the ball of r // 2 around one meets the
     ball of r - r // 2 around the other. For even r both are the same rows, whose
     blocks meet pairwise (side 3: both sides of one block); for odd r, side 1 is
-    the index and side 2 the probe.
+    the index and side 2 the probe. Blocks are dealt by the last column, which
+    tells the rows apart.
     """
     index, probe = tables.value
-    schema = pa.schema([("key", pa.int64()), ("cell", pa.int32()), ("side", pa.int8()), ("fp", pa.int64())])
     for batch in chunks(batches, 4096):
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
+        own_cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        names = ["key", "cell", "side", *batch.schema.names]
+        fps = own_cols[0]
         values = group_values(fps, groups)
-        mixed = (fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        mixed = (own_cols[-1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         for g, radius in enumerate(radii):
             if radius < 0:
                 continue
@@ -189,7 +194,7 @@ def _deal(batches: Iterator[pa.RecordBatch], groups: list[list[int]], radii: lis
                         cell = np.minimum(b, to) * o + np.maximum(b, to)
                         s = np.where(b == to, 3, np.where(b < to, 1, 2))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((g << WIDTH) | v[row]), pa.array(cell.astype(np.int32)), pa.array(s.astype(np.int8)), pa.array(fps[some][row])], schema=schema
+                        [pa.array((g << WIDTH) | v[row]), pa.array(cell.astype(np.int32)), pa.array(s.astype(np.int8)), *(pa.array(x[some][row]) for x in own_cols)], names=names
                     )
 
 
@@ -210,12 +215,14 @@ def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) ->
     return a[took], b[took]
 
 
-def _forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int, nearest: bool) -> pa.RecordBatch:
-    """Links that join what the verified pairs of whole cells join, rows sorted by cell.
+def _forest(rows: np.ndarray, distance: int, mode: str) -> pa.RecordBatch:
+    """Links that join what the verified pairs of whole cells join, rows (key, side, fp, further columns) sorted by cell.
 
-    ``nearest``: links are such pairs themselves, the nearest ones; else each
-    fingerprint is linked with the first one that pairs lead to.
+    ``first``: each fingerprint is linked with the first one that pairs lead to.
+    ``nearest``: links are such pairs of nodes (the last column) themselves, the
+    nearest ones. ``all``: all pairs whose ``part`` (the column before) differs.
     """
+    key, side, fp, node = rows[0], rows[1], rows[2], rows[-1]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[starts, len(key)])
     end = np.repeat(starts + size, size)
@@ -225,37 +232,39 @@ def _forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int, ne
         a, b = at, at + shift
         near = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= distance
         a, b = a[near], b[near]
-        cross = ((side[a] != side[b]) | (side[a] == 3)) & (fp[a] != fp[b])
+        cross = ((side[a] != side[b]) | (side[a] == 3)) & (node[a] != node[b])
+        if mode == "all":
+            cross &= rows[-2][a] != rows[-2][b]
         left.append(a[cross])
         right.append(b[cross])
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    if nearest:
+    if mode == "nearest":
         a, b = _nearest_forest(len(fp), a, b, np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)))
-    else:
+    elif mode == "first":
         root = local_roots(len(fp), a, b)
         a = np.flatnonzero(root != np.arange(len(fp)))
         b = root[a]
-    return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], distance: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], distance: int, mode: str) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted by cell; a cell that goes on in the next batch waits for it."""
     kept: list[np.ndarray] = []
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        rows = np.stack([cols[0] << 24 | cols[1], cols[2].astype(np.int64), cols[3]])
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = np.stack([cols[0] << 24 | cols[1], cols[2].astype(np.int64), *cols[3:]])
         kept.append(rows)
         last = rows[0, -1]
         whole = int(np.searchsorted(rows[0], last)) if rows[0, 0] != last else 0
         if whole:
             ready = np.concatenate([*kept[:-1], rows[:, :whole]], axis=1)
             kept = [rows[:, whole:]]
-            yield _forest(*ready, distance, nearest)
+            yield _forest(ready, distance, mode)
         elif kept[0][0, 0] != last:  # the batch is one cell and an older one waits
-            yield _forest(*np.concatenate(kept[:-1], axis=1), distance, nearest)
+            yield _forest(np.concatenate(kept[:-1], axis=1), distance, mode)
             kept = [rows]
     if kept:
-        yield _forest(*np.concatenate(kept, axis=1), distance, nearest)
+        yield _forest(np.concatenate(kept, axis=1), distance, mode)
 
 
 def _table(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -267,60 +276,108 @@ def _table(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
 
 
 def links(prints: DataFrame, distance: int, nearest: bool = False) -> DataFrame:
-    """``(u, v)``: links that connect the distinct fingerprints ``prints(fp)`` just as all pairs within ``distance`` would."""
+    """``(u, v)``: links between rows of ``prints`` whose fingerprints are within ``distance``.
+
+    ``prints(fp)``, distinct: links connect the fingerprints just as all such pairs
+    would; with ``nearest`` they are such pairs themselves. ``prints(fp, node)``: the
+    same between nodes. ``prints(fp, part, node)``: all pairs of nodes of different
+    parts, a pair as often as it is met.
+    """
+    mode = "all" if len(prints.columns) > 2 else "nearest" if nearest else "first"
+    further = "".join(f", {c} long" for c in prints.columns[1:])
     spark = prints.sparkSession
-    both = _table(prints.mapInArrow(_cooccurrence, "cell long, n long"), (BITS, BITS))
+    only = prints.select("fp")
+    both = _table(only.mapInArrow(_cooccurrence, "cell long, n long"), (BITS, BITS))
     n = prints.count()
     groups = group_bits(both, n)
-    hist = _table(prints.mapInArrow(partial(_histogram, groups=groups), "cell long, n long"), (GROUPS, 1 << WIDTH))
+    hist = _table(only.mapInArrow(partial(_histogram, groups=groups), "cell long, n long"), (GROUPS, 1 << WIDTH))
     radii = allocate(hist, distance)
     index = np.stack([around(hist[g : g + 1], max(r, 0) // 2)[0] for g, r in enumerate(radii)])
     probe = np.stack([around(hist[g : g + 1], max(r, 0) - max(r, 0) // 2)[0] for g, r in enumerate(radii)])
     tables = spark.sparkContext.broadcast((index, probe))  # 2 x 4 x 65536 counts, whatever the corpus
-    dealt = prints.mapInArrow(partial(_deal, groups=groups, radii=radii, tables=tables), "key long, cell int, side byte, fp long")
+    dealt = prints.mapInArrow(partial(_deal, groups=groups, radii=radii, tables=tables), "key long, cell int, side byte, fp long" + further)
     cells = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return cells.mapInArrow(partial(_verify, distance=distance, nearest=nearest), "u long, v long")
+    return cells.mapInArrow(partial(_verify, distance=distance, mode=mode), "u long, v long")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, 128):
         sets = [np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
 
-def similar(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """``pairs(u, v)`` whose texts have a Jaccard similarity of shingle sets of ``similarity`` or more.
+def _hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
-    A fingerprint's text is that of its smallest id (ids are then unique).
-    """
-    nodes = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(distinct, "fp")
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(nodes, "id")
-    sets = stage(texts.select("fp", "text").mapInArrow(partial(_shingle_sets, width=width), "fp long, set array<long>"))
-    both = pairs.join(sets.withColumnsRenamed({"fp": "u", "set": "a"}), "u").join(sets.withColumnsRenamed({"fp": "v", "set": "b"}), "v")
+
+def _key(col: Column) -> Column:
+    return F.coalesce(col.cast("long"), F.lit(LOW))
+
+
+def shingle_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(node, set)`` for ``nodes(node, key)``: the shingles of the text with hash ``node``, read from the row with id ``key``."""
+    text = docs[text_col].cast("string")
+    rows = docs.select(_hash(text).alias("node"), _key(docs[id_col]).alias("key"), text.alias("text")).join(nodes, ["node", "key"]).select("node", "text")
+    return stage(rows.mapInArrow(partial(_shingle_sets, width=width), "node long, set array<long>").dropDuplicates(["node"]))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs(u, v)`` whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    both = pairs.join(sets.withColumnsRenamed({"node": "u", "set": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "set": "b"}), "v")
     common = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - common
     return both.where((common >= similarity * union) | (union == 0)).select("u", "v")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def similar_links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, distance: int, similarity: float) -> DataFrame:
+    """``(u, v)``: links that join the texts ``texts(fp, node, key)`` just as all similar pairs within ``distance`` would.
+
+    First the nearest links that join a group are held against the texts. What they
+    leave apart is met again, and every candidate pair between two parts is held
+    against the texts, so that no pair is passed over for a lighter one that fails.
+    """
+    first = stage(_ordered(links(texts.select("fp", "node"), distance, nearest=True)))
+    met = first.select(F.col("u").alias("node")).union(first.select("v")).distinct()
+    known = stage(texts.join(met, "node"))
+    sets = shingle_sets(known.select("node", "key"), docs, id_col, text_col, width)
+    good = stage(similar(first, sets, similarity))
+    parts = stage(known.join(components(good), "node", "left").select("fp", F.coalesce("root", F.xxhash64("node")).alias("part"), "node"))
+    rest = _ordered(links(parts, distance)).join(first, ["u", "v"], "left_anti")
+    return stage(good.union(similar(stage(rest), sets, similarity)))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int, similarity: float) -> DataFrame:
+    """``(id, hash, fp, part, component)`` per row; part names the class, component is its smallest id."""
+    rows = docs.select(docs[id_col].cast("long").alias("id"), _hash(docs[text_col]).alias("hash"), docs[text_col].cast("string").alias("text"))
+    prints = stage(rows.mapInArrow(partial(_fingerprint_batches, width=width), "id long, hash long, fp long"))
+    texts = stage(prints.groupBy(F.col("hash").alias("node"), "fp").agg(F.min(_key(F.col("id"))).alias("key"), F.min("id").alias("id")))
+    roots = components(similar_links(texts.select("fp", "node", "key"), docs, id_col, text_col, width, distance, similarity))
+    # the root of a linked text is the hash of a linked node, as that of a text alone is its own
+    linked = stage(texts.join(roots, "node", "left").select("node", F.coalesce("root", F.xxhash64("node")).alias("part"), "id"))
+    named = linked.join(linked.groupBy("part").agg(F.min("id").alias("component")), "part").select(F.col("node").alias("hash"), "part", "component")
+    return prints.join(named, "hash").select("id", "hash", "fp", "part", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
     """``(id, fp, component)`` for each row of ``docs``.
 
     Rows are linked if their fingerprints differ in at most ``distance`` bits;
-    ``component`` is the smallest id that links reach. With ``similarity``, of the
-    links the nearest that join a group are held against the texts, and those of
-    a lower Jaccard similarity of shingle sets are dropped; equal fingerprints
-    stay linked. Null and empty texts have fingerprint 0 and are linked like any
-    other; repeated rows come back as often as they went in; null ids are kept and
-    never name a component unless it has no other id. An empty table gives no
-    rows; other columns are ignored.
+    ``component`` is the smallest id that links reach. With ``similarity``, rows are
+    linked if besides their texts have that Jaccard similarity of shingle sets,
+    those of equal fingerprints too. Null and empty texts have fingerprint 0 and are
+    linked like any other; repeated rows come back as often as they went in; null
+    ids are kept and never name a component unless it has no other id. An empty
+    table gives no rows; other columns are ignored.
     """
+    if similarity is not None:
+        return _classes(docs, id_col, text_col, width, distance, similarity).select("id", "fp", "component")
     prints = stage(fingerprints(docs, id_col, text_col, width))
     distinct = stage(prints.groupBy("fp").agg(F.min("id").alias("id")))
-    pairs = links(distinct.select("fp"), distance, nearest=similarity is not None)
-    if similarity is not None:
-        pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        pairs = similar(pairs, docs, distinct, id_col, text_col, width, similarity)
-    roots = components(pairs)
+    roots = components(links(distinct.select("fp"), distance))
     linked = stage(distinct.join(roots.withColumnRenamed("node", "fp"), "fp"))
     least = linked.groupBy("root").agg(F.min("id").alias("component"))
     named = linked.join(least, "root").select("fp", "component")
@@ -329,12 +386,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 11, similarity: float = 0.8) -> DataFrame:
-    """One row of each near-duplicate class, that of the smallest id; of rows with that id, the first text. All columns stay.
+    """One row of each near-duplicate class, that of the smallest id; of rows of the class with that id, the first text. All columns stay.
 
-    Rows with a null id are kept: they cannot be told apart.
+    Rows with one id and texts of different classes are told apart. Rows with a
+    null id are kept: they cannot be told apart.
     """
-    classes = near_duplicates(docs, id_col, text_col, width, distance, similarity)
-    gone = classes.where("id <> component").select(F.col("id").alias("_id")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("_id"), "left_anti")
-    unnamed = kept.where(F.col(id_col).isNull())
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(unnamed)
+    classes = _classes(docs, id_col, text_col, width, distance, similarity).where("id = component")
+    first = classes.groupBy("part", "id").agg(F.min("hash").alias("_hash")).select(F.col("id").alias("_id"), "_hash")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("_text", _hash(docs[text_col]))
+    kept = named.join(first, (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates([id_col, "_text"]).drop("_text").unionByName(docs.where(F.col(id_col).isNull()))

@@ -97,6 +97,31 @@ def test_similarity_keeps_near_copies_only(spark, doc_rows):
             assert any(j in kept and len(shingles[i] & shingles[j]) >= 0.75 * len(shingles[i] | shingles[j]) for j, _ in rows if j != i)
 
 
+def test_similarity_tests_every_candidate(spark):
+    """A-B and B-C are the nearest pairs and not similar, A-C is; D has A's fingerprint and nothing of its text, E has both nearly."""
+    common, own = [f"w{k}" for k in range(85)], lambda name: [f"{name}{k}" for k in range(10)]
+    texts = {
+        "A": [*common, *own("ac")[:5], *own("a")], "C": [*common, *own("ac")[:5], *own("c")], "B": [*common, *own("b"), *own("bb")[:5]],
+        "D": [f"d{k}" for k in range(100)], "E": [*common, *own("ac")[:5], *own("a")[:9], "e"],
+    }
+    prints = {"A": 0, "B": 0b11111, "C": 0b1111 << 5 | 0b111, "D": 0, "E": 0}
+    df = spark.createDataFrame([(k, " ".join(texts[n]), n) for k, n in enumerate("ABCDE")], "doc_id long, text string, name string")
+    nodes = {r.name: r.node for r in df.select("name", F.xxhash64("text").alias("node")).collect()}
+    table = spark.createDataFrame([(prints[n], nodes[n], k) for k, n in enumerate("ABCDE")], "fp long, node long, key long")
+    from evtspark.llm.components import components
+
+    root = {r.node: r.root for r in components(simhash.similar_links(table, df, "doc_id", "text", 1, 11, 0.8)).collect()}
+    assert root[nodes["A"]] == root[nodes["C"]] == root[nodes["E"]]
+    assert nodes["B"] not in root and nodes["D"] not in root
+
+
+def test_near_copies_go_by_id_and_text(spark):
+    one, two = (" ".join(f"{p}{k}" for k in range(60)) for p in "xy")
+    df = spark.createDataFrame([(7, one), (7, two), (8, two), (9, one), (9, one), (None, one)], "doc_id long, text string")
+    got = simhash.drop_near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(7, one), (7, two), (0, one)])
+
+
 # -- 2 Decontamination -----------------------------------------------------------------------------
 
 
