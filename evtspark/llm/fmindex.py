@@ -75,19 +75,22 @@ class FMIndex:
         both = self.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         return first + both[: len(symbol)], first + both[len(symbol) :]
 
-    def repeated(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, low, high): which ``text[start : start + length]`` occur at least twice, and their suffix intervals.
+    def statistics(self, starts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, low, high) for each ``text[start : start + limit]``: the matching statistic of its end, and that match's suffix interval.
 
-        Backward search from the last symbol; a pattern leaves as soon as its
-        matching statistic ends below ``length``: its suffix occurs only once.
+        The statistic is the largest number of last symbols, up to ``limit``, that
+        occur at least twice in the text. Backward search takes one symbol a step
+        from the end; a row leaves when one more symbol would make it unique.
         """
-        rows = np.arange(len(starts))
+        length, rows = np.zeros(len(starts), np.int64), np.arange(len(starts))
         low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.text), np.int64)
-        for k in range(length - 1, -1, -1):
-            low, high = self.extend(self.text[starts[rows] + k], low, high)
-            more = high - low > 1
-            rows, low, high = rows[more], low[more], high[more]
-        return rows, low, high
+        for k in range(limit - 1, -1, -1):
+            low_, high_ = self.extend(self.text[starts[rows] + k], low[rows], high[rows])
+            more = high_ - low_ > 1
+            rows = rows[more]
+            low[rows], high[rows] = low_[more], high_[more]
+            length[rows] += 1
+        return length, low, high
 
     def least(self, value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Smallest ``value[position]`` over the occurrences in each interval."""

@@ -3,10 +3,13 @@
 A window is ``window`` consecutive words. Its minimiser, the run of MINI words
 with the least hash, is the same wherever the window stands, so windows are dealt
 out to shards by it: neighbouring windows with one minimiser form a segment.
-Segments whose minimiser occurs once hold no repeat. Of equal segments all but the
-first are repeats as a whole. What is left, distinct segments with a common
-minimiser, goes to its shard, where an FM-index over the segments is searched
-backwards for every window and reports the intervals of those found more than once.
+Segments whose minimiser occurs once hold no repeat. Segments with the same words
+(known by two 64-bit hashes, of the minimiser and of all words) are pre-aggregated
+before they meet: all but the first are repeats as a whole, so that a passage with
+millions of copies costs its shard one segment. The distinct segments with a common
+minimiser stream through their shard, where an FM-index over them is searched
+backwards: the matching statistic of every window's end tells how many of its last
+words occur elsewhere, and windows that reach the threshold are reported.
 """
 
 from __future__ import annotations
@@ -20,60 +23,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evtspark.llm.common import hash_words, stage, words
+from evtspark.llm.common import BASE, INVERSE, ODD, hash_texts, mix, powers, stage, words
 
 MINI = 4
 #: Rows whose equal segments are settled in the mapper, before the exchange.
-CHUNK_DOCS, CHUNK_WORDS = 4096, 2_000_000
+CHUNK_DOCS, CHUNK_BYTES = 8192, 24 << 20
 #: Words of an index, and segments of one minimiser beyond which its windows are dealt out singly.
 SHARD_WORDS, HOT_SEGMENTS = 500_000, 20_000
 #: Hot windows whose copies are settled in the mapper, before the exchange.
 CHUNK_WINDOWS = 1_000_000
+#: Hot minimisers, each with over HOT_SEGMENTS rows of its own, that are sent to every task; with more, they are joined by key.
+BROADCAST_ROWS = 100_000
 LOW = -(1 << 63)
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-BASE = 0x9FB21C651E98DF25
-INVERSE = pow(BASE, -1, 1 << 64)
 SEGMENT = "key long, seg long, doc long, tag int, start int, n int"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.multiply.accumulate(p)
-
-
-def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, list[bytes]]]]:
-    """Chunks of (doc, tag, words)."""
+def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Chunks of (doc, tag, text)."""
     held, n = [], 0
     for batch in batches:
         for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            own = words(text.as_py())
-            held.append((doc, tag, own))
-            n += len(own)
-            if len(held) >= CHUNK_DOCS or n >= CHUNK_WORDS:
+            held.append((doc, tag, (text.as_py() or "").encode("utf-8", "surrogatepass")))
+            n += len(held[-1][2])
+            if len(held) >= CHUNK_DOCS or n >= CHUNK_BYTES:
                 yield held
                 held, n = [], 0
     if held:
         yield held
 
 
-def _split(docs: list[tuple[int, int, list[bytes]]], window: int) -> dict[str, np.ndarray]:
+def _split(docs: list[tuple[int, int, bytes]], window: int) -> dict[str, np.ndarray]:
     """Segments of whole documents: minimiser, content hash, place and number of windows."""
-    docs = [d for d in docs if len(d[2]) >= window]
-    length = np.array([len(d[2]) for d in docs], np.int64)
-    h = hash_words(list(itertools.chain.from_iterable(d[2] for d in docs)))
+    h, length = hash_texts([d[2] for d in docs])
+    long = length >= window
+    h, length, docs = h[np.repeat(long, length)], length[long], [d for d, keep in zip(docs, long.tolist(), strict=True) if keep]
     n = len(h)
     if not n:
         return {}
     gram = np.zeros(n, np.uint64)
     for k in range(MINI):
         gram[: n - k] += h[k:] * ODD[k]
-    gram = _mix(gram)
+    gram = mix(gram)
     # least gram of each window by doubling, the leftmost of equals
     at, span, wide = np.arange(n), 1, window - MINI + 1
     while span < wide:
@@ -89,9 +79,9 @@ def _split(docs: list[tuple[int, int, list[bytes]]], window: int) -> dict[str, n
     new = np.r_[True, (at[rows][1:] != at[rows][:-1]) | (doc[rows][1:] != doc[rows][:-1])]
     begin = rows[new]
     count = np.diff(np.r_[np.flatnonzero(new), len(rows)])
-    up = np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(BASE, n), dtype=np.uint64)])
-    content = (up[begin + count + window - 1] - up[begin]) * _powers(INVERSE, n)[begin]
-    content = _mix(content + count.astype(np.uint64) * ODD[5])
+    up = np.concatenate([[np.uint64(0)], np.cumsum(h * powers(BASE, n), dtype=np.uint64)])
+    content = (up[begin + count + window - 1] - up[begin]) * powers(INVERSE, n)[begin]
+    content = mix(content + count.astype(np.uint64) * ODD[5])
     d = doc[begin]
     return {
         "key": gram[at[begin]].view(np.int64), "seg": content.view(np.int64), "doc": np.array([x[0] for x in docs], np.int64)[d],
@@ -113,14 +103,26 @@ def _batch(s: dict[str, np.ndarray], **more: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], names=list(cols))
 
 
+def _runs(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Segments that follow on one another in a document, as one."""
+    order = np.lexsort((s["start"], s["tag"], s["doc"]))
+    doc, tag, start, n = (s[c][order] for c in ("doc", "tag", "start", "n"))
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1] + n[:-1])]
+    at = np.flatnonzero(new)
+    none = np.zeros(len(at), np.int64)
+    return {"key": mix((doc[at] + start[at]).view(np.uint64)).view(np.int64), "seg": none, "doc": doc[at], "tag": tag[at], "start": start[at], "n": np.add.reduceat(n, at).astype(np.int32)}
+
+
 def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Segments of the input; copies within a chunk are marked and need no meeting by key."""
+    """Segments of the input; copies within a chunk are marked, joined to runs and need no meeting: any key does for them."""
     for docs in _docs(batches):
         s = _split(docs, window)
         if s:
             s, later, _ = _settle(s)
-            deal = np.where(later, _mix((s["doc"] + s["start"]).view(np.uint64)).view(np.int64), s["key"])
-            yield _batch(s, later=later, deal=deal)
+            if later.any():
+                runs = _runs({k: v[later] for k, v in s.items()})
+                yield _batch(runs, later=np.ones(len(runs["doc"]), bool))
+            yield _batch({k: v[~later] for k, v in s.items()}, later=np.zeros((~later).sum(), bool))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,7 @@ def _windows(digests: list[bytes], place: list[tuple[int, int, int]]) -> pa.Reco
     doc, tag, start = (np.array(c, t) for c, t in zip(zip(*place, strict=True), (np.int64, np.int32, np.int32), strict=True))
     s = {"key": name[:, 0], "seg": name[:, 1], "doc": doc, "tag": tag, "start": start, "n": np.ones(len(doc), np.int32)}
     s, later, _ = _settle(s)
-    deal = np.where(later, _mix((s["doc"] + s["start"]).view(np.uint64)).view(np.int64), s["key"])
+    deal = np.where(later, mix((s["doc"] + s["start"]).view(np.uint64)).view(np.int64), s["key"])
     none = pa.nulls(len(doc), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), bool)), pa.array(later), pa.array(deal), *map(pa.array, s.values()), none], names=NAMES)
 
@@ -235,8 +237,9 @@ def repeats_in_shard(segments: list[tuple[int, int, int, list[bytes]]], window:
     starts_, rank_ = np.array(starts, np.int64), np.array(rank, np.int64)
     order_of = np.full(len(text), len(rank_), np.int64)
     order_of[starts_] = rank_
-    rows, low, high = index.repeated(starts_, window)
-    earlier = rows[index.least(order_of, low, high) < rank_[rows]]
+    length, low, high = index.statistics(starts_, window)
+    rows = np.flatnonzero(length >= window)
+    earlier = rows[index.least(order_of, low[rows], high[rows]) < rank_[rows]]
     found = [np.zeros(s[2], bool) for s in segments]
     for r in earlier.tolist():
         i, k = owner[r]
@@ -311,23 +314,29 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
                 n_words.append(len(own))
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join(itertools.compress(own, ~gone)).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
+            cols = [part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "n_words", "n_removed", "kept"])
 
 
-def _tag(text: Column) -> Column:
-    """Tells rows with one id and different texts apart."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, tag, text)``: the id, null as the least number, and 31 bits of the text's hash, which tell rows with one id apart; null ids have a negative tag."""
+    text, ident = docs[text_col].cast("string"), docs[id_col].cast("long")
+    tag = F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    return docs.select(F.coalesce(ident, F.lit(LOW)).alias("doc"), F.when(ident.isNull(), -1 - tag).otherwise(tag).alias("tag"), text.alias("text"))
 
 
 def repeats(rows: DataFrame, window: int) -> DataFrame:
     """``(doc, tag, start, n)``: runs of windows of ``rows(doc, tag, text)`` whose words start earlier."""
-    cut = rows.mapInArrow(partial(_segments, window=window), SEGMENT + ", later boolean, deal long")
-    met = cut.repartition("deal").sortWithinPartitions("key", "seg", "doc", "start").drop("deal")
+    met = rows.mapInArrow(partial(_segments, window=window), SEGMENT + ", later boolean").repartition("key").sortWithinPartitions("key", "seg", "doc", "start")
     met = stage(met.mapInArrow(_meet, SEGMENT + ", later boolean"))
-    copies = met.where("later").select("doc", "tag", "start", "n")
-    open_ = met.where("not later")
-    hot = open_.groupBy("key").count().where(F.col("count") > HOT_SEGMENTS).select("key", F.lit(True).alias("hot"))
-    wanted = open_.join(hot, "key", "left").select("doc", "tag", F.struct("start", "n", "key", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
+    copies, open_ = met.where("later").select("doc", "tag", "start", "n"), met.where("not later")
+    hot = stage(open_.groupBy("key").count().where(F.col("count") > HOT_SEGMENTS).select("key", F.lit(True).alias("hot")))
+    n_hot = hot.count()
+    if n_hot:
+        open_ = open_.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "key", "left")
+    else:
+        open_ = open_.withColumn("hot", F.lit(False))
+    wanted = open_.select("doc", "tag", F.struct("start", "n", "key", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
     wanted = wanted.groupBy("doc", "tag").agg(F.collect_list("s").alias("wanted"))
     asked = rows.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "wanted")
     parts = asked.mapInArrow(partial(_extract, window=window), PARTS)
@@ -345,9 +354,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     count as one document, so repeated rows do not remove one another. An empty
     table gives no rows; other columns are ignored.
     """
-    text = docs[text_col].cast("string")
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LOW)).alias("doc"), _tag(text).alias("tag"), text.alias("text"))
-    marks = repeats(rows, window).distinct().groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    own = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(LOW)).alias("doc"), _tag(text).alias("tag"), text.alias("text"))
-    joined = own.join(marks, ["doc", "tag"], "left").select("id", "doc", "text", "marks")
-    return joined.mapInArrow(partial(_cut, window=window), "id long, n_words long, n_removed long, kept string")
+    rows = _numbered(docs, id_col, text_col)  # both joins take the same columns, so that the texts are exchanged once
+    marks = repeats(rows, window).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    joined = rows.join(marks, ["doc", "tag"], "left").select("doc", "tag", "text", "marks")
+    cut = joined.mapInArrow(partial(_cut, window=window), "doc long, tag int, n_words long, n_removed long, kept string")
+    return cut.select(F.when(F.col("tag") >= 0, F.col("doc")).alias("id"), "n_words", "n_removed", "kept")

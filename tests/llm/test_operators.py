@@ -141,10 +141,10 @@ def test_leaks_with_edits(spark, doc_rows):
     items = {r.item_id: r.text for r in bench.collect()}
     vocabulary = " ".join(t or "" for _, t in doc_rows[:50]).split()
     rows, planted = [], {}
-    for k in range(120):
+    for k in range(300):  # every item at the limit of its edits
         item = rng.choice(sorted(items))
         w = items[item].split()
-        for _ in range(rng.randint(0, len(w) // 5)):
+        for _ in range(len(decontaminate.tokens(items[item])) // 5):
             p, kind = rng.randrange(len(w)), rng.random()
             w[p : p + (kind < 0.66)] = [] if kind < 0.33 else [rng.choice(vocabulary)]
         body = rng.choices(vocabulary, k=rng.randint(0, 300))
@@ -162,6 +162,36 @@ def test_leaks_with_edits(spark, doc_rows):
         assert edit(decontaminate.tokens(items[i]), part) == r.edits <= len(items[i].split()) // 5
 
 
+def test_leaks_come_from_shared_buckets(doc_rows):
+    """An index whose buckets hold nothing finds nothing; every occurrence is reported; texts do not run into one another."""
+    rng = random.Random(2)
+    vocabulary = " ".join(t or "" for _, t in doc_rows[:50]).split()
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate((1, 3, 7, 15, 40, 100, 400))]
+    long = [t for _, t in items[3:]]
+    texts = [" ".join([long[k % 4], *rng.choices(vocabulary, k=30), long[(k + 1) % 4], long[k % 4]]) for k in range(8)]
+    half = long[1].split()
+    texts += [" ".join(half[:20]), None, " ".join(half[20:]), ""]
+    index = decontaminate.Index(items)
+    found = [m for m in index.matches(texts) if m[1] > 2]
+    assert sorted(m[:2] for m in found) == sorted((k, 3 + j % 4) for k in range(8) for j in (k, k + 1, k)) and all(m[4] == 0 for m in found)
+    assert {m[1] for m in index.matches([items[0][1], items[1][1], items[2][1]])} >= {0, 1, 2}
+    index.some[:] = False
+    assert index.matches(texts) == []
+
+
+def test_occurrences_hold_against_edit_distance():
+    rng = random.Random(3)
+    for _ in range(200):
+        item, region = (np.array(rng.choices(range(4), k=n), np.uint64) for n in (rng.randint(3, 8), rng.randint(0, 20)))
+        most, got = 2, decontaminate.occurrences(item, region, 2)
+        best = {(a, z): edit(item.tolist(), region[a:z].tolist()) for a in range(len(region)) for z in range(a + 1, len(region) + 1)}
+        assert all(best[a, z] == e <= most for e, a, z in got)
+        assert all(x[2] <= y[1] for x, y in zip(got, got[1:]))
+        exact = {k for k, e in best.items() if e == 0}
+        assert all(any(a < z2 and a2 < z for _, a2, z2 in got) for a, z in exact)
+        assert min(best.values(), default=9) > most or min(e for e, _, _ in got) == min(best.values())
+
+
 def test_leaks_odd(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, ""), (4, "no id at all")], "item_id long, text string")
     got = decontaminate.leaks(odd, bench).collect()
@@ -269,7 +299,12 @@ def test_fm_index():
     text = np.append(rng.integers(1, 6, 499), 0)
     index = FMIndex(text)
     starts = np.arange(0, 490)
-    rows, low, high = index.repeated(starts, 4)
+    length, low, high = index.statistics(starts, 4)
+    for k in starts.tolist():
+        ends = [[j for j in range(500 - m) if (text[j : j + m] == text[k + 4 - m : k + 4]).all()] for m in range(1, 5)]
+        assert length[k] == sum(len(e) > 1 for e in ends)
+    rows = np.flatnonzero(length == 4)
+    low, high = low[rows], high[rows]
     places = {k: [j for j in range(497) if (text[j : j + 4] == text[k : k + 4]).all()] for k in starts.tolist()}
     assert rows.tolist() == [k for k in starts.tolist() if len(places[k]) > 1]
     assert (high - low).tolist() == [len(places[k]) for k in rows.tolist()]
