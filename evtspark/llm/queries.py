@@ -106,12 +106,14 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    say = lambda spans: F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
-    base = say(F.col("base"))
-    terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["stop"].cast("string")))
+    say = lambda spans, kind: F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["stop"].cast("string")))
+    base, secrets = (say(F.col(c), lambda s: s["kind"]) for c in ("base", "secrets"))
+    terms = say(F.col("terms"), lambda s: F.lit("term"))
     return found.select(
         F.col("id").alias("doc_id"), *(count(k) for k in pii.KINDS),
-        F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"),
+        F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, secrets, terms), ",").alias("spans"),
+        F.size("secrets").cast("long").alias("n_secret"), F.size("terms").cast("long").alias("n_term"),
+        (F.size("base") + F.size("secrets") + F.size("terms")).cast("long").alias("n_spans"),
     )
 
 
