@@ -56,12 +56,16 @@ m AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
-         len(l) AS n_lines, length(regexp_replace(text, '\P{L}', '', 'g')) AS letters
+         len(l) AS n_lines, length(regexp_replace(text, '\P{L}', '', 'g')) AS letters,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*(- |\* |•)'))) AS n_bullets,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipses,
+         coalesce(list_max(map_values(list_aggregate(w, 'histogram'))), 0) AS n_top
   FROM d LEFT JOIN cov USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 6 * n_lines
-            OR NOT (word_chars BETWEEN 2 * n_words AND 14 * n_words) OR 100 * letters < 60 * word_chars) AS kept
+            OR NOT (word_chars BETWEEN 2 * n_words AND 14 * n_words) OR 100 * letters < 60 * word_chars
+            OR 10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines OR 10 * n_top > 3 * n_words) AS kept
 FROM m
 """
 

@@ -22,6 +22,8 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 WORD = re.compile(r"[^\W_]+")
 CACHE_WORDS = 500_000
+#: The bias where there was nothing to learn from.
+UNKNOWN = -35.0
 
 
 class Features:
@@ -76,6 +78,8 @@ def fit(examples: list[tuple[float, np.ndarray]], epochs: int = EPOCHS) -> tuple
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     examples = [(float(y), np.asarray(at, np.int64)) for b in batches for y, at in zip(b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False), strict=True)]
+    if not examples:
+        return
     bias, at, w = fit(examples)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[bias, w])], names=["at", "w"])
 
@@ -89,7 +93,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
     """Weights learnt from at most ``max_train`` labelled rows that are not held out.
 
     Rows with a null id or label are not learnt from; of rows with the same id the
-    label is the largest. Features are made in parallel; the bounded sample is
+    label is the largest. Without any row to learn from nothing is known to be
+    toxic: all scores are near 0 and ``keep`` keeps every row. Features are made in parallel; the bounded sample is
     then passed through one task, in the order of a hash of the id.
     """
     mark = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label"))
@@ -101,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
     one = made.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", F.xxhash64("at"))
     got = one.mapInArrow(_train, "at long, w double").toArrow()
     at, w = got.column("at").to_numpy(), got.column("w").to_numpy()
-    bias = float(w[at < 0][0]) if (at < 0).any() else 0.0
+    bias = float(w[at < 0][0]) if (at < 0).any() else UNKNOWN
     return {"bias": bias, "at": at[at >= 0], "w": w[at >= 0]}
 
 
