@@ -354,6 +354,59 @@ def test_html_page():
     assert html_text.extract("<p>x<script>never closed", None) == "x" and html_text.extract("a <!-- b", None) == "a"
 
 
+def test_html_names_only_tip_the_balance():
+    text = "Words of the article that are long enough to count as its text. " * 3
+    same = " ".join(text.split())
+    for shell in ('<div class="page has-sidebar">%s</div>', '<div class="post comments-open">%s</div>', '<div id="left-rail-layout">%s</div>', '<div class="side-effects"><p>%s</div>', '<main><section id="related-work">%s</section></main>', '<div class="content sidebar">%s</div>'):
+        assert html_text.extract(f"<body><div class=sidebar>Side</div>{shell % text}</body>" if "content" not in shell else f"<body>{shell % text}</body>", None) == same
+    long = "A reader's comment that is longer than the article itself. " * 20
+    assert html_text.extract(f"<body><article><p>{text}</article><div class=comment-list><p>{long}</div></body>", None) == same
+
+
+def test_html_votes_of_all_containers(spark):
+    """Containers that are no page's best vote as well, and their sums decide."""
+    page = '<body><div class="wrap"><div class="story"><p>%s</p></div><div class="notes"><p>%s</p></div></div></body>'
+    text = "The story goes on and on for some time. " * 5
+    rows = [(k, f"http://h.example/{k}", page % (text, "some notes " * k)) for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    votes = pa.Table.from_batches(list(html_text._votes(iter(df.select(html_text.host(F.col("url")), "html").toArrow().to_batches())))).to_pylist()
+    sums = {}
+    for v in votes:
+        sums[v["path"]] = sums.get(v["path"], 0) + v["score"]
+    assert len(sums) >= 3
+    got = html_text.winning_paths(df).first()
+    assert got.path == max(sums, key=sums.get) and abs(got.score - max(sums.values())) < 1e-5
+
+
+def test_html_given_pages(spark):
+    """Every page of the small table against its template read by a plain pattern: the blocks of its article."""
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    want = {}
+    for r in rows:
+        inner = re.search(r"<article>(.*)</article>", r.html or "", re.S)
+        blocks = re.sub(r"<(?!/?b>)[^>]*>", "\0", re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "", inner[1] if inner else "")).split("\0")
+        import html
+
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        want[r.page_id] = " ".join(b for b in blocks if b)
+    got = {r.page_id: r.text for r in queries.op6_html_extraction(spark, DATA).collect()}
+    assert got == want
+
+
+def test_html_deep_and_broken_pages():
+    """Time and memory in proportion to the page: 50,000 open elements, five megabytes after an open quote, tags that never end."""
+    import time
+
+    began = time.time()
+    deep = "<div class=a><b>" * 50_000 + "text at the bottom" + "<p>x" * 1000
+    assert "text at the bottom" in html_text.extract(deep, None)
+    quote = '<p title="never closed>' + "<p class='x'>word</p><a href=\"x>y</a>" * 140_000
+    assert len(quote) > 5_000_000 and "word" in html_text.extract(quote, None)
+    assert html_text.extract("<p>kept" + "<a href='x" * 100_000, None) == "kept"
+    assert html_text.extract("<ul>" + "<li><i>" * 50_000 + "end", None).endswith("end")
+    assert time.time() - began < 60
+
+
 def test_html_consensus_overrides_a_page(spark):
     """A page with one long stray block follows its host's path."""
     good = "<body><div class=main><p>%s</p></div><div class=extra><p>%s</p></div></body>"
