@@ -32,6 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or _own_dir()).rstrip("/")
 
 
+#: Folders of the steps written and not discarded so far.
+WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders whose rows nothing will read again."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a step as Parquet in the shared folder and read it back.
 
@@ -41,6 +55,7 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/steps/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,6 +27,8 @@ from evtspark.llm.common import chunks, stage
 CACHE_WORDS = 500_000
 #: A word with an id of its own that parts the words of one call; words that hold it are encoded alone.
 PART = "~"
+#: Rows (length, task, number before) that are sent to every task; with more, the pieces are joined with them by an exchange.
+BROADCAST_ROWS = 2_000_000
 PIECES = "id long, piece int, start long, length int, ids binary, part int, nth long"
 
 
@@ -200,19 +202,18 @@ def layout(found: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 def _place(batches: Iterator[pa.RecordBatch], runs: object) -> Iterator[pa.RecordBatch]:
     r = runs.value
-    base = int(r["rank"].max(initial=0)) + 1
     for batch in batches:
-        length, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 3))
+        length, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 5))
         # runs are sorted by (length, rank)
         start, stop = np.searchsorted(r["length"], length, "left"), np.searchsorted(r["length"], length, "right")
-        key = np.minimum(rank, base - 1)
         at = np.empty(len(length), np.int64)
-        for n in np.unique(length):
-            own = np.flatnonzero(length == n)
-            a, z = start[own[0]], stop[own[0]]
-            at[own] = a + np.searchsorted(r["rank"][a:z], key[own], "right") - 1
+        order = np.argsort(length, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            if len(own):
+                a, z = start[own[0]], stop[own[0]]
+                at[own] = a + np.searchsorted(r["rank"][a:z], rank[own], "right") - 1
         seq = r["seq"][at] + rank - r["rank"][at]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(seq), pa.array(r["offset"][at])], names=["length", "part", "nth", "sequence_id", "offset"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(seq), pa.array(r["offset"][at])], names=["id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
 
 def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,16 +229,15 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     pieces = stage(rows.mapInArrow(partial(_tokenise, path=tokenizer_path, seq_len=seq_len, end_id=end_id), PIECES))
     per_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    per_part = per_part.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    per_part = stage(per_part.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
     counts = np.zeros(seq_len + 1, np.int64)
     for length, n in per_part.groupBy("length").agg(F.sum("n")).collect():  # at most seq_len rows
         counts[length] = n
     runs = docs.sparkSession.sparkContext.broadcast(layout(patterns(counts)))
-    narrow = pieces.select("length", "part", "nth").join(per_part.select("length", "part", "before"), ["length", "part"])
-    narrow = narrow.select("length", "part", "nth", (F.col("nth") + F.col("before")).alias("rank"))
-    placed = narrow.mapInArrow(partial(_place, runs=runs), "length int, part int, nth long, sequence_id long, offset long")
-    out = pieces.join(placed, ["part", "length", "nth"])
-    return out.select("id", "piece", "start", "length", "ids", "sequence_id", "offset")
+    begins = per_part.select("length", "part", "before")
+    begins = F.broadcast(begins) if per_part.count() <= BROADCAST_ROWS else begins
+    ranked = pieces.join(begins, ["length", "part"]).select("id", "piece", "start", "length", "ids", (F.col("nth") + F.col("before")).alias("rank"))
+    return ranked.mapInArrow(partial(_place, runs=runs), "id long, piece int, start long, length int, ids binary, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -115,6 +115,22 @@ def test_similarity_tests_every_candidate(spark):
     assert nodes["B"] not in root and nodes["D"] not in root
 
 
+def test_similar_pairs_are_not_left_standing(spark, docs, doc_rows):
+    """Brute force over all pairs of the small table, at the distance that the pipeline runs."""
+    rows = [(i, t) for i, t in doc_rows if t]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, width=5, distance=11, similarity=0.8).select("doc_id").collect()}
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    holders = {}
+    for i, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    met = {(a, b) for own in holders.values() if len(own) <= 200 for k, a in enumerate(own) for b in own[k + 1 :]}
+    pairs = [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 50 and sum(a in kept and b in kept for a, b in pairs) <= 0.02 * len(pairs)
+    for i in sets.keys() - kept:  # nothing goes without a similar text
+        assert any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets if j != i)
+
+
 def test_near_copies_go_by_id_and_text(spark):
     one, two = (" ".join(f"{p}{k}" for k in range(60)) for p in "xy")
     df = spark.createDataFrame([(7, one), (7, two), (8, two), (9, one), (9, one), (None, one)], "doc_id long, text string")
