@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtspark.llm import decontaminate, packing, pii, simhash, toxicity
-from evtspark.llm.common import shared_dir, table
+from evtspark.llm.common import WRITTEN, discard, shared_dir, table
 from evtspark.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more go; the model is learnt from the labelled documents given."""
+    """Documents that score 0.3 or more go; the model is learnt from the labelled documents given. Without labels all stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep(docs, model, threshold=0.3)
 
@@ -56,12 +56,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again by the next.
+
+    A stage's own steps and its input go as soon as its output is written; what the
+    last stage wrote is read by whoever takes its rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
+    base = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
+        steps = len(WRITTEN)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}/{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs.write.parquet(f"{base}/{name}")
+            docs = spark.read.parquet(f"{base}/{name}")
+            discard(spark, WRITTEN[steps:] + before)
+            before = [f"{base}/{name}"]
     return docs
