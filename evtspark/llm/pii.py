@@ -189,7 +189,7 @@ def disclosing(rows: DataFrame, spans: DataFrame, min_texts: int = MIN_TEXTS, di
     near = mentions.select("hash", "m", "entity", F.explode("near").alias("term")).distinct()
     pairs = pairs.unionByName(near.groupBy("entity", "term").agg(*sums))
     entities = kinds.select("m", "entity").unionByName(mentions.select("hash", "m", "entity").distinct().drop("hash"))
-    entities = entities.groupBy("entity").agg(F.sum("m").alias("n_e"))
+    entities = stage(entities.groupBy("entity").agg(F.sum("m").alias("n_e")))  # of known size: few entities go to every task
     information = F.log(F.lit(n_docs) / F.col("n_e"))
     # no term gives away more than all of an entity's information
     hopeful = pairs.where(F.col("texts") >= min_texts).join(entities, "entity").where((information > 0) & (2 * F.col("texts") * information >= evidence))
