@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtspark.staging import stage
+
 
 def is_member(a: DataFrame, b: DataFrame, value: str, pos: str) -> DataFrame:
     """``a`` with ``position``: the first position of its value in ``b``, null if there is none."""
@@ -152,22 +154,22 @@ def concat_trials(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def greedy_match(corr: DataFrame, by: list[str], a: str, b: str, score: str) -> DataFrame:
-    """(by, a, b, step): pairs taken by falling score, each unit once, per key (a pair of days) in one grouped map.
+    """(by, a, b, step): pairs taken by falling score, each unit once per key (a pair of days); of equal scores the smaller a, then b.
 
-    A key's pairs are those of two days' units of one recording.
+    A pair that is the best left of both its units is one that the greedy order
+    takes, whatever comes before, so all such pairs are taken in one round. Rounds
+    are windows and joins by unit; their number grows slowly with a key's units.
+    Missing scores go.
     """
-    schema = ", ".join([*(f"{k} {corr.schema[k].dataType.simpleString()}" for k in by), f"{a} long", f"{b} long", "step int"])
-
-    def pick(pdf):
-        import pandas as pd
-
-        used_a, used_b, out = set(), set(), []
-        for r in pdf.sort_values([score, a, b], ascending=[False, True, True]).itertuples():
-            x, y = getattr(r, a), getattr(r, b)
-            if x not in used_a and y not in used_b:
-                used_a.add(x)
-                used_b.add(y)
-                out.append((*(getattr(r, k) for k in by), x, y, len(out)))
-        return pd.DataFrame(out, columns=[*by, a, b, "step"])
-
-    return corr.groupBy(*by).applyInPandas(pick, schema)
+    left = stage(corr.where(F.col(score).isNotNull() & ~F.isnan(score)).select(*by, a, b, score))
+    taken = None
+    while not left.isEmpty():
+        order = (F.desc(score), F.asc(a), F.asc(b))
+        ranked = left.withColumn("_a", F.row_number().over(Window.partitionBy(*by, a).orderBy(*order)))
+        ranked = ranked.withColumn("_b", F.row_number().over(Window.partitionBy(*by, b).orderBy(*order)))
+        now = stage(ranked.where("_a = 1 AND _b = 1").select(*by, a, b, score))
+        taken = now if taken is None else taken.unionByName(now)
+        left = stage(left.join(now.select(*by, a), [*by, a], "left_anti").join(now.select(*by, b), [*by, b], "left_anti").select(*by, a, b, score))
+    taken = left if taken is None else taken
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), a, b)) - 1
+    return taken.select(*by, a, b, place.alias("step"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evtspark.staging import stage
+
 
 def closure(regions: DataFrame, ident: str = "id", parent: str = "parent") -> DataFrame:
     """(ancestor, descendant, depth), each region also its own ancestor at depth 0; joined level by level to the fixed point."""
@@ -14,6 +16,7 @@ def closure(regions: DataFrame, ident: str = "id", parent: str = "parent") -> Da
     while True:
         depth += 1
         step = step.withColumnRenamed("descendant", "_m").join(edges.select(F.col("ancestor").alias("_m"), "descendant"), "_m").select("ancestor", "descendant", F.lit(depth).alias("depth"))
+        step = stage(step)  # a level is computed once, for its rows and for the next one
         if step.isEmpty():
             return out
         out = out.unionByName(step)

@@ -6,8 +6,13 @@ so that results do not depend on partitioning and other engines can repeat them.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from evtspark.operators.timejoin import peri_event_join
 
@@ -128,17 +133,45 @@ def resample_latencies(df: DataFrame, by: list[str], row: str, latency: str, n_s
     return tried.withColumn("_p", place).where("_p < 0.5").groupBy(*by, "shuffle").agg(F.avg(latency).alias("mean"))
 
 
+@F.pandas_udf(DoubleType())
+def beta_share(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
+    """The regularised incomplete beta function I_x(a, b), by its continued fraction; a few rows, one per group."""
+    a_, b_, x_ = (np.asarray(v, float) for v in (a, b, x))
+    flip = x_ > (a_ + 1) / (a_ + b_ + 2)
+    p, q, y = np.where(flip, b_, a_), np.where(flip, a_, b_), np.where(flip, 1 - x_, x_)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log_gamma = np.vectorize(math.lgamma, otypes=[float])
+        safe = lambda v: np.where(np.isfinite(v) & (v > 0), v, 1.0)
+        front = np.exp(log_gamma(safe(p + q)) - log_gamma(safe(p)) - log_gamma(safe(q)) + p * np.log(y) + q * np.log1p(-y)) / p
+        c, d = np.ones_like(y), 1 / (1 - (p + q) * y / (p + 1))
+        value = d.copy()
+        for m in range(1, 300):
+            even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+            for step in (even, odd):
+                d, c = 1 / (1 + step * d), 1 + step / c
+                value = value * c * d
+        part = front * value
+    part = np.where(y == 0, 0.0, part)
+    out = np.where(flip, 1 - part, part)
+    return pd.Series(np.where(np.isfinite(out), np.clip(out, 0, 1), np.nan))
+
+
 def paired_t(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """(by, t, n): paired t statistic with n - 1 degrees of freedom."""
+    """(by, t, n, p): paired t statistic with n - 1 degrees of freedom, and its two-sided p; null without spread."""
     d = F.col(a) - F.col(b)
-    return df.groupBy(*by).agg(F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count(d))).alias("t"), F.count(d).alias("n"))
+    out = df.groupBy(*by).agg(F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count(d))).alias("t"), F.count(d).alias("n"))
+    free = (F.col("n") - 1).cast("double")
+    return out.withColumn("p", F.when(F.col("t").isNotNull() & (free > 0), beta_share(free / 2, F.lit(0.5), free / (free + F.col("t") * F.col("t")))))
 
 
 def one_way_anova(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
-    """(by, f, df_between, df_within) from sums of squares."""
+    """(by, f, df_between, df_within, p) from sums of squares; p is the upper tail of F, null without degrees of freedom."""
     per = df.groupBy(*by, group).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
     grand = per.groupBy(*by).agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_g"), F.sum("_n").alias("_t"), F.count("*").alias("_k"))
     joined = per.join(grand, by) if by else per.crossJoin(F.broadcast(grand))  # grand is one row without keys
     ss = joined.groupBy(*by, "_t", "_k").agg(F.sum(F.col("_n") * (F.col("_m") - F.col("_g")) * (F.col("_m") - F.col("_g"))).alias("_b"), F.sum(F.col("_n") * F.col("_v")).alias("_w"))
-    f = F.try_divide(F.col("_b") / (F.col("_k") - 1), F.col("_w") / (F.col("_t") - F.col("_k")))
-    return ss.select(*by, f.alias("f"), (F.col("_k") - 1).alias("df_between"), (F.col("_t") - F.col("_k")).alias("df_within"))
+    f = F.try_divide(F.try_divide(F.col("_b"), F.col("_k") - 1), F.try_divide(F.col("_w"), F.col("_t") - F.col("_k")))
+    out = ss.select(*by, f.alias("f"), (F.col("_k") - 1).alias("df_between"), (F.col("_t") - F.col("_k")).alias("df_within"))
+    d1, d2 = F.col("df_between").cast("double"), F.col("df_within").cast("double")
+    return out.withColumn("p", F.when(F.col("f").isNotNull() & (d1 > 0) & (d2 > 0), beta_share(d2 / 2, d1 / 2, d2 / (d2 + d1 * F.col("f")))))

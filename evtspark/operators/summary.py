@@ -141,11 +141,57 @@ def variance_explained(df: DataFrame, by: list[str], actual: str, predicted: str
     return df.groupBy(*by).agg((1 - F.try_divide(rest, F.var_pop(actual))).alias("ve"))
 
 
-def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, value: str) -> DataFrame:
-    """(a_col, b_col, r): correlations of two long matrices over their common rows; the pairs are of columns."""
-    x = a.select(row, F.col(a_col).alias("a"), F.col(value).alias("_x"))
-    y = b.select(row, F.col(b_col).alias("b"), F.col(value).alias("_y"))
-    return x.join(y, row).groupBy("a", "b").agg(F.corr("_x", "_y").alias("r"))
+def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, value: str, by: list[str] | None = None, blocks: int = 8) -> DataFrame:
+    """(by, a, b, r): correlations of the columns of two long matrices over their common rows, null where one does not vary.
+
+    Columns are packed and dealt to ``blocks`` blocks a side; each pair of blocks is
+    one task with a handful of matrix products, so no row is joined with a row.
+    """
+    by = by or []
+
+    def packed(df: DataFrame, col: str, own: str, other: str) -> DataFrame:
+        cell = F.struct(F.col(row).alias("row"), F.col(value).cast("double").alias("v"))
+        whole = df.where(F.col(row).isNotNull() & F.col(value).isNotNull()).groupBy(*by, F.col(col).alias("c")).agg(F.collect_list(cell).alias("m"))
+        dealt = whole.withColumn(own, F.pmod(F.xxhash64("c"), F.lit(blocks)))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def product(x, y):
+        import numpy as np
+        import pandas as pd
+
+        names = [*by, "a", "b", "r"]
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=names)
+        place: dict[object, int] = {}
+        for cells in (*x["m"], *y["m"]):
+            for cell in cells:
+                place.setdefault(cell["row"], len(place))
+
+        def matrix(side):
+            out, some = np.zeros((len(side), len(place))), np.zeros((len(side), len(place)))
+            for k, cells in enumerate(side):
+                at = [place[cell["row"]] for cell in cells]
+                own = np.array([cell["v"] for cell in cells])
+                out[k, at], some[k, at] = own - own.mean(), 1.0
+            return out, some
+
+        (u, mu), (v, mv) = matrix(x["m"]), matrix(y["m"])
+        n, su, sv = mu @ mv.T, u @ mv.T, mu @ v.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            both = u @ v.T - su * sv / n
+            spread = ((u * u) @ mv.T - su * su / n) * (mu @ (v * v).T - sv * sv / n)
+            r = np.where(spread > 0, both / np.sqrt(np.where(spread > 0, spread, 1.0)), np.nan)
+        i, j = np.nonzero(n > 0)
+        out = pd.DataFrame({"a": x["c"].to_numpy()[i], "b": y["c"].to_numpy()[j], "r": r[i, j].clip(-1, 1)})
+        for k in by:
+            out[k] = x[k].iloc[0]
+        return out[names]
+
+    left, right = packed(a, a_col, "_i", "_j"), packed(b, b_col, "_j", "_i")
+    kinds = [f"{k} {a.schema[k].dataType.simpleString()}" for k in by]
+    schema = ", ".join([*kinds, f"a {a.schema[a_col].dataType.simpleString()}", f"b {b.schema[b_col].dataType.simpleString()}", "r double"])
+    made = left.groupBy(*by, "_i", "_j").cogroup(right.groupBy(*by, "_i", "_j")).applyInPandas(product, schema)
+    return made.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
 def signal_noise_corr(resp: DataFrame, by: list[str], stimulus: str, repeat: str, value: str) -> DataFrame:

@@ -14,16 +14,12 @@ def _time(c: Column) -> Column:
     return F.when(F.isnan(c.cast("double")), None).otherwise(c.cast("double"))
 
 
-def asof_join(
-    left: DataFrame, right: DataFrame, by: list[str], on: str = "t", mode: str = "nearest", tolerance: float | None = None,
-    allow_equal: bool = False, bucket: float | None = None,
-) -> DataFrame:
-    """``left`` with a struct ``match`` of the right row that is previous, next or nearest in time.
+def neighbours(left: DataFrame, right: DataFrame, by: list[str], on: str = "t", allow_equal: bool = False, bucket: float | None = None) -> DataFrame:
+    """``left`` with the structs ``before`` and ``after``: the right rows next to it in time, found in one pass.
 
-    previous is strictly earlier and next is at or after the left time; with
-    ``allow_equal`` previous is at or before and next strictly after. Of equally
-    near rows the earlier wins. A missing time, or a match farther than
-    ``tolerance``, gives null. Of right rows with the same time any one is taken.
+    before is strictly earlier and after at or after the left time; with
+    ``allow_equal`` before is at or before and after strictly after. A missing time
+    has neither. Of right rows with the same time any one is taken.
 
     One shuffle by key; with ``bucket`` (seconds) the rows of a key are dealt out
     by time as well, and only each bucket's first and last right row is carried
@@ -53,26 +49,42 @@ def asof_join(
         )
         seen = seen.join(marks, [*by, "_b"], "left").withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")})
     out = seen.where(F.col("_l").isNotNull())
-    back, ahead = F.col("_t") - F.col("_prev")[on].cast("double"), F.col("_next")[on].cast("double") - F.col("_t")
+    some = F.col("_t").isNotNull()
+    return out.select("_l.*", F.when(some, F.col("_prev")).alias("before"), F.when(some, F.col("_next")).alias("after"))
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, by: list[str], on: str = "t", mode: str = "nearest", tolerance: float | None = None,
+    allow_equal: bool = False, bucket: float | None = None,
+) -> DataFrame:
+    """``left`` with a struct ``match`` of the right row that is previous, next or nearest in time, as ``neighbours`` has them.
+
+    Of equally near rows the earlier wins. A missing time, or a match farther than
+    ``tolerance``, gives null.
+    """
+    out = neighbours(left, right, by, on, allow_equal, bucket)
+    t, before, after = _time(F.col(on)), F.col("before"), F.col("after")
+    back, ahead = t - before[on].cast("double"), after[on].cast("double") - t
     if mode == "previous":
-        match = F.col("_prev")
+        match = before
     elif mode == "next":
-        match = F.col("_next")
+        match = after
     else:
-        match = F.when(F.col("_next").isNull() | (back <= ahead), F.coalesce("_prev", "_next")).otherwise(F.col("_next"))
-    match = F.when(F.col("_t").isNotNull(), match)
+        match = F.when(after.isNull() | (back <= ahead), F.coalesce(before, after)).otherwise(after)
     if tolerance is not None:
-        match = F.when(F.abs(match[on].cast("double") - F.col("_t")) <= tolerance, match)
-    return out.select("_l.*", match.alias("match"))
+        match = F.when(F.abs(match[on].cast("double") - t) <= tolerance, match)
+    return out.withColumn("match", match).drop("before", "after")
 
 
-def bucket_by_interval(points: DataFrame, intervals: DataFrame, by: list[str], start: str = "t_on", stop: str = "t_off", on: str = "t", closed: str = "left") -> DataFrame:
+def bucket_by_interval(
+    points: DataFrame, intervals: DataFrame, by: list[str], start: str = "t_on", stop: str = "t_off", on: str = "t", closed: str = "left", bucket: float | None = None,
+) -> DataFrame:
     """Points with the struct ``interval`` that holds them: [start, stop) by default, ``both`` for [start, stop].
 
     Intervals of one key do not overlap; points outside every interval are dropped.
     """
     right = intervals.withColumnRenamed(start, "_on")
-    found = asof_join(points.withColumn("_on", F.col(on)), right, by, "_on", "previous", allow_equal=True).drop("_on")
+    found = asof_join(points.withColumn("_on", F.col(on)), right, by, "_on", "previous", allow_equal=True, bucket=bucket).drop("_on")
     end = F.col("match")[stop]
     inside = (F.col(on) <= end) if closed == "both" else (F.col(on) < end)
     return found.where(F.col("match").isNotNull() & inside).withColumnRenamed("match", "interval")
@@ -91,27 +103,24 @@ def peri_event_join(points: DataFrame, events: DataFrame, by: list[str], pre: fl
     return p.join(e, [*by, "_b"]).where((F.col(on) >= F.col(event_time) - pre) & (F.col(on) <= F.col(event_time) + post)).drop("_b").withColumn("dt", dt)
 
 
-def align_clock(events: DataFrame, clock_map: DataFrame, by: list[str], on: str = "t", src: str = "t_src", dst: str = "t_dst") -> DataFrame:
+def align_clock(events: DataFrame, clock_map: DataFrame, by: list[str], on: str = "t", src: str = "t_src", dst: str = "t_dst", bucket: float | None = None) -> DataFrame:
     """``t_aligned``: linear between the two surrounding reference points, shifted by the nearest one outside."""
     ref = clock_map.select(*by, F.col(src).alias("_s"), F.col(dst).alias("_d"))
-    left = events.withColumn("_s", F.col(on))
-    a = asof_join(left, ref, by, "_s", "previous", allow_equal=True).withColumnRenamed("match", "_a")
-    b = asof_join(a, ref, by, "_s", "next", allow_equal=True).withColumnRenamed("match", "_b")
-    s, a, z = F.col(on), F.col("_a"), F.col("_b")
+    found = neighbours(events.withColumn("_s", F.col(on)), ref, by, "_s", allow_equal=True, bucket=bucket)
+    s, a, z = F.col(on), F.col("before"), F.col("after")
     between = a["_d"] + (s - a["_s"]) * (z["_d"] - a["_d"]) / (z["_s"] - a["_s"])
     out = F.when(a.isNull(), s + z["_d"] - z["_s"]).when(z.isNull(), s + a["_d"] - a["_s"]).otherwise(between)
-    return b.withColumn("t_aligned", out).drop("_s", "_a", "_b")
+    return found.withColumn("t_aligned", out).drop("_s", "before", "after")
 
 
-def sample_signal(signal: DataFrame, events: DataFrame, by: list[str], grid: list[float], on: str = "t", value: str = "v", event_time: str = "t0", baseline: str | None = None) -> DataFrame:
+def sample_signal(signal: DataFrame, events: DataFrame, by: list[str], grid: list[float], on: str = "t", value: str = "v", event_time: str = "t0", baseline: str | None = None, bucket: float | None = None) -> DataFrame:
     """The signal at event + grid, linear between samples and held at the ends; ``baseline`` 'zero' or 'pre' is subtracted."""
     places = events.withColumn("lag", F.explode(F.array(*[F.lit(float(g)) for g in grid]))).withColumn("_s", F.col(event_time) + F.col("lag"))
     ref = signal.select(*by, F.col(on).alias("_s"), F.col(value).alias("_v"))
-    a = asof_join(places, ref, by, "_s", "previous", allow_equal=True).withColumnRenamed("match", "_a")
-    b = asof_join(a, ref, by, "_s", "next", allow_equal=True).withColumnRenamed("match", "_b")
-    x, z = F.col("_a"), F.col("_b")
+    b = neighbours(places, ref, by, "_s", allow_equal=True, bucket=bucket)
+    x, z = F.col("before"), F.col("after")
     out = F.when(x.isNull(), z["_v"]).when(z.isNull(), x["_v"]).otherwise(x["_v"] + (F.col("_s") - x["_s"]) * (z["_v"] - x["_v"]) / (z["_s"] - x["_s"]))
-    b = b.withColumn("sample", out).drop("_s", "_a", "_b")
+    b = b.withColumn("sample", out).drop("_s", "before", "after")
     w = Window.partitionBy(*by, event_time)
     if baseline == "zero":
         near = min(grid, key=abs)
@@ -121,9 +130,9 @@ def sample_signal(signal: DataFrame, events: DataFrame, by: list[str], grid: lis
     return b
 
 
-def label_bins(bins: DataFrame, trials: DataFrame, by: list[str], on: str = "t", start: str = "t_on", stop: str = "t_off", label: str = "trial") -> DataFrame:
+def label_bins(bins: DataFrame, trials: DataFrame, by: list[str], on: str = "t", start: str = "t_on", stop: str = "t_off", label: str = "trial", bucket: float | None = None) -> DataFrame:
     """``bins`` with the number of the trial that holds each bin's time, null outside."""
-    found = asof_join(bins.withColumn("_on", F.col(on)), trials.withColumnRenamed(start, "_on"), by, "_on", "previous", allow_equal=True).drop("_on")
+    found = asof_join(bins.withColumn("_on", F.col(on)), trials.withColumnRenamed(start, "_on"), by, "_on", "previous", allow_equal=True, bucket=bucket).drop("_on")
     return found.withColumn(label, F.when(F.col(on) < F.col("match")[stop], F.col("match")[label])).drop("match")
 
 

@@ -175,3 +175,26 @@ def st5_interval_join(spark, d):
     s = jobs.event_stream(spark, d)
     t = jobs.event_stream(spark, d)
     return jobs.collect(jobs.interval_join(s.where("event_type = 'view'"), t.where("event_type = 'purchase'"), "user_id", "6 HOURS", "1 day"))
+
+
+@query(f"""WITH {PTS}, s AS (SELECT session % 5 AS file, row_number() OVER (PARTITION BY session % 5 ORDER BY id) - 1 AS sample, CAST(id % 20011 AS INT) AS a, CAST(session % 997 AS INT) - 500 AS b FROM pts WHERE unit = 'view')
+ SELECT 'rec' || file AS file, sample, 0 AS channel, a AS v FROM s UNION ALL SELECT 'rec' || file, sample, 1, b FROM s""")
+def s7_read_interleaved(spark, d):
+    """Two channels of samples written as raw int16 files and read back."""
+    from evtspark.plans.registry import points
+
+    root = jobs.workspace(spark)
+    p = points(spark, d).where("unit = 'view'").select(F.concat(F.lit("rec"), F.col("session") % 5).alias("file"), "id", (F.col("id") % 20011).cast("int").alias("a"), (F.col("session") % 997 - 500).cast("int").alias("b"))
+    so.write_interleaved(p, "file", "id", ["a", "b"], root).collect()  # a row per file
+    got = so.read_interleaved(spark, root, 2)
+    return got.select(F.regexp_extract("path", r"([^/]*)\.bin$", 1).alias("file"), "sample", "channel", "v")
+
+
+@query("SELECT CAST(o_custkey % 50 AS VARCHAR) AS subject, 'order' || o_orderkey AS name, o_orderstatus AS value FROM orders")
+def s8_read_keyvalue(spark, d):
+    """A key=value file per subject, some keys with a tilde, written as text and read back."""
+    root = jobs.workspace(spark)
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("subject"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "~").otherwise(""), F.lit("order"), "o_orderkey", F.lit("="), "o_orderstatus").alias("value"))
+    o.repartition("subject").write.partitionBy("subject").text(root)
+    got = so.read_keyvalue(spark, root).select(F.regexp_extract("path", "subject=([0-9]+)", 1).alias("subject"), F.explode("meta").alias("name", "value"))
+    return got

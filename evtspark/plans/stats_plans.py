@@ -29,23 +29,24 @@ def m1_response_test(spark, d):
     return st.response_test(r.withColumnRenamed("unit", "k"), ["k"], "event", F.col("event") % 3 == 0, "n", N).select("k", r6("observed").alias("observed"), r6("p").alias("p"))
 
 
-@query(f"""WITH {TR}, {SHUF}, q AS (SELECT subject AS k, kind, level, trial * 10 + ln AS rid, CASE WHEN response = 2 THEN 1 ELSE 0 END AS a, pk % 97 AS v FROM tr WHERE response > 0 AND trial % 20 = 0),
+@query(f"""WITH {TR}, {SHUF}, q AS (SELECT subject AS k, kind, level, trial * 10 + ln AS rid, CASE WHEN response = 2 THEN 1 ELSE 0 END AS a, pk % 97 AS v FROM tr WHERE response > 0),
  b AS (SELECT k, kind, level, sum(a) AS na, count(*) AS nn FROM q GROUP BY 1, 2, 3 HAVING min(a) = 0 AND max(a) = 1), r AS (SELECT q.*, na, nn, rank() OVER (PARTITION BY k, kind, level ORDER BY v) + (count(*) OVER (PARTITION BY k, kind, level, v) - 1) / 2.0 AS rk FROM q JOIN b USING (k, kind, level)),
  t AS (SELECT r.*, s, CASE WHEN s = 0 THEN a = 1 ELSE row_number() OVER (PARTITION BY k, kind, level, s ORDER BY CASE WHEN s = 0 THEN 0 ELSE {_h('rid')} END, rid) <= na END AS i FROM r, sh),
  u AS (SELECT k, kind, level, s, nn, sum(rk) FILTER (i) - na * (na + 1) / 2.0 AS u FROM t GROUP BY k, kind, level, s, nn, na), w AS (SELECT k, s, sum(u) / sum(nn) AS u FROM u GROUP BY 1, 2), o AS (SELECT k, u AS o FROM w WHERE s = 0)
  SELECT k, round(o, 6) AS u, round((count(*) FILTER (w.u < o) + 1) / (count(*) + 1), 6) AS p FROM w JOIN o USING (k) WHERE s > 0 GROUP BY 1, o""")
 def m2_combined_condition_u(spark, d):
-    t = _trials(spark, d).where("response > 0 AND trial % 20 = 0").select(F.col("subject").alias("k"), "kind", "level", (F.col("trial") * 10 + F.col("ln")).alias("rid"), "response", (F.col("pk") % 97).alias("v"))
+    t = _trials(spark, d).where("response > 0").select(F.col("subject").alias("k"), "kind", "level", (F.col("trial") * 10 + F.col("ln")).alias("rid"), "response", (F.col("pk") % 97).alias("v"))
     return st.combined_condition_u(t, ["k"], ["kind", "level"], F.col("response") == 2, "v", "rid", N).select("k", r6("u").alias("u"), r6("p").alias("p"))
 
 
 @query(f"""WITH {PTS}, {REFS}, n AS (SELECT r.id AS event, p.unit, count(*) FILTER (p.t >= r.t) AS po, count(*) FILTER (p.t < r.t) AS pr FROM refs r JOIN pts p ON p.session = r.session AND p.unit IN ('click', 'view') AND p.t BETWEEN r.t - 21600 AND r.t + 43200 GROUP BY 1, 2),
  d AS (SELECT unit, po / 43200.0::DOUBLE - pr / 21600.0::DOUBLE AS dd FROM n), e AS (SELECT unit, dd, round(abs(dd), 12) AS ab FROM d WHERE dd <> 0), r AS (SELECT *, rank() OVER (PARTITION BY unit ORDER BY ab) + (count(*) OVER (PARTITION BY unit, ab) - 1) / 2.0 AS rk FROM e)
- SELECT unit, round(coalesce(sum(rk) FILTER (dd > 0), 0), 6) AS w_plus, count(*) AS n FROM r GROUP BY 1""")
+ , ti AS (SELECT unit, sum(t * t * t - t) AS c FROM (SELECT unit, ab, count(*)::DOUBLE AS t FROM e GROUP BY 1, 2) GROUP BY 1), w AS (SELECT unit, coalesce(sum(rk) FILTER (dd > 0), 0)::DOUBLE AS w, count(*) AS n FROM r GROUP BY 1)
+ SELECT unit, round(w, 6) AS w_plus, n, round((w - n * (n + 1) / 4.0) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - c / 48), 6) AS z FROM w JOIN ti USING (unit)""")
 def m3_paired_pre_post(spark, d):
     ev = refs(spark, d).select("session", F.col("id").alias("event"), F.col("t").alias("t0"))
     p = points(spark, d).where("unit IN ('click', 'view')").select("session", "unit", "t")
-    return st.paired_pre_post(p, ev, ["session"], [], "unit", "event", 21600.0, 43200.0).select("unit", r6("w_plus").alias("w_plus"), "n")
+    return st.paired_pre_post(p, ev, ["session"], [], "unit", "event", 21600.0, 43200.0).select("unit", r6("w_plus").alias("w_plus"), "n", r6("z").alias("z"))
 
 
 @query(f"""WITH {RASTER}, {SHUF}, ev AS (SELECT unit AS k, event, sum(n) AS v FROM ras GROUP BY 1, 2), sz AS (SELECT k, count(*) FILTER (event % 2 = 0) AS n FROM ev GROUP BY 1),
@@ -95,13 +96,13 @@ def m26_resample_latencies(spark, d):
 
 @query("SELECT l_returnflag, round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 6) AS t, count(*) AS n FROM lineitem GROUP BY 1")
 def m27_paired_t(spark, d):
-    return st.paired_t(table(spark, d, "lineitem"), ["l_returnflag"], "l_discount", "l_tax").withColumn("t", r6("t"))
+    return st.paired_t(table(spark, d, "lineitem"), ["l_returnflag"], "l_discount", "l_tax").withColumn("t", r6("t")).drop("p")
 
 
 @query("""WITH p AS (SELECT l_returnflag, l_linenumber, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2), g AS (SELECT l_returnflag, sum(n * m) / sum(n) AS g, sum(n) AS t, count(*) AS k FROM p GROUP BY 1)
  SELECT l_returnflag, round((sum(n * (m - g) ** 2) / (k - 1)) / (sum(n * v) / (t - k)), 6) AS f, k - 1 AS df_between, CAST(t - k AS BIGINT) AS df_within FROM p JOIN g USING (l_returnflag) GROUP BY l_returnflag, k, t""")
 def m28_one_way_anova(spark, d):
-    return st.one_way_anova(table(spark, d, "lineitem"), ["l_returnflag"], "l_linenumber", "l_extendedprice").withColumn("f", r6("f"))
+    return st.one_way_anova(table(spark, d, "lineitem"), ["l_returnflag"], "l_linenumber", "l_extendedprice").withColumn("f", r6("f")).drop("p")
 
 
 DESIGN = f"""{PTS}, ev AS (SELECT session % 6 AS session, unit AS feature, CAST(floor(t / 21600) AS BIGINT) AS bin, v / 100 AS value FROM pts WHERE unit IN ('purchase', 'click')),

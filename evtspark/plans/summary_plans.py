@@ -221,14 +221,13 @@ def a24_signal_noise_corr(spark, d):
     return su.signal_noise_corr(e, ["label"], "pix", "k", "x").select("label", r6("signal").alias("signal"), r6("noise").alias("noise"))
 
 
-@query(f"""WITH {EMB}, k AS (SELECT label, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS u, pix, x FROM em), f AS (SELECT label, u, pix % 32 AS p, x, pix // 32 AS half FROM k WHERE u <= 6),
+@query(f"""WITH {EMB}, k AS (SELECT label, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS u, pix, x FROM em), f AS (SELECT label, u, pix % 32 AS p, x, pix // 32 AS half FROM k),
  c AS (SELECT i.label, i.half, i.u AS a, j.u AS b, corr(i.x, j.x) AS r FROM f i JOIN f j ON i.label = j.label AND i.half = j.half AND i.p = j.p AND i.u < j.u GROUP BY 1, 2, 3, 4)
  SELECT x.label, round(CASE WHEN count(*) > 3 THEN corr(x.r, y.r) END, 6) AS stability FROM c x JOIN c y ON x.label = y.label AND x.a = y.a AND x.b = y.b AND x.half = 0 AND y.half = 1 GROUP BY 1""")
 def a25_correlation_stability(spark, d):
-    e = _long(spark, d).withColumn("u", F.dense_rank().over(Window.partitionBy("label").orderBy("vec_id"))).where("u <= 6")
+    e = _long(spark, d).withColumn("u", F.dense_rank().over(Window.partitionBy("label").orderBy("vec_id")))
     e = e.withColumn("half", F.floor(F.col("pix") / 32)).withColumn("p", F.col("pix") % 32)
-    i, j = e.select("label", "half", "p", F.col("u").alias("a"), F.col("x").alias("_x")), e.select("label", "half", "p", F.col("u").alias("b"), F.col("x").alias("_y"))
-    c = i.join(j, ["label", "half", "p"]).where("a < b").groupBy("label", "half", "a", "b").agg(F.corr("_x", "_y").alias("r"))
+    c = su.corr_matrix(e, e, "p", "u", "u", "x", by=["label", "half"], blocks=2).where("a < b")
     return su.correlation_stability(c.where("half = 0").drop("half"), c.where("half = 1").drop("half"), ["label"]).withColumn("stability", r6("stability"))
 
 

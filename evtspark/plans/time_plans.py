@@ -46,6 +46,8 @@ def j3_asof_tolerance(spark, d):
     return tj.asof_join(left, refs(spark, d), ["session"], tolerance=21600.0).select("id", r6("match.t").alias("t_match"))
 
 
+#: Seconds that a session's rows are dealt out by.
+WEEK = 604800.0
 TRIALS = "tr AS (SELECT session, id AS trial, t AS t_on, lead(t) OVER (PARTITION BY session ORDER BY t) AS t_off FROM refs)"
 
 
@@ -63,11 +65,10 @@ SELECT tr.session, tr.trial, count(p.id) AS n, round(coalesce(sum(p.v), 0), 6) A
 def j4_bucket_by_interval(spark, d):
     tr = trials(spark, d)
     clicks = points(spark, d).where("unit = 'click'").select("session", "id", "t", "v")
-    inside = tj.bucket_by_interval(clicks, tr, ["session"])
-    per = inside.groupBy("session", F.col("interval.trial").alias("trial")).agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("pts"))
+    inside = tj.bucket_by_interval(clicks, tr, ["session"], bucket=WEEK)
+    per = inside.groupBy("session", F.col("interval.trial").alias("trial")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
     out = tr.join(per, ["session", "trial"], "left")
-    total = F.aggregate(F.coalesce("pts", F.array().cast("array<struct<t:double,v:double>>")), F.lit(0.0), lambda a, x: a + x["v"])
-    return out.select("session", "trial", F.greatest(F.coalesce(F.size("pts"), F.lit(0)), F.lit(0)).cast("long").alias("n"), r6(total).alias("total"))
+    return out.select("session", "trial", F.coalesce("n", F.lit(0)).alias("n"), r6(F.coalesce("total", F.lit(0.0))).alias("total"))
 
 
 @query(f"""WITH {PTS}, {REFS} SELECT r.id AS event, p.id AS point, round(p.t - r.t, 6) AS dt FROM refs r JOIN pts p
@@ -89,7 +90,7 @@ CLOCK = "cm AS (SELECT session, t AS t_src, t * 1.0001 + v AS t_dst FROM refs)"
 def j6_align_clock(spark, d):
     cm = refs(spark, d).select("session", F.col("t").alias("t_src"), (F.col("t") * 1.0001 + F.col("v")).alias("t_dst"))
     left = points(spark, d).where("unit = 'view'")
-    return tj.align_clock(left, cm, ["session"]).select("id", F.round("t_aligned", 4).alias("t_aligned"))
+    return tj.align_clock(left, cm, ["session"], bucket=WEEK).select("id", F.round("t_aligned", 4).alias("t_aligned"))
 
 
 @query(f"""WITH {PTS}, {REFS}, s AS (SELECT session, t, v FROM pts WHERE unit = 'click'),
@@ -101,14 +102,14 @@ def j6_align_clock(spark, d):
 def j7_sample_signal(spark, d):
     ev = refs(spark, d).select("session", F.col("id").alias("event"), F.col("t").alias("t0"))
     sig = points(spark, d).where("unit = 'click'").select("session", "t", "v")
-    return tj.sample_signal(sig, ev, ["session"], [-7200.0, 0.0, 7200.0]).select("event", "lag", F.round("sample", 4).alias("sample"))
+    return tj.sample_signal(sig, ev, ["session"], [-7200.0, 0.0, 7200.0], bucket=WEEK).select("event", "lag", F.round("sample", 4).alias("sample"))
 
 
 @query(f"""WITH {PTS}, {REFS}, {TRIALS} SELECT p.id, tr.trial FROM pts p LEFT JOIN tr ON tr.session = p.session AND p.t >= tr.t_on AND p.t < tr.t_off
  WHERE p.unit = 'view'""")
 def j17_label_bins(spark, d):
     bins = points(spark, d).where("unit = 'view'").select("session", "id", "t")
-    return tj.label_bins(bins, trials(spark, d), ["session"]).select("id", "trial")
+    return tj.label_bins(bins, trials(spark, d), ["session"], bucket=WEEK).select("id", "trial")
 
 
 @query("""SELECT count(*) AS n FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand AND a.p_type = b.p_type

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,20 +92,54 @@ def fetch_errors(catalog: DataFrame, messages: DataFrame, steps: list[str], keys
     return failed.join(messages, [*keys, "step"], "left")
 
 
-def read_interleaved(spark: SparkSession, path: str, n_chan: int) -> DataFrame:
-    """(path, sample, channel, v): little-endian int16 samples, channels interleaved, from fixed-length records."""
-    records = spark.sparkContext.binaryRecords(path, 2 * n_chan).zipWithIndex().map(lambda r: (int(r[1]), bytearray(r[0])))
-    rows = spark.createDataFrame(records, "sample long, raw binary")
+def _local(path: str) -> str:
+    return re.sub("^file:/+", "file:///", path)
+
+
+def read_interleaved(spark: SparkSession, path: str, n_chan: int, samples: int = 1_000_000) -> DataFrame:
+    """(path, sample, channel, v): little-endian int16 samples, channels interleaved, numbered from 0 in each file under ``path``.
+
+    Files of any length are read in parts of ``samples`` samples, each by its own
+    task; bytes after the last whole sample are left out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin").load(path).select("path", "length")
+    whole = F.floor(F.col("length") / (2 * n_chan))
+    parts = files.where(whole > 0).select("path", whole.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), whole - 1, F.lit(samples).cast("long"))).alias("first"))
 
     def split(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, n, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, inner = fs.FileSystem.from_uri(_local(name))
+                with system.open_input_file(inner) as f:
+                    m = np.frombuffer(f.read_at(2 * n_chan * min(samples, n - first), 2 * n_chan * first), "<i2").astype(np.int32)
+                rows = len(m) // n_chan
+                cols = [pa.array([name]).take(pa.array(np.zeros(len(m), np.int64))), pa.array(first + np.repeat(np.arange(rows), n_chan)), pa.array(np.tile(np.arange(n_chan, dtype=np.int32), rows)), pa.array(m)]
+                yield pa.RecordBatch.from_arrays(cols, names=["path", "sample", "channel", "v"])
+
+    return parts.repartition("path", "first").mapInArrow(split, "path string, sample long, channel int, v int")
+
+
+def write_interleaved(df: DataFrame, file: str, order: str, channels: list[str], path: str) -> DataFrame:
+    """(file, n): one ``.bin`` file of int16 samples per value of ``file``, by ``order``; a recording's samples are written by one task."""
+
+    def put(pdf):
         import numpy as np
         import pandas as pd
+        from pyarrow import fs
 
-        for pdf in batches:
-            m = np.frombuffer(b"".join(pdf["raw"]), "<i2").reshape(-1, n_chan)
-            yield pd.DataFrame({"sample": np.repeat(pdf["sample"].to_numpy(), n_chan), "channel": np.tile(np.arange(n_chan), len(m)), "v": m.reshape(-1).astype(np.int32)})
+        name = str(pdf[file].iloc[0])
+        system, inner = fs.FileSystem.from_uri(_local(path))
+        system.create_dir(inner, recursive=True)
+        own = pdf.sort_values(order)[channels].to_numpy().astype("<i2")
+        with system.open_output_stream(f"{inner}/{name}.bin") as f:
+            f.write(np.ascontiguousarray(own).tobytes())
+        return pd.DataFrame({"file": [name], "n": [len(own)]})
 
-    return rows.mapInPandas(split, "sample long, channel int, v int")
+    return df.groupBy(file).applyInPandas(put, "file string, n long")
 
 
 def apply_gain(samples: DataFrame, gains: DataFrame, volts_per_bit: float) -> DataFrame:
@@ -125,8 +161,10 @@ def unpack_bits(samples: DataFrame, word: str, lines: list[int]) -> DataFrame:
 
 
 def upsert_catalog(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with equal keys."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    """``old`` with the rows of ``new`` in place of those with equal keys, by date and number where there are such columns."""
+    both = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    order = [c for c in ("subject", "expDate") if c in both.columns] + [F.col("expNum").cast("double") for _ in range("expNum" in both.columns)]
+    return both.orderBy(*order) if order else both
 
 
 def delete_rows(catalog: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

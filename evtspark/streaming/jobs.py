@@ -6,20 +6,12 @@ Each job's result is written by foreachBatch; ``collect`` runs a stream with
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtspark.schemas import EVENTS
 from evtspark.sources.catalog import upsert_catalog
-
-
-def workspace(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+from evtspark.staging import workspace
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
