@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evtspark.llm.common import chunks, stage, words
+from evtspark.llm.common import chunks, mix, stage, words
 from evtspark.llm.components import components, local_roots
 
 BITS = 64
@@ -29,6 +29,10 @@ MAX_RADIUS = 6
 #: Bits beyond the sure distance up to which pairs that meet are held against the texts: texts of similarity 0.8 differ in
 #: 9.7 of 64 bits on average, with a deviation of 2.9.
 MARGIN = 4
+#: Bits of their sketches in which pairs that are held against the texts may differ; four deviations over the average at similarity 0.8.
+SKETCH_BITS = 16
+#: Texts that are looked up by a table sent to every task; with more, by an exchange.
+BROADCAST_ROWS = 2_000_000
 #: Fingerprints of one side of a comparison cell; larger buckets are cut into such cells.
 CELL = 2048
 #: The id that null ids are read as where a text's row is sought.
@@ -58,11 +62,26 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def sketch(hashes: np.ndarray) -> int:
+    """One bit of the least shingle of each of 64 bins (0 for an empty bin). Signed 64-bit.
+
+    A bin differs between two texts if their least shingles do, and its bit then every
+    second time: of texts of similarity 0.8, 6.4 bits on average, with a deviation of 2.4.
+    """
+    least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (hashes & np.uint64(63)).astype(np.int64), mix(hashes))
+    bits = ((least >> np.uint64(5)) & np.uint64(1)).astype(bool) & (least != np.iinfo(np.uint64).max)
+    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+
+
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int, sketched: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         *own, texts = batch.columns
-        prints = [fingerprint(shingle_hashes(x.as_py(), width)) for x in texts]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(prints, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
+        hashes = [shingle_hashes(x.as_py(), width) for x in texts]
+        cols, names = [pa.array([fingerprint(h) for h in hashes], pa.int64())], ["fp"]
+        if sketched:
+            cols, names = [*cols, pa.array([sketch(h) for h in hashes], pa.int64())], [*names, "sk"]
+        yield pa.RecordBatch.from_arrays([*own, *cols], names=[*batch.schema.names[:-1], *names])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -220,12 +239,13 @@ def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) ->
     return a[took], b[took]
 
 
-def _forest(rows: np.ndarray, distance: int, mode: str) -> pa.RecordBatch:
+def _forest(rows: np.ndarray, distance: int, mode: str, sketched: bool) -> pa.RecordBatch:
     """Links that join what the verified pairs of whole cells join, rows (key, side, fp, further columns) sorted by cell.
 
     ``first``: each fingerprint is linked with the first one that pairs lead to.
     ``nearest``: links are such pairs of nodes (the last column) themselves, the
     nearest ones. ``all``: all pairs whose ``part`` (the column before) differs.
+    ``sketched``: the column after fp is a sketch, and pairs must be near by it too.
     """
     key, side, fp, node = rows[0], rows[1], rows[2], rows[-1]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -237,6 +257,9 @@ def _forest(rows: np.ndarray, distance: int, mode: str) -> pa.RecordBatch:
         a, b = at, at + shift
         near = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= distance
         a, b = a[near], b[near]
+        if sketched:
+            near = np.bitwise_count((rows[3][a] ^ rows[3][b]).view(np.uint64)) <= SKETCH_BITS
+            a, b = a[near], b[near]
         cross = ((side[a] != side[b]) | (side[a] == 3)) & (node[a] != node[b])
         if mode == "all":
             cross &= rows[-2][a] != rows[-2][b]
@@ -252,7 +275,7 @@ def _forest(rows: np.ndarray, distance: int, mode: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], distance: int, mode: str) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], distance: int, mode: str, sketched: bool) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted by cell; a cell that goes on in the next batch waits for it."""
     kept: list[np.ndarray] = []
     for batch in batches:
@@ -264,12 +287,12 @@ def _verify(batches: Iterator[pa.RecordBatch], distance: int, mode: str) -> Iter
         if whole:
             ready = np.concatenate([*kept[:-1], rows[:, :whole]], axis=1)
             kept = [rows[:, whole:]]
-            yield _forest(ready, distance, mode)
+            yield _forest(ready, distance, mode, sketched)
         elif kept[0][0, 0] != last:  # the batch is one cell and an older one waits
-            yield _forest(np.concatenate(kept[:-1], axis=1), distance, mode)
+            yield _forest(np.concatenate(kept[:-1], axis=1), distance, mode, sketched)
             kept = [rows]
     if kept:
-        yield _forest(np.concatenate(kept, axis=1), distance, mode)
+        yield _forest(np.concatenate(kept, axis=1), distance, mode, sketched)
 
 
 def _table(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -289,9 +312,10 @@ def links(prints: DataFrame, distance: int, nearest: bool = False, accept: int |
     ``prints(fp)``, distinct: links connect the fingerprints just as all such pairs
     would; with ``nearest`` they are such pairs themselves. ``prints(fp, node)``: the
     same between nodes. ``prints(fp, part, node)``: all pairs of nodes of different
-    parts, a pair as often as it is met.
+    parts, a pair as often as it is met. With ``sk`` after ``fp``, pairs must be near by
+    their sketches too.
     """
-    mode = "all" if len(prints.columns) > 2 else "nearest" if nearest else "first"
+    mode = "all" if "part" in prints.columns else "nearest" if nearest else "first"
     further = "".join(f", {c} long" for c in prints.columns[1:])
     spark = prints.sparkSession
     only = prints.select("fp")
@@ -307,7 +331,7 @@ def links(prints: DataFrame, distance: int, nearest: bool = False, accept: int |
     tables = spark.sparkContext.broadcast((index, probe))  # 2 x 4 x 65536 counts, whatever the corpus
     dealt = prints.mapInArrow(partial(_deal, groups=groups, radii=radii, tables=tables), "key long, cell int, side byte, fp long" + further)
     cells = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return cells.mapInArrow(partial(_verify, distance=accept or distance, mode=mode), "u long, v long")
+    return cells.mapInArrow(partial(_verify, distance=accept or distance, mode=mode, sketched="sk" in prints.columns), "u long, v long")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -327,8 +351,10 @@ def _key(col: Column) -> Column:
 def shingle_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """``(node, set)`` for ``nodes(node, key)``: the shingles of the text with hash ``node``, read from the row with id ``key``."""
     text = docs[text_col].cast("string")
-    rows = docs.select(_hash(text).alias("node"), _key(docs[id_col]).alias("key"), text.alias("text")).join(nodes, ["node", "key"]).select("node", "text")
-    return stage(rows.mapInArrow(partial(_shingle_sets, width=width), "node long, set array<long>").dropDuplicates(["node"]))
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    rows = docs.select(_hash(text).alias("node"), _key(docs[id_col]).alias("key"), text.alias("text")).join(nodes, ["node", "key"])
+    rows = rows.dropDuplicates(["node", "key"]).select("node", "text")  # rows repeated in the input
+    return stage(rows.mapInArrow(partial(_shingle_sets, width=width), "node long, set array<long>"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -344,20 +370,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def similar_links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, distance: int, similarity: float) -> DataFrame:
-    """``(u, v)``: links that join the texts ``texts(fp, node, key)`` just as all similar pairs within ``distance`` would.
+    """``(u, v)``: links that join the texts ``texts(fp, node, key)``, with or without sketches ``sk``, just as all similar pairs within ``distance`` would.
 
     First the nearest links that join a group are held against the texts. What they
     leave apart is met again, and every candidate pair between two parts is held
     against the texts, so that no pair is passed over for a lighter one that fails.
     Pairs up to MARGIN bits beyond are tried where the probes bring them together.
     """
-    accept = distance + MARGIN
-    first = stage(_ordered(links(texts.select("fp", "node"), distance, nearest=True, accept=accept)))
+    accept, prints = distance + MARGIN, ["fp", *(c for c in texts.columns if c == "sk")]
+    first = stage(_ordered(links(texts.select(*prints, "node"), distance, nearest=True, accept=accept)))
     met = first.select(F.col("u").alias("node")).union(first.select("v")).distinct()
     known = stage(texts.join(met, "node"))
     sets = shingle_sets(known.select("node", "key"), docs, id_col, text_col, width)
     good = stage(similar(first, sets, similarity))
-    parts = stage(known.join(components(good), "node", "left").select("fp", F.coalesce("root", F.xxhash64("node")).alias("part"), "node"))
+    parts = stage(known.join(components(good), "node", "left").select(*prints, F.coalesce("root", F.xxhash64("node")).alias("part"), "node"))
     rest = _ordered(links(parts, distance, accept=accept)).join(first, ["u", "v"], "left_anti")
     return stage(good.union(similar(stage(rest), sets, similarity)))
 
@@ -365,9 +391,9 @@ def similar_links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``(id, hash, fp)`` per row, and ``(hash, part, id)`` per different text: the name of its class and its smallest id."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), _hash(docs[text_col]).alias("hash"), docs[text_col].cast("string").alias("text"))
-    prints = stage(rows.mapInArrow(partial(_fingerprint_batches, width=width), "id long, hash long, fp long"))
-    texts = stage(prints.groupBy(F.col("hash").alias("node"), "fp").agg(F.min(_key(F.col("id"))).alias("key"), F.min("id").alias("id")))
-    roots = components(similar_links(texts.select("fp", "node", "key"), docs, id_col, text_col, width, distance, similarity))
+    prints = stage(rows.mapInArrow(partial(_fingerprint_batches, width=width, sketched=True), "id long, hash long, fp long, sk long"))
+    texts = stage(prints.groupBy(F.col("hash").alias("node"), "fp", "sk").agg(F.min(_key(F.col("id"))).alias("key"), F.min("id").alias("id")))
+    roots = components(similar_links(texts.select("fp", "sk", "node", "key"), docs, id_col, text_col, width, distance, similarity))
     # the root of a linked text is the hash of a linked node, as that of a text alone is its own
     named = texts.join(roots, "node", "left").select(F.col("node").alias("hash"), F.coalesce("root", F.xxhash64("node")).alias("part"), "id")
     return prints, stage(named)
