@@ -35,6 +35,10 @@ SKETCH_BITS = 16
 BROADCAST_ROWS = 2_000_000
 #: Fingerprints of one side of a comparison cell; larger buckets are cut into such cells.
 CELL = 2048
+#: Texts of one side of a cell whose texts are all held against each other; larger knots are cut into such cells.
+KNOT_BLOCK = 1024
+#: Shingles of a cell that are multiplied at a time.
+COLUMNS = 1024
 #: The id that null ids are read as where a text's row is sought.
 LOW = -(1 << 63)
 
@@ -244,7 +248,7 @@ def _forest(rows: np.ndarray, distance: int, mode: str, sketched: bool) -> pa.Re
 
     ``first``: each fingerprint is linked with the first one that pairs lead to.
     ``nearest``: links are such pairs of nodes (the last column) themselves, the
-    nearest ones. ``all``: all pairs whose ``part`` (the column before) differs.
+    nearest ones. ``parts``: as ``first``, for pairs whose ``part`` (the column before) differs.
     ``sketched``: the column after fp is a sketch, and pairs must be near by it too.
     """
     key, side, fp, node = rows[0], rows[1], rows[2], rows[-1]
@@ -261,14 +265,14 @@ def _forest(rows: np.ndarray, distance: int, mode: str, sketched: bool) -> pa.Re
             near = np.bitwise_count((rows[3][a] ^ rows[3][b]).view(np.uint64)) <= SKETCH_BITS
             a, b = a[near], b[near]
         cross = ((side[a] != side[b]) | (side[a] == 3)) & (node[a] != node[b])
-        if mode == "all":
+        if mode == "parts":
             cross &= rows[-2][a] != rows[-2][b]
         left.append(a[cross])
         right.append(b[cross])
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
     if mode == "nearest":
         a, b = _nearest_forest(len(fp), a, b, np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)))
-    elif mode == "first":
+    else:
         root = local_roots(len(fp), a, b)
         a = np.flatnonzero(root != np.arange(len(fp)))
         b = root[a]
@@ -311,11 +315,11 @@ def links(prints: DataFrame, distance: int, nearest: bool = False, accept: int |
 
     ``prints(fp)``, distinct: links connect the fingerprints just as all such pairs
     would; with ``nearest`` they are such pairs themselves. ``prints(fp, node)``: the
-    same between nodes. ``prints(fp, part, node)``: all pairs of nodes of different
-    parts, a pair as often as it is met. With ``sk`` after ``fp``, pairs must be near by
+    same between nodes. ``prints(fp, part, node)``: links connect nodes just as all such
+    pairs of nodes of different parts would. With ``sk`` after ``fp``, pairs must be near by
     their sketches too.
     """
-    mode = "all" if "part" in prints.columns else "nearest" if nearest else "first"
+    mode = "parts" if "part" in prints.columns else "nearest" if nearest else "first"
     further = "".join(f", {c} long" for c in prints.columns[1:])
     spark = prints.sparkSession
     only = prints.select("fp")
@@ -365,6 +369,73 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where((common >= similarity * union) | (union == 0)).select("u", "v")
 
 
+def _similar_in_cell(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the texts of a cell as all its similar pairs of different parts would; shared shingles are counted by matrix products."""
+    side, part, node = (rows.column(c).to_numpy() for c in ("side", "part", "node"))
+    sets = rows.column("set").combine_chunks()
+    size = np.diff(sets.offsets.to_numpy())
+    _, column, count = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(node)), size), count > 1
+    owner, column = owner[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        a, z = np.searchsorted(column, (low, low + COLUMNS))
+        held = np.zeros((len(node), column[z - 1] + 1 - low), np.float32)
+        held[owner[a:z], column[a:z] - low] = 1
+        common += held[left] @ held[right].T
+    union = size[left][:, None] + size[right] - common.astype(np.float64)
+    a, b = np.nonzero((common >= similarity * union) & (part[left][:, None] != part[right]))
+    root = local_roots(len(node), left[a], right[b])
+    joined = np.flatnonzero(root != np.arange(len(node)))
+    return node[joined], node[root[joined]]
+
+
+def _similar_in_cells(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Reads rows (knot, cell, side, part, node, set) sorted by knot and cell; a cell that goes on in the next batch waits for it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def linked(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for batch in batches:
+        knot, cell = (batch.column(k).to_numpy() for k in (0, 1))
+        cut = (np.flatnonzero((knot[1:] != knot[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist()
+        found = []
+        for a, z in zip([0, *cut], [*cut, len(knot)], strict=True):
+            if a == z:
+                continue
+            if held and last != (knot[a], cell[a]):
+                found.append(_similar_in_cell(pa.Table.from_batches(held), similarity))
+                held = []
+            held.append(batch.slice(a, z - a))
+            last = (knot[a], cell[a])
+        yield linked(found)
+    if held:
+        yield linked([_similar_in_cell(pa.Table.from_batches(held), similarity)])
+
+
+def similar_in_knots(parts: DataFrame, met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)``: links that join the texts ``parts(part, node)`` of a knot, texts that links ``met`` join, as all its similar pairs of different parts would.
+
+    All texts of a knot are held against each other, in cells of two blocks of about
+    KNOT_BLOCK texts; no pair is a row, and a text is sent as often as its knot has blocks.
+    """
+    knots = stage(components(met))
+    large = knots.groupBy("root").agg(F.ceil(F.count("*") / KNOT_BLOCK).alias("blocks")).where("blocks > 1")
+    rows = knots.join(large, "root", "left").join(parts.select("part", "node"), "node").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("to"), 3).when(F.col("own") < F.col("to"), 1).otherwise(2)
+    cell = F.least("own", "to") * F.col("blocks") + F.greatest("own", "to")
+    dealt = rows.select(F.col("root").alias("knot"), cell.alias("cell"), side.alias("side"), "part", "node").join(sets, "node")
+    dealt = dealt.select("knot", "cell", "side", "part", "node", "set").repartition("knot", "cell").sortWithinPartitions("knot", "cell")
+    return dealt.mapInArrow(partial(_similar_in_cells, similarity=similarity), "u long, v long")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -373,8 +444,8 @@ def similar_links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     """``(u, v)``: links that join the texts ``texts(fp, node, key)``, with or without sketches ``sk``, just as all similar pairs within ``distance`` would.
 
     First the nearest links that join a group are held against the texts. What they
-    leave apart is met again, and every candidate pair between two parts is held
-    against the texts, so that no pair is passed over for a lighter one that fails.
+    leave apart is met again, and all texts that candidate pairs between two parts join
+    are held against each other, so that no pair is passed over for a lighter one that fails.
     Pairs up to MARGIN bits beyond are tried where the probes bring them together.
     """
     accept, prints = distance + MARGIN, ["fp", *(c for c in texts.columns if c == "sk")]
@@ -384,8 +455,8 @@ def similar_links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     sets = shingle_sets(known.select("node", "key"), docs, id_col, text_col, width)
     good = stage(similar(first, sets, similarity))
     parts = stage(known.join(components(good), "node", "left").select(*prints, F.coalesce("root", F.xxhash64("node")).alias("part"), "node"))
-    rest = _ordered(links(parts, distance, accept=accept)).join(first, ["u", "v"], "left_anti")
-    return stage(good.union(similar(stage(rest), sets, similarity)))
+    met = stage(_ordered(links(parts, distance, accept=accept)))
+    return stage(good.union(similar_in_knots(parts, met, sets, similarity)))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int, similarity: float) -> tuple[DataFrame, DataFrame]:
