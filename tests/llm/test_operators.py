@@ -645,3 +645,23 @@ def test_odd_rows(spark, odd, none):
     assert simhash.near_duplicates(odd).count() == n and simhash.near_duplicates(none).count() == 0
     assert substring.remove_repeats(odd).count() == n and substring.remove_repeats(none).count() == 0
     assert packing.pack(odd, queries.tokenizer_path()).select("id").distinct().count() == len({i for i, _ in ODD})
+
+
+def test_similar_pairs_of_a_cell():
+    """Texts of a cell are joined as all similar pairs of its two sides would, also over several column runs and with empty sets."""
+    import numpy as np
+    import pyarrow as pa
+
+    from evtspark.llm import simhash
+
+    rng = np.random.default_rng(11)
+    base = [set(rng.integers(0, 10**9, 700).tolist()) for _ in range(4)]
+    sets = [sorted(s - set(rng.choice(sorted(s), int(rng.integers(0, 120)), replace=False).tolist())) for s in base for _ in range(8)] + [[], []]
+    for sides in ([3] * 34, [1, 2] * 17):
+        part, node = rng.integers(0, 6, 34), np.arange(100, 134)
+        cell = pa.table({"side": pa.array(sides, pa.int32()), "part": part, "node": node, "set": pa.array(sets, pa.list_(pa.int64()))})
+        u, v = simhash._similar_in_cell(cell, 0.8)
+        want = [(i, j) for i in range(34) for j in range(i) if (sides[i] != sides[j] or sides[i] == 3) and part[i] != part[j]]
+        want = [(i, j) for i, j in want if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+        roots = simhash.local_roots(34, *(np.array(x, np.int64) for x in zip(*want, strict=True)))
+        assert np.array_equal(roots, simhash.local_roots(34, u - 100, v - 100)) and len(want) > 5
