@@ -26,13 +26,8 @@ def gram(design: DataFrame, by: list[str], fold: str = "fold") -> DataFrame:
     return a.join(b, keys).groupBy(*by, fold, "f1", "f2").agg(F.sum(F.col("_a") * F.col("_b")).alias("g"))
 
 
-def ridge_fit(design: DataFrame, counts: DataFrame, by: list[str], unit: str, alphas: list[float], fold: str = "fold", kind: str = "ridge", rank: int | None = None) -> DataFrame:
-    """(by, unit, feature, coef, alpha, r2): fold 0 fits, fold 1 chooses alpha by R2.
-
-    kind: ridge (a linear kernel gives the same), lasso or nonneg, by coordinate
-    descent on the Gram matrix; ``rank`` cuts the ridge solution of a group's units
-    to that rank (reduced-rank regression). ``counts(by, fold, bin, unit, y)``.
-    """
+def fold_sums(design: DataFrame, counts: DataFrame, by: list[str], unit: str, fold: str = "fold") -> DataFrame:
+    """(by, part, k, a, b, v): all that a linear fit needs of a fold: products of features (g), of features and units (x), squares (q), sums (s) and numbers (n) of a unit."""
     keys = [*by, fold]
     g = gram(design, by, fold).select(*keys, F.struct(F.lit("g").alias("k"), F.col("f1").alias("a"), F.col("f2").alias("b"), F.col("g").alias("v")).alias("e"))
     xy = design.join(counts, [*keys, "bin"]).groupBy(*keys, "feature", unit).agg(F.sum(F.col("value") * F.col("y")).alias("v"))
@@ -42,25 +37,43 @@ def ridge_fit(design: DataFrame, counts: DataFrame, by: list[str], unit: str, al
     rows = g.unionByName(xy)
     for p in parts:
         rows = rows.unionByName(p)
-    flat = rows.select(*by, F.col(fold).cast("int").alias("part"), "e.*")
+    return rows.select(*by, F.col(fold).cast("int").alias("part"), "e.*")
+
+
+def matrices(pdf):
+    """(features, units, G, X, S) of one group's ``fold_sums``, the first axis being the fold."""
+    import numpy as np
+
+    feats = sorted(set(pdf.loc[pdf.k == "g", "a"]))
+    units = sorted(set(pdf.loc[pdf.k == "n", "a"]))
+    fi, ui = {f: i for i, f in enumerate(feats)}, {u: i for i, u in enumerate(units)}
+    G, X = np.zeros((2, len(feats), len(feats))), np.zeros((2, len(feats), len(units)))
+    S = {k: np.zeros((2, len(units))) for k in "qsn"}
+    for r in pdf.itertuples():
+        if r.k == "g":
+            G[r.part, fi[r.a], fi[r.b]] = r.v
+        elif r.k == "x" and r.a in fi:
+            X[r.part, fi[r.a], ui[r.b]] = r.v
+        elif r.k in S:
+            S[r.k][r.part, ui[r.a]] = r.v
+    return feats, units, G, X, S
+
+
+def ridge_fit(design: DataFrame, counts: DataFrame, by: list[str], unit: str, alphas: list[float], fold: str = "fold", kind: str = "ridge", rank: int | None = None) -> DataFrame:
+    """(by, unit, feature, coef, alpha, r2): fold 0 fits, fold 1 chooses alpha by R2.
+
+    kind: ridge (a linear kernel gives the same), lasso or nonneg, by coordinate
+    descent on the Gram matrix; ``rank`` cuts the ridge solution of a group's units
+    to that rank (reduced-rank regression). ``counts(by, fold, bin, unit, y)``.
+    """
+    flat = fold_sums(design, counts, by, unit, fold)
     schema = ", ".join([*(f"{k} {counts.schema[k].dataType.simpleString()}" for k in by), "unit string, feature string, coef double, alpha double, r2 double"])
 
     def solve(pdf):
         import numpy as np
         import pandas as pd
 
-        feats = sorted(set(pdf.loc[pdf.k == "g", "a"]))
-        units = sorted(set(pdf.loc[pdf.k == "n", "a"]))
-        fi, ui = {f: i for i, f in enumerate(feats)}, {u: i for i, u in enumerate(units)}
-        G, X = np.zeros((2, len(feats), len(feats))), np.zeros((2, len(feats), len(units)))
-        S = {k: np.zeros((2, len(units))) for k in "qsn"}
-        for r in pdf.itertuples():
-            if r.k == "g":
-                G[r.part, fi[r.a], fi[r.b]] = r.v
-            elif r.k == "x" and r.a in fi:
-                X[r.part, fi[r.a], ui[r.b]] = r.v
-            elif r.k in S:
-                S[r.k][r.part, ui[r.a]] = r.v
+        feats, units, G, X, S = matrices(pdf)
         best = None
         for alpha in alphas:
             if kind == "ridge":
@@ -100,14 +113,42 @@ def predict(design: DataFrame, coefs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def kernel_significance(design: DataFrame, counts: DataFrame, by: list[str], unit: str, alphas: list[float], events: list[str]) -> DataFrame:
-    """(by, unit, event, gain): R2 of the full model less that without the event's kernel."""
-    full = ridge_fit(design, counts, by, unit, alphas).select(*by, "unit", F.col("r2").alias("_full")).distinct()
-    out = None
-    for e in events:
-        rest = ridge_fit(design.where(~F.col("feature").startswith(f"{e}@")), counts, by, unit, alphas).select(*by, "unit", "r2").distinct()
-        part = full.join(rest, [*by, "unit"]).select(*by, "unit", F.lit(e).alias("event"), (F.col("_full") - F.col("r2")).alias("gain"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(by, unit, event, alpha, ve): share of the squares on fold 1 that the model without the event leaves and the event's kernel explains.
+
+    The model without the event is a ridge on fold 0, and the kernel a ridge on what
+    that leaves there, both with the alpha of the best ``ve`` on average over units.
+    All are blocks of one Gram matrix, so rows are read once for all events. An event
+    without features has null alpha and ve; a unit without a rest has null ve.
+    """
+    schema = ", ".join([*(f"{k} {counts.schema[k].dataType.simpleString()}" for k in by), "unit string, event string, alpha double, ve double"])
+
+    def solve(pdf):
+        import numpy as np
+        import pandas as pd
+
+        feats, units, G, X, S = matrices(pdf)
+        out = []
+        for e in events:
+            own = np.array([f.startswith(f"{e}@") for f in feats], bool)
+            best = (-np.inf, None, np.full(len(units), np.nan))
+            for alpha in alphas if own.any() else ():
+                rest = np.linalg.solve(G[0][~own][:, ~own] + alpha * np.eye((~own).sum()), X[0][~own])
+                left = [X[k][own] - G[k][own][:, ~own] @ rest for k in (0, 1)]  # the kernel's products with what is left
+                kernel = np.linalg.solve(G[0][own][:, own] + alpha * np.eye(own.sum()), left[0])
+                squares = S["q"][1] - 2 * (rest * X[1][~own]).sum(0) + np.einsum("fu,fg,gu->u", rest, G[1][~own][:, ~own], rest)
+                after = squares - 2 * (kernel * left[1]).sum(0) + np.einsum("fu,fg,gu->u", kernel, G[1][own][:, own], kernel)
+                ve = 1 - after / np.where(squares > 1e-12, squares, np.nan)
+                mean = np.mean(ve[np.isfinite(ve)]) if np.isfinite(ve).any() else -np.inf
+                if best[1] is None or mean > best[0]:
+                    best = (mean, alpha, ve)
+            out += [(u, e, best[1], v) for u, v in zip(units, best[2], strict=True)]
+        made = pd.DataFrame(out, columns=["unit", "event", "alpha", "ve"]).astype({"alpha": float, "ve": float})
+        for k in by:
+            made[k] = pdf[k].iloc[0]
+        return made[[*by, "unit", "event", "alpha", "ve"]]
+
+    made = fold_sums(design, counts, by, unit).groupBy(*by).applyInPandas(solve, schema)
+    return made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("alpha", "ve")})
 
 
 def additive_models(psth: DataFrame, by: list[str], vis: str, aud: str, value: str, fold: str = "fold") -> DataFrame:
@@ -334,10 +375,24 @@ def neurometric_fit(rows: DataFrame, features: list[str], label: str, fold: str,
     return scored.agg(F.lit(auc).alias("auc"), F.avg((F.col("_y") == F.col("_p")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
-def windowed_decoding(raster: DataFrame, trials: DataFrame, by: list[str], trial: str, unit: str, label: str, width: int, step: int, n_bins: int, reg: float = 1.0) -> DataFrame:
-    """(by, window, accuracy, majority, n): ridge classifier of the label from unit means in sliding windows, tested on every second trial.
+def stratified_folds(y, folds: int, repeat: int):
+    """Fold of each row: the rows of a class, shuffled by the repeat's number as seed, are dealt in turn, on from where the class before ended."""
+    import numpy as np
+
+    order = np.random.default_rng(repeat).permutation(len(y))
+    order = order[np.argsort(y[order], kind="stable")]
+    fold = np.empty(len(y), int)
+    fold[order] = np.arange(len(y)) % folds
+    return fold
+
+
+def windowed_decoding(raster: DataFrame, trials: DataFrame, by: list[str], trial: str, unit: str, label: str, width: int, step: int, n_bins: int, reg: float = 1.0, folds: int = 5, repeats: int = 5) -> DataFrame:
+    """(by, window, accuracy, majority, n): ridge classifier of the label from unit means in sliding windows, by repeated stratified folds.
 
-    A group is one session's window: its trials by its units.
+    ``accuracy`` is the share of trials that are told right when left out, over all
+    repeats, ``majority`` that of always saying the commoner label of the trials that
+    were not left out. Both are null for fewer trials than folds. A group is one
+    session's window: its trials by its units.
     """
     windows = F.filter(F.sequence(F.lit(0), F.lit(n_bins - width), F.lit(step)), lambda s: (s <= F.col("bin")) & (F.col("bin") < s + width))
     x = raster.withColumn("window", F.explode(windows)).groupBy(*by, "window", trial, unit).agg(F.avg("n").alias("x"))
@@ -349,15 +404,20 @@ def windowed_decoding(raster: DataFrame, trials: DataFrame, by: list[str], trial
         import pandas as pd
 
         m = pdf.pivot_table(index=[trial, "label_"], columns=unit, values="x", fill_value=0).sort_index()
-        y, X = m.index.get_level_values(1).to_numpy(float), np.c_[np.ones(len(m)), m.to_numpy(float)]
-        a, b = np.arange(len(y)) % 2 == 0, np.arange(len(y)) % 2 == 1
-        acc = maj = np.nan
-        if b.any() and a.any():
-            w = np.linalg.solve(X[a].T @ X[a] + reg * np.eye(X.shape[1]), X[a].T @ (2 * y[a] - 1))
-            acc, maj = float(((X[b] @ w > 0) == (y[b] > 0.5)).mean()), float(max(y[b].mean(), 1 - y[b].mean()))
+        y, X = m.index.get_level_values(1).to_numpy(float) > 0.5, np.c_[np.ones(len(m)), m.to_numpy(float)]
+        right = common = 0
+        for repeat in range(repeats if len(y) >= folds else 0):
+            fold = stratified_folds(y, folds, repeat)
+            for k in range(folds):
+                a, b = fold != k, fold == k
+                w = np.linalg.solve(X[a].T @ X[a] + reg * np.eye(X.shape[1]), X[a].T @ (2.0 * y[a] - 1))
+                right += int(((X[b] @ w > 0) == y[b]).sum())
+                common += int((y[b] == (2 * y[a].sum() > a.sum())).sum())
+        acc, maj = (v / (repeats * len(y)) if len(y) >= folds else np.nan for v in (right, common))
         return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), int(pdf["window"].iloc[0]), acc, maj, len(y)]], columns=[*by, "window", "accuracy", "majority", "n"]).astype({"window": "int32", "n": "int32"})
 
-    return rows.groupBy(*by, "window").applyInPandas(solve, schema)
+    made = rows.groupBy(*by, "window").applyInPandas(solve, schema)
+    return made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("accuracy", "majority")})
 
 
 def predictor_table(trials: DataFrame, rates: DataFrame, by: list[str], trial: str, unit: str, units: list) -> DataFrame:

@@ -105,9 +105,14 @@ def top_n(df: DataFrame, by: list[str], score: str, n: int, tie: str) -> DataFra
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def first_n(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+def first_n(df: DataFrame, by: list[str], order: list[str], n: int, pad: bool = False) -> DataFrame:
+    """The first n rows of each key with their ``rank``; with ``pad``, keys of fewer rows are filled up to n with rows of nulls."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    kept = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    if not pad:
+        return kept
+    short = df.groupBy(*by).agg(F.count("*").cast("int").alias("_n")).where(F.col("_n") < n)
+    return kept.unionByName(short.select(*by, F.explode(F.sequence(F.col("_n") + 1, F.lit(n))).alias("rank")), allowMissingColumns=True)
 
 
 def equalise_counts(df: DataFrame, by: list[str], klass: str, order: Column, max_n: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from evtspark.operators import regions as rg
 from evtspark.plans.registry import PTS, points, query, r6, table
 from evtspark.plans.selection_plans import CAT, catalog
 from evtspark.plans.summary_plans import EMB, TR, _long, _trials
+from evtspark.staging import stage
 
 
 @query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -88,19 +89,25 @@ def j15_nearest_prior_session(spark, d):
     return ma.nearest_prior_session(catalog(spark, d), ["subject"], "expDate", "1998-01-01", "o_orderkey")
 
 
-CH = """pr AS (SELECT l_partkey % 40 AS a, l_suppkey % 40 AS b, l_linenumber AS day, max(l_extendedprice) AS score FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2, 3),
+CH = """pr AS (SELECT x.l_linenumber AS day, x.l_suppkey AS a, y.l_suppkey AS b, max(x.l_extendedprice) AS score FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 GROUP BY 1, 2, 3),
  bst AS (SELECT day, a, b FROM (SELECT *, row_number() OVER (PARTITION BY day, b ORDER BY score DESC, a) AS r FROM pr) WHERE r = 1)"""
 
 
 def _pairs(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber <= 3")
-    return li.groupBy((F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"), F.col("l_linenumber").alias("day")).agg(F.max("l_extendedprice").alias("score"))
+    """Suppliers of an order's neighbouring lines as pairs of day k and k + 1; a line's number is the day."""
+    li = table(spark, d, "lineitem")
+    first = li.select("l_orderkey", F.col("l_linenumber").alias("day"), F.col("l_suppkey").alias("a"), F.col("l_extendedprice").alias("score"))
+    second = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("day"), F.col("l_suppkey").alias("b"))
+    return first.join(second, ["l_orderkey", "day"]).groupBy("day", "a", "b").agg(F.max("score").alias("score"))
+
+
+STEPS = " ".join(f"JOIN bst x{k} ON x{k}.day = {k} AND x{k}.a = x{k - 1}.b" for k in range(2, 7))
 
 
-@query(f"WITH {CH} SELECT x.a AS u0, x.b AS u1, y.b AS u2, z.b AS u3 FROM bst x JOIN bst y ON x.day = 1 AND y.day = 2 AND y.a = x.b JOIN bst z ON z.day = 3 AND z.a = y.b")
+@query(f"WITH {CH} SELECT x1.a AS u0, x1.b AS u1, x2.b AS u2, x3.b AS u3, x4.b AS u4, x5.b AS u5, x6.b AS u6 FROM bst x1 {STEPS} WHERE x1.day = 1")
 def j18_chain_matches(spark, d):
-    p = _pairs(spark, d)
-    return ma.chain_matches([p.where(F.col("day") == k).drop("day") for k in (1, 2, 3)])
+    p = stage(_pairs(spark, d))
+    return ma.chain_matches([p.where(F.col("day") == k).drop("day") for k in range(1, 7)])
 
 
 @query("WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from evtspark.operators import fits as fi
 from evtspark.operators import match as ma
 from evtspark.operators import regions as rg
 from evtspark.operators import stats as st
@@ -100,3 +101,44 @@ def test_interleaved_files_round_trip(spark, tmp_path):
     assert so.write_interleaved(df, "file", "k", ["a", "b"], f"file://{tmp_path}/raw").count() == 3
     got = so.read_interleaved(spark, f"file://{tmp_path}/raw", 2, samples=4).collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.sample, r.channel, r.v) for r in got) == sorted((f"{f}.bin", k, c, v) for f, k, *own in rows for c, v in enumerate(own))
+
+
+def test_first_n_fills_short_keys(spark):
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("a", 3), (None, 5)], "k string, v int")
+    got = sorted(((r.k or "", r.rank, r.v) for r in ma.first_n(rows, ["k"], ["v"], 2, pad=True).collect()))
+    assert got == [("", 1, 5), ("", 2, None), ("a", 1, 1), ("a", 2, 2)]
+    assert ma.first_n(rows.limit(0), ["k"], ["v"], 2, pad=True).count() == 0
+
+
+def test_kernel_significance_fits_the_kernel_on_what_is_left(spark):
+    rng = np.random.default_rng(8)
+    names = ["p@+000", "p@+001", "q@+000"]
+    x = rng.normal(size=(80, 3))
+    y = {"1": x @ [1.0, -2.0, 0.0] + rng.normal(size=80), "2": x @ [0.0, 0.0, 3.0] + rng.normal(size=80)}
+    design = spark.createDataFrame([("s", k % 2, k, f, float(x[k, j])) for k in range(80) for j, f in enumerate(names)], "s string, fold long, bin long, feature string, value double")
+    counts = spark.createDataFrame([("s", k % 2, k, u, float(v[k])) for u, v in y.items() for k in range(80)], "s string, fold long, bin long, unit string, y double")
+    got = {(r.unit, r.event): r.ve for r in fi.kernel_significance(design, counts, ["s"], "unit", [0.5], ["p", "q", "none"]).collect()}
+    ridge = lambda a, b: np.linalg.solve(a.T @ a + 0.5 * np.eye(a.shape[1]), a.T @ b)
+    for e, own in (("p", [0, 1]), ("q", [2])):
+        other = [j for j in range(3) if j not in own]
+        for u, v in y.items():
+            rest = v - x[:, other] @ ridge(x[::2][:, other], v[::2])
+            test = rest[1::2] - x[1::2][:, own] @ ridge(x[::2][:, own], rest[::2])
+            assert math.isclose(got[u, e], 1 - test @ test / (rest[1::2] @ rest[1::2]), abs_tol=1e-9)
+    assert got["1", "none"] is None and got["1", "p"] > 0.5 > got["1", "q"]
+
+
+def test_decoding_by_repeated_stratified_folds(spark):
+    y = np.array([0.0] * 12 + [1.0] * 18)
+    for repeat in range(3):
+        fold = fi.stratified_folds(y, 5, repeat)
+        for k in range(5):
+            assert 2 <= (y[fold == k] == 0).sum() <= 3 and (fold == k).sum() == 6
+    assert (fi.stratified_folds(y, 5, 0) != fi.stratified_folds(y, 5, 1)).any()
+    rng = np.random.default_rng(3)
+    rows = [("s", e, u, b, float(y[e] * (u == 0) * (b > 1) * 4 + rng.normal())) for e in range(30) for u in range(2) for b in range(4)]
+    raster = spark.createDataFrame([*rows, ("few", 0, 0, 0, 1.0)], "s string, event long, unit long, bin long, n double")
+    trials = spark.createDataFrame([("s", e, float(v)) for e, v in enumerate(y)] + [("few", 0, 1.0)], "s string, event long, y double")
+    got = {(r.s, r.window): r for r in fi.windowed_decoding(raster, trials, ["s"], "event", "unit", "y", 2, 2, 4).collect()}
+    assert got["s", 2].accuracy > 0.9 > got["s", 0].accuracy and got["s", 0].majority == 0.6 and got["s", 0].n == 30
+    assert got["few", 0].accuracy is None and got["few", 0].n == 1
