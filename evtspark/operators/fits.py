@@ -294,6 +294,11 @@ def pc1_weights(raster: DataFrame, by: list[str], trial: str, value: str) -> Dat
     return raster.groupBy(*by).applyInPandas(solve, schema)
 
 
+def mean_weights(weights: DataFrame, trials: DataFrame, by: list[str], trial: str, azimuth: str) -> DataFrame:
+    """(by, azimuth, weight): a unit's tuning by the mean size of its trials' weights; trials without an azimuth are one key."""
+    return weights.join(trials.select(trial, azimuth), trial).groupBy(*by, azimuth).agg(F.avg("weight").alias("weight"))
+
+
 def enhancement_index(df: DataFrame, by: list[str], kind: str, value: str) -> DataFrame:
     """(by, index): (mean multi - mean vis - mean aud) / sqrt(var vis + var aud), the limit of resampling sums of both."""
     pick = lambda k: F.when(F.col(kind) == k, F.col(value))
@@ -340,21 +345,45 @@ def choice_glm(cells: DataFrame, by: list[str], exponents: list[float], free: tu
     return rows.groupBy(*by).applyInPandas(solve, schema)
 
 
+def glm_loss(cells: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
+    """(by, loss): mean -log2 p of the cells under given parameters (columns of ``choice_glm``)."""
+    s = lambda c: F.pow(F.abs(c), F.col("n_exp"))
+    seen = F.when(F.col("vis") > 0, F.col("visR") * s(F.col("vis"))).otherwise(-F.col("visL") * s(F.col("vis")))
+    heard = F.when(F.col("aud") > 0, F.col("audR") * F.abs("aud")).otherwise(-F.col("audL") * F.abs("aud"))
+    p = F.greatest(F.least(1 / (1 + F.exp(-(F.col("bias") + seen + heard))), F.lit(1 - 1e-12)), F.lit(1e-12))
+    told = cells.join(params.select(*by, "bias", "visR", "visL", "audR", "audL", "n_exp"), by).withColumn("_p", p)
+    loss = -F.sum(F.col("n_right") * F.log2("_p") + (F.col("n") - F.col("n_right")) * F.log2(1 - F.col("_p"))) / F.sum("n")
+    return told.groupBy(*by).agg(loss.alias("loss"))
+
+
 def glm_compare(control: DataFrame, perturbed: DataFrame, by: list[str], exponents: list[float]) -> DataFrame:
     """(by, model, loss) on perturbed cells: control parameters as they are, with a free bias, and all free."""
     base = choice_glm(control, by, exponents)
+    out = glm_loss(perturbed, base, by).select(*by, F.lit("none").alias("model"), "loss")
+    for name, free in (("bias", ("bias",)), ("all", ("bias", "visR", "visL", "audR", "audL"))):
+        out = out.unionByName(choice_glm(perturbed, by, exponents, free, base).select(*by, F.lit(name).alias("model"), "loss"))
+    return out
+
+
+def bilateral_additivity(cells: DataFrame, by: list[str], place: str, perturbed: str, exponents: list[float]) -> DataFrame:
+    """(by, left, right, both, loss_sum, loss_both): whether the bias shifts of one-sided perturbations add up to that of both sides.
+
+    ``place`` of a cell is -1, 1 or 0 for both; shifts are those of a free bias over the
+    place's unperturbed cells. loss_sum is the loss on cells perturbed on both sides
+    with the shifts of both places added to their control, loss_both that with all
+    parameters free. Keys without all three places go.
+    """
+    part = lambda k, on: cells.where((F.col(place) == k) & (F.col(perturbed) == F.lit(on)))
+    base = {k: choice_glm(part(k, False), by, exponents) for k in (-1, 1, 0)}
     out = None
-    for name, free in (("none", ()), ("bias", ("bias",)), ("all", ("bias", "visR", "visL", "audR", "audL"))):
-        fit = choice_glm(perturbed, by, exponents, free or ("bias",), base)
-        if not free:  # evaluate the control fit
-            s = lambda c: F.pow(F.abs(c), F.col("n_exp"))
-            z = F.col("bias") + F.when(F.col("vis") > 0, F.col("visR") * s(F.col("vis"))).otherwise(-F.col("visL") * s(F.col("vis"))) + F.when(F.col("aud") > 0, F.col("audR") * F.abs("aud")).otherwise(-F.col("audL") * F.abs("aud"))
-            p = 1 / (1 + F.exp(-z))
-            cells = perturbed.join(base, by).withColumn("_p", F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12)))
-            loss = -F.sum(F.col("n_right") * F.log2("_p") + (F.col("n") - F.col("n_right")) * F.log2(1 - F.col("_p"))) / F.sum("n")
-            fit = cells.groupBy(*by).agg(loss.alias("loss"))
-        part = fit.select(*by, F.lit(name).alias("model"), "loss")
-        out = part if out is None else out.unionByName(part)
+    for k, name in ((-1, "left"), (1, "right"), (0, "both")):
+        moved = choice_glm(part(k, True), by, exponents, ("bias",), base[k]).select(*by, F.col("bias").alias("_bias"))
+        shift = moved.join(base[k], by).select(*by, (F.col("_bias") - F.col("bias")).alias(name))
+        out = shift if out is None else out.join(shift, by)
+    added = base[0].join(out, by).withColumn("bias", F.col("bias") + F.col("left") + F.col("right"))
+    whole = choice_glm(part(0, True), by, exponents, fixed=base[0])
+    for name, loss in (("loss_sum", glm_loss(part(0, True), added, by)), ("loss_both", whole)):
+        out = out.join(loss.select(*by, F.col("loss").alias(name)), by)
     return out
 
 

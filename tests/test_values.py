@@ -142,3 +142,41 @@ def test_decoding_by_repeated_stratified_folds(spark):
     got = {(r.s, r.window): r for r in fi.windowed_decoding(raster, trials, ["s"], "event", "unit", "y", 2, 2, 4).collect()}
     assert got["s", 2].accuracy > 0.9 > got["s", 0].accuracy and got["s", 0].majority == 0.6 and got["s", 0].n == 30
     assert got["few", 0].accuracy is None and got["few", 0].n == 1
+
+
+def test_lagged_noise_finds_the_planted_lag(spark):
+    rng = np.random.default_rng(9)
+    noise = rng.normal(size=(6, 40))
+    later = np.c_[rng.normal(size=(6, 2)), noise[:, :-2]] + 0.1 * rng.normal(size=(6, 40))
+    rows = [("s", u, t, t % 2, b, float(m[t, b])) for u, m in ((0, noise), (1, later)) for t in range(6) for b in range(40)] + [("s", 2, t, t % 2, b, 1.0) for t in range(6) for b in range(40)]
+    resp = spark.createDataFrame(rows, "s string, unit long, trial long, stim long, bin long, v double")
+    lags = [-3, -2, -1, 0, 1, 2, 3]
+    got = {(r.a, r.b): r for r in su.lagged_noise_corr(resp, ["s"], "unit", ["trial"], ["stim"], "bin", "v", lags).collect()}
+    assert set(got) == {(0, 1), (1, 0)} and got[1, 0].lag == 2 and got[0, 1].lag == -2
+    rest = [m - np.stack([m[t % 2 :: 2].mean(0) for t in range(6)]) for m in (noise, later)]
+    r = lambda k: np.corrcoef(rest[1][:, k:].ravel(), rest[0][:, : 40 - k].ravel())[0, 1]
+    assert math.isclose(got[1, 0].r, r(2), abs_tol=1e-9) and math.isclose(got[1, 0].gain, r(2) - r(0), abs_tol=1e-9)
+
+
+def test_mean_weights_by_azimuth(spark):
+    w = spark.createDataFrame([("u", 1, 0.2), ("u", 2, 0.4), ("u", 3, 0.9)], "unit string, trial int, weight double")
+    t = spark.createDataFrame([(1, -30.0), (2, -30.0), (3, None)], "trial int, azimuth double")
+    got = {r.azimuth: r.weight for r in fi.mean_weights(w, t, ["unit"], "trial", "azimuth").collect()}
+    assert math.isclose(got[-30.0], 0.3) and got[None] == 0.9
+
+
+def test_bilateral_shifts_add_up_where_planted(spark):
+    rows = []
+    for place, shift in ((-1, -1.0), (1, 0.4), (0, -0.6)):
+        for on in (False, True):
+            for vis in (-1.0, -0.5, 0.0, 0.5, 1.0):
+                for aud in (-1.0, 1.0):
+                    z = 0.2 + 2 * vis + 0.7 * aud + shift * on
+                    rows.append(("m", place, on, vis, aud, 1000 / (1 + math.exp(-z)), 1000.0))
+    cells = spark.createDataFrame([*rows, ("alone", -1, True, 0.5, 1.0, 3.0, 9.0)], "k string, place int, laser boolean, vis double, aud double, n_right double, n double")
+    (got,) = fi.bilateral_additivity(cells, ["k"], "place", "laser", [1.0]).collect()
+    for name, want in (("left", -1.0), ("right", 0.4), ("both", -0.6)):
+        assert math.isclose(got[name], want, abs_tol=1e-3), name
+    assert math.isclose(got.loss_sum, got.loss_both, abs_tol=1e-5)
+    free = {r.model: r.loss for r in fi.glm_compare(cells.where("place = 0 AND NOT laser"), cells.where("place = 0 AND laser"), ["k"], [1.0]).collect()}
+    assert free["none"] > free["bias"] >= free["all"] - 1e-9
