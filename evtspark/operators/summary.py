@@ -151,7 +151,7 @@ def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, va
 
     def packed(df: DataFrame, col: str, own: str, other: str) -> DataFrame:
         cell = F.struct(F.col(row).alias("row"), F.col(value).cast("double").alias("v"))
-        whole = df.where(F.col(row).isNotNull() & F.col(value).isNotNull()).groupBy(*by, F.col(col).alias("c")).agg(F.collect_list(cell).alias("m"))
+        whole = df.where(F.col(row).isNotNull() & F.col(value).isNotNull()).groupBy(*[F.col(k).alias(k) for k in by], F.col(col).alias("c")).agg(F.collect_list(cell).alias("m"))
         dealt = whole.withColumn(own, F.pmod(F.xxhash64("c"), F.lit(blocks)))
         return dealt.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
@@ -204,19 +204,20 @@ def signal_noise_corr(resp: DataFrame, by: list[str], stimulus: str, repeat: str
     return signal.join(pair.groupBy(*by).agg(F.corr("_o", "_e").alias("noise")), by)
 
 
-def lagged_noise_corr(resp: DataFrame, by: list[str], unit: str, trial: list[str], stimulus: list[str], bin_col: str, value: str, lags: list[int]) -> DataFrame:
+def lagged_noise_corr(resp: DataFrame, by: list[str], unit: str, trial: list[str], stimulus: list[str], bin_col: str, value: str, lags: list[int], blocks: int = 8) -> DataFrame:
     """(by, a, b, lag, r, gain): for every two units the lag of the largest |r|, ``lags`` in bins, and that r less the one at lag 0.
 
     r is the correlation of what the mean over a stimulus and bin leaves, of ``a`` lag
     bins after ``b`` in one trial. Bins beyond a trial's ends meet nothing. The
     nearest lag of equal ones is taken, the negative one first; pairs without
-    spread at any lag go, gain is null without one at lag 0.
+    spread at any lag go, gain is null without one at lag 0. ``blocks``: as for
+    ``corr_matrix``, 1 where a key has few units.
     """
     mean = F.avg(value).over(Window.partitionBy(*by, unit, *stimulus, bin_col))
     rest = resp.select(*by, F.col(unit).alias("_u"), F.to_json(F.struct(*trial)).alias("_t"), F.col(bin_col).alias("_b"), (F.col(value) - mean).alias("_v"))
     tried = rest.withColumn("_lag", F.explode(F.array(*[F.lit(k) for k in lags])))
     side = lambda at: tried.withColumn("_row", F.concat_ws("@", "_t", at))
-    r = corr_matrix(side(F.col("_b")), side(F.col("_b") + F.col("_lag")), "_row", "_u", "_u", "_v", by=[*by, "_lag"]).where("a <> b AND r IS NOT NULL")
+    r = corr_matrix(side(F.col("_b")), side(F.col("_b") + F.col("_lag")), "_row", "_u", "_u", "_v", by=[*by, "_lag"], blocks=blocks).where("a <> b AND r IS NOT NULL")
     best = F.max_by(F.struct(F.col("_lag").alias("lag"), "r"), F.struct(F.round(F.abs("r"), 12), -F.abs("_lag"), -F.col("_lag")))
     out = r.groupBy(*by, "a", "b").agg(best.alias("x"), F.max(F.when(F.col("_lag") == 0, F.col("r"))).alias("_zero"))
     return out.select(*by, "a", "b", "x.lag", "x.r", (F.col("x.r") - F.col("_zero")).alias("gain"))

@@ -151,6 +151,15 @@ def t3_first_n_trials(spark, d):
     return ma.first_n(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_quantity"], ["l_orderkey", "l_linenumber", "l_partkey"], 40).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query("""WITH k AS (SELECT l_returnflag, l_linestatus, l_quantity, l_orderkey, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem),
+ c AS (SELECT l_returnflag, l_linestatus, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2, 3)
+ SELECT * FROM k WHERE rank <= 250 UNION ALL SELECT l_returnflag, l_linestatus, l_quantity, NULL, r FROM c JOIN range(1, 251) g(r) ON r > n""")
+def t3_padded_trials(spark, d):
+    keys = ["l_returnflag", "l_linestatus", "l_quantity"]
+    li = table(spark, d, "lineitem").select(*keys, "l_orderkey", "l_linenumber", "l_partkey")
+    return ma.first_n(li, keys, ["l_orderkey", "l_linenumber", "l_partkey"], 250, pad=True).select(*keys, "l_orderkey", F.col("rank").cast("long").alias("rank"))
+
+
 @query("""WITH s AS (SELECT l_linestatus, min(n) AS m FROM (SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus, l_returnflag ORDER BY (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber) % 1000003, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem)
  SELECT l_orderkey, l_linenumber, l_partkey FROM k JOIN s USING (l_linestatus) WHERE r <= m""")
 def t4_equalise_counts(spark, d):

@@ -182,6 +182,13 @@ def m16_pc1_weights(spark, d):
     return fi.pc1_weights(_raster(spark, d).groupBy("unit", (F.col("event") % 50).alias("trial"), "bin").agg(F.sum("n").alias("n")), ["unit"], "trial", "n")
 
 
+@query()
+def m16_mean_weights(spark, d):
+    r = _raster(spark, d).groupBy("unit", "event", "bin").agg(F.sum("n").alias("n"))
+    trials = r.select("event", (F.col("event") % 7).alias("azimuth")).distinct()
+    return fi.mean_weights(fi.pc1_weights(r, ["unit"], "event", "n"), trials, ["unit"], "event", "azimuth")
+
+
 @query(f"""WITH {TR} SELECT subject, round((avg(rt) FILTER (kind = 'coherent') - avg(rt) FILTER (kind = 'visual') - avg(rt) FILTER (kind = 'auditory')) / sqrt(var_pop(rt) FILTER (kind = 'visual') + var_pop(rt) FILTER (kind = 'auditory')), 6) AS "index" FROM tr GROUP BY 1""")
 def m17_enhancement_index(spark, d):
     return fi.enhancement_index(_trials(spark, d), ["subject"], "kind", "rt").withColumn("index", r6("index"))
@@ -203,6 +210,14 @@ def m19_glm_compare(spark, d):
     return fi.glm_compare(_cells(spark, d, "pk % 3 > 0"), _cells(spark, d, "pk % 3 = 0"), ["subject"], [1.0])
 
 
+@query()
+def m19_bilateral_additivity(spark, d):
+    t = _trials(spark, d).where("response > 0").withColumns({"place": (F.col("pk") % 3 - 1).cast("int"), "laser": F.col("ln") % 2 == 0})
+    cells = t.groupBy("subject", "place", "laser", ((F.col("level") - 2) / 4.0).alias("vis"), (F.col("side") * 2 - 3).cast("double").alias("aud"))
+    cells = cells.agg(F.sum((F.col("response") == 2).cast("double")).alias("n_right"), F.count("*").cast("double").alias("n"))
+    return fi.bilateral_additivity(cells, ["subject"], "place", "laser", [1.0])
+
+
 @query()
 def m20_neurometric_fit(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n"), F.size(F.split("text", "\n")).cast("double").alias("lines"), F.length(F.regexp_replace("text", "[a-z ]", "")).cast("double").alias("other"))

@@ -221,6 +221,12 @@ def a24_signal_noise_corr(spark, d):
     return su.signal_noise_corr(e, ["label"], "pix", "k", "x").select("label", r6("signal").alias("signal"), r6("noise").alias("noise"))
 
 
+@query()
+def a24_lagged_noise_corr(spark, d):
+    r = _raster(spark, d).withColumn("stim", F.col("event") % 3)
+    return su.lagged_noise_corr(r, ["session"], "unit", ["event"], ["stim"], "bin", "n", [-2, -1, 0, 1, 2], blocks=1)
+
+
 @query(f"""WITH {EMB}, k AS (SELECT label, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS u, pix, x FROM em), f AS (SELECT label, u, pix % 32 AS p, x, pix // 32 AS half FROM k),
  c AS (SELECT i.label, i.half, i.u AS a, j.u AS b, corr(i.x, j.x) AS r FROM f i JOIN f j ON i.label = j.label AND i.half = j.half AND i.p = j.p AND i.u < j.u GROUP BY 1, 2, 3, 4)
  SELECT x.label, round(CASE WHEN count(*) > 3 THEN corr(x.r, y.r) END, 6) AS stability FROM c x JOIN c y ON x.label = y.label AND x.a = y.a AND x.b = y.b AND x.half = 0 AND y.half = 1 GROUP BY 1""")
