@@ -8,6 +8,7 @@ import numpy as np
 from evtspark.operators import fits as fi
 from evtspark.operators import match as ma
 from evtspark.operators import regions as rg
+from evtspark.operators import signal as sg
 from evtspark.operators import stats as st
 from evtspark.operators import summary as su
 from evtspark.operators import timejoin as tj
@@ -180,3 +181,38 @@ def test_bilateral_shifts_add_up_where_planted(spark):
     assert math.isclose(got.loss_sum, got.loss_both, abs_tol=1e-5)
     free = {r.model: r.loss for r in fi.glm_compare(cells.where("place = 0 AND NOT laser"), cells.where("place = 0 AND laser"), ["k"], [1.0]).collect()}
     assert free["none"] > free["bias"] >= free["all"] - 1e-9
+
+
+def test_robust_align_passes_over_a_lost_event(spark):
+    t = np.cumsum(np.random.default_rng(2).uniform(1, 5, 40))
+    a = spark.createDataFrame([("s", float(x)) for x in t], "s string, t double")
+    b = spark.createDataFrame([("s", float(x) + 100) for k, x in enumerate(t) if k != 20], "s string, t double")
+    got = {(r.i1, r.i2) for r in sg.robust_align(a, b, ["s"]).collect()}
+    assert got == {(k, k - (k > 20)) for k in range(40) if k != 20}
+
+
+def test_lasso_is_at_its_optimum_and_rank_is_cut(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 4))
+    y = {"1": x @ [2.0, 0.0, -1.0, 0.0] + 0.3 * rng.normal(size=120), "2": x @ [0.0, 1.0, 0.0, 0.0] + 0.3 * rng.normal(size=120)}
+    design = spark.createDataFrame([("s", k % 2, k, f"p@{j:+04d}", float(x[k, j])) for k in range(120) for j in range(4)], "s string, fold long, bin long, feature string, value double")
+    counts = spark.createDataFrame([("s", k % 2, k, u, float(v[k])) for u, v in y.items() for k in range(120)], "s string, fold long, bin long, unit string, y double")
+
+    def fit(**how):
+        rows = fi.ridge_fit(design, counts, ["s"], "unit", [0.1], **how).collect()
+        return {u: np.array([r.coef for r in sorted(rows, key=lambda r: r.feature) if r.unit == u]) for u in y}
+
+    for u, b in fit(kind="lasso").items():
+        slope = x[::2].T @ (y[u][::2] - x[::2] @ b)  # within alpha * rows of zero, at it where a coefficient is not zero
+        assert np.all(np.abs(slope) <= 6 + 1e-6) and np.allclose(slope[b != 0], 6 * np.sign(b[b != 0]), atol=1e-6) and (b == 0).any()
+    low = np.stack(list(fit(rank=1).values()), 1)
+    assert np.linalg.matrix_rank(low, tol=1e-9) == 1
+
+
+def test_predictor_table_has_scores_by_unit(spark):
+    trials = spark.createDataFrame([("s", e) for e in range(4)], "s string, event long")
+    rates = spark.createDataFrame([("s", e, "a", float(v)) for e, v in enumerate((1, 2, 3, 6))] + [("s", e, "b", 2.0) for e in range(4)], "s string, event long, unit string, rate double")
+    got = [(r.a, r.b) for r in fi.predictor_table(trials, rates, ["s"], "event", "unit", ["a", "b"]).orderBy("event").collect()]
+    z = np.array([1, 2, 3, 6]) - 3.0
+    a = np.array([x for x, _ in got])
+    assert np.allclose(a / a[3], z / z[3]) and a[3] > 0 and [b for _, b in got] == [0.0] * 4
