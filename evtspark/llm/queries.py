@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtspark.llm import chat, decontaminate, html_text, packing, pii, quality, sharding, simhash, substring, toxicity
+from evtspark.llm import ann, centroids, chat, decontaminate, html_text, packing, pii, quality, runs, sharding, simhash, substring, toxicity
 from evtspark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -145,6 +145,71 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, dim=64)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed="3", dim=64, scale=1024)
+    told = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(told.cast("binary"), 256).alias("centroid_sha256")
+    )
+
+
+def _op12_round(k: int) -> str:
+    """The assignment to centroids c{k-1} as a{k}, and their successors as c{k}."""
+    return f"""
+a{k} AS (
+  SELECT vec_id, r, arg_min(cluster, (square, cluster)) AS cluster, min(square) AS square FROM (
+    SELECT v.vec_id, v.r, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS square FROM v JOIN c{k - 1} c USING (i) GROUP BY ALL)
+  GROUP BY vec_id, r),
+c{k} AS (
+  SELECT o.cluster, o.i, CASE WHEN m.n IS NULL THEN o.x ELSE CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS x
+  FROM c{k - 1} o LEFT JOIN (SELECT a.cluster, v.i, sum(v.x) AS s, count(*) AS n FROM a{k} a JOIN v USING (r) GROUP BY ALL) m USING (cluster, i))"""
+
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, embedding, row_number() OVER () AS r FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+v AS (
+  SELECT vec_id, r, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM kept, (SELECT unnest(range(1, 65)) AS i)),
+c0 AS (
+  SELECT s.cluster, v.i, v.x FROM v JOIN (
+    SELECT r, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), embedding) - 1 AS cluster FROM kept QUALIFY cluster < 8) s USING (r)),
+{",".join(_op12_round(k) for k in range(1, 12))},
+said AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(square AS BIGINT) AS distance,
+       CAST(sum(square) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(square) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a11 JOIN said USING (cluster)
+"""
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: one document in ten, by the CRC of its id, with words repeated from a place and with a period that the CRC sets."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    own = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, own).alias("own"))
+    rows = rows.withColumn("n", F.size("own")).withColumn("g", F.expr("h div 10"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    turned = F.transform("own", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.element_at("own", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(made_periodic(table(spark, sf_dir, "documents")), least=12)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("small"))))
+    length, period = longest["length"], -longest["small"]
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-longest["back"]).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(told.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -156,5 +221,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op5_chat_formatting": OP5_SQL}
+ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op12_centroid_clustering": OP12_SQL}
