@@ -455,49 +455,3 @@ def predictor_table(trials: DataFrame, rates: DataFrame, by: list[str], trial: s
 
     z = zscore(rates, [*by, unit], "rate").groupBy(*by, trial).pivot(unit, units).agg(F.first("z", True))
     return trials.join(z, [*by, trial], "left").na.fill(0.0, [str(u) for u in units])
-
-
-def match_units(responses: DataFrame, day: str, unit: str, stimulus: str, value: str, components: int = 8, least: float = 0.5) -> DataFrame:
-    """(a, b, r): units of day 1 and 2 matched both ways by the correlation of their weights on shared response components.
-
-    Each day's stimulus by unit matrix is whitened by its SVD in a grouped map;
-    components of both days are aligned by an SVD of their product, which is
-    ``components`` squared numbers.
-    """
-    import numpy as np
-
-    from evtspark.operators.summary import corr_matrix
-
-    kind = responses.schema[unit].dataType.simpleString()
-
-    def whiten(pdf):
-        import pandas as pd
-
-        m = pdf.pivot_table(index=stimulus, columns=unit, values=value, fill_value=0).sort_index()
-        X = m.to_numpy(float) - m.to_numpy(float).mean(0)
-        u, s, vt = np.linalg.svd(X, full_matrices=False)
-        k = min(components, len(s))
-        stim = pd.DataFrame([("u", 0, int(i), c, u[r, c]) for r, i in enumerate(m.index) for c in range(k)], columns=["what", "unit_", "row_", "c", "v"])
-        load = pd.DataFrame([("w", n, 0, c, vt[c, j] * s[c]) for j, n in enumerate(m.columns) for c in range(k)], columns=["what", "unit_", "row_", "c", "v"])
-        out = pd.concat([stim, load])
-        out[day] = pdf[day].iloc[0]
-        return out[[day, "what", "unit_", "row_", "c", "v"]]
-
-    parts = responses.groupBy(day).applyInPandas(whiten, f"{day} {responses.schema[day].dataType.simpleString()}, what string, unit_ {kind}, row_ long, c int, v double").cache()
-    days = sorted(r[0] for r in responses.select(day).distinct().collect())[:2]
-    u = [parts.where((F.col("what") == "u") & (F.col(day) == d)).select("row_", F.col("c").alias(f"c{k}"), F.col("v").alias(f"v{k}")) for k, d in enumerate(days)]
-    cross = u[0].join(u[1], "row_").groupBy("c0", "c1").agg(F.sum(F.col("v0") * F.col("v1")).alias("g")).collect()  # components squared
-    M = np.zeros((components, components))
-    for r in cross:
-        M[r["c0"], r["c1"]] = r["g"]
-    a, _, bt = np.linalg.svd(M)
-    sides = []
-    for k, (d, rot) in enumerate(zip(days, (a, bt.T), strict=True)):
-        turn = responses.sparkSession.createDataFrame([(i, j, float(rot[i, j])) for i in range(components) for j in range(components)], "c int, shared int, t double")
-        w = parts.where((F.col("what") == "w") & (F.col(day) == d)).join(F.broadcast(turn), "c")
-        sides.append(w.groupBy(F.col("unit_").alias("u"), "shared").agg(F.sum(F.col("v") * F.col("t")).alias("x")))
-    r = corr_matrix(sides[0], sides[1], "shared", "u", "u", "x").where(F.col("r").isNotNull() & ~F.isnan("r"))
-    from pyspark.sql import Window
-
-    best = r.withColumn("_a", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("r"), "b"))).withColumn("_b", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("r"), "a")))
-    return best.where((F.col("_a") == 1) & (F.col("_b") == 1) & (F.col("r") > least)).select("a", "b", "r")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtspark.staging import stage
+
+#: Columns of a correlation matrix's block.
+BLOCK_COLUMNS = 1024
+
 
 def session_performance(trials: DataFrame, by: list[str], kind: str, side: str, feedback: str, response: str) -> DataFrame:
     """Go and no-go counts, accuracy per kind ((feedback + 1) / 2) and bias over as many left as right trials, first ones."""
@@ -141,17 +148,24 @@ def variance_explained(df: DataFrame, by: list[str], actual: str, predicted: str
     return df.groupBy(*by).agg((1 - F.try_divide(rest, F.var_pop(actual))).alias("ve"))
 
 
-def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, value: str, by: list[str] | None = None, blocks: int = 8) -> DataFrame:
+def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, value: str, by: list[str] | None = None, blocks: int | None = None) -> DataFrame:
     """(by, a, b, r): correlations of the columns of two long matrices over their common rows, null where one does not vary.
 
-    Columns are packed and dealt to ``blocks`` blocks a side; each pair of blocks is
-    one task with a handful of matrix products, so no row is joined with a row.
+    Columns are packed and dealt to ``blocks`` blocks a side, by default as many as
+    leave some BLOCK_COLUMNS columns of a key to each; each pair of blocks is one task
+    with a handful of matrix products, so no row is joined with a row.
     """
     by = by or []
-
-    def packed(df: DataFrame, col: str, own: str, other: str) -> DataFrame:
-        cell = F.struct(F.col(row).alias("row"), F.col(value).cast("double").alias("v"))
-        whole = df.where(F.col(row).isNotNull() & F.col(value).isNotNull()).groupBy(*[F.col(k).alias(k) for k in by], F.col(col).alias("c")).agg(F.collect_list(cell).alias("m"))
+    cell = F.struct(F.col(row).alias("row"), F.col(value).cast("double").alias("v"))
+    sides = []
+    for df, col in ((a, a_col), (b, b_col)):
+        whole = df.where(F.col(row).isNotNull() & F.col(value).isNotNull())
+        sides.append(whole.groupBy(*[F.col(k).alias(k) for k in by], F.col(col).alias("c")).agg(F.collect_list(cell).alias("m")))
+    if blocks is None:
+        sides = [stage(s) for s in sides]
+        blocks = max(1, math.ceil(max(s.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 for s in sides) / BLOCK_COLUMNS))
+
+    def packed(whole: DataFrame, own: str, other: str) -> DataFrame:
         dealt = whole.withColumn(own, F.pmod(F.xxhash64("c"), F.lit(blocks)))
         return dealt.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
@@ -187,7 +201,7 @@ def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, va
             out[k] = x[k].iloc[0]
         return out[names]
 
-    left, right = packed(a, a_col, "_i", "_j"), packed(b, b_col, "_j", "_i")
+    left, right = packed(sides[0], "_i", "_j"), packed(sides[1], "_j", "_i")
     kinds = [f"{k} {a.schema[k].dataType.simpleString()}" for k in by]
     schema = ", ".join([*kinds, f"a {a.schema[a_col].dataType.simpleString()}", f"b {b.schema[b_col].dataType.simpleString()}", "r double"])
     made = left.groupBy(*by, "_i", "_j").cogroup(right.groupBy(*by, "_i", "_j")).applyInPandas(product, schema)
@@ -204,7 +218,7 @@ def signal_noise_corr(resp: DataFrame, by: list[str], stimulus: str, repeat: str
     return signal.join(pair.groupBy(*by).agg(F.corr("_o", "_e").alias("noise")), by)
 
 
-def lagged_noise_corr(resp: DataFrame, by: list[str], unit: str, trial: list[str], stimulus: list[str], bin_col: str, value: str, lags: list[int], blocks: int = 8) -> DataFrame:
+def lagged_noise_corr(resp: DataFrame, by: list[str], unit: str, trial: list[str], stimulus: list[str], bin_col: str, value: str, lags: list[int], blocks: int | None = None) -> DataFrame:
     """(by, a, b, lag, r, gain): for every two units the lag of the largest |r|, ``lags`` in bins, and that r less the one at lag 0.
 
     r is the correlation of what the mean over a stimulus and bin leaves, of ``a`` lag

@@ -9,7 +9,7 @@ from evtspark.operators import match as ma
 from evtspark.operators import regions as rg
 from evtspark.plans.registry import PTS, points, query, r6, table
 from evtspark.plans.selection_plans import CAT, catalog
-from evtspark.plans.summary_plans import EMB, TR, _long, _trials
+from evtspark.plans.summary_plans import EMB, TR, _long, _trials, label_corr
 from evtspark.staging import stage
 
 
@@ -137,12 +137,9 @@ def t1_longest_session(spark, d):
     return ma.top_n(s.withColumn("dur", F.col("dur").cast("double")), ["subject"], "dur", 1, "o_orderkey").select("subject", "o_orderkey")
 
 
-@query(f"WITH {EMB}, c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(corr(a.x, b.x), 9) AS r FROM em a JOIN em b ON a.pix = b.pix AND a.label = 0 AND b.label = 1 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY r DESC, b) AS rank FROM c) SELECT a, b, rank FROM k WHERE rank <= 5")
+@query(f"WITH {EMB}, c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(corr(a.x, b.x), 9) AS r FROM em a JOIN em b ON a.pix = b.pix AND b.label = (a.label + 1) % 10 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY r DESC, b) AS rank FROM c) SELECT a, b, rank FROM k WHERE rank <= 5")
 def t2_top_n_matches(spark, d):
-    from evtspark.operators.summary import corr_matrix
-
-    e = _long(spark, d)
-    c = corr_matrix(e.where("label = 0"), e.where("label = 1"), "pix", "vec_id", "vec_id", "x").withColumn("r", F.round("r", 9))
+    c = label_corr(spark, d).withColumn("r", F.round("r", 9))
     return ma.top_n(c, ["a"], "r", 5, "b").select("a", "b", F.col("rank").cast("long").alias("rank"))
 
 

@@ -239,9 +239,3 @@ def m22_windowed_decoding(spark, d):
     r = _raster(spark, d)
     trials = r.select("session", "event").distinct().withColumn("y", (F.col("event") % 2).cast("double"))
     return fi.windowed_decoding(r, trials, ["session"], "event", "unit", "y", 3, 1, 6)
-
-
-@query()
-def m23_match_units(spark, d):
-    e = _long(spark, d).withColumn("day", F.col("vec_id") % 2).withColumn("unit", F.col("label")).groupBy("day", "unit", "pix").agg(F.avg("x").alias("x"))
-    return fi.match_units(e, "day", "unit", "pix", "x", least=0.0)

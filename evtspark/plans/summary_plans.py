@@ -207,10 +207,15 @@ def _long(spark, d):
     return e.select("vec_id", "label", F.posexplode("embedding").alias("pix", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-@query(f"WITH {EMB}, a AS (SELECT * FROM em WHERE label = 0), b AS (SELECT * FROM em WHERE label = 1) SELECT a.vec_id AS a, b.vec_id AS b, round(corr(a.x, b.x), 6) AS r FROM a JOIN b USING (pix) GROUP BY 1, 2")
-def a23_corr_matrix(spark, d):
+def label_corr(spark, d):
+    """Correlations of every vector with those of the next label."""
     e = _long(spark, d)
-    return su.corr_matrix(e.where("label = 0"), e.where("label = 1"), "pix", "vec_id", "vec_id", "x").withColumn("r", r6("r"))
+    return su.corr_matrix(e, e.withColumn("label", (F.col("label") + 9) % 10), "pix", "vec_id", "vec_id", "x", by=["label"])
+
+
+@query(f"WITH {EMB} SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(corr(a.x, b.x), 6) AS r FROM em a JOIN em b ON a.pix = b.pix AND b.label = (a.label + 1) % 10 GROUP BY 1, 2, 3")
+def a23_corr_matrix(spark, d):
+    return label_corr(spark, d).withColumn("r", r6("r"))
 
 
 @query(f"""WITH {EMB}, rep AS (SELECT label, pix, x, row_number() OVER (PARTITION BY label, pix ORDER BY vec_id) AS k FROM em), m AS (SELECT label, pix, avg(x) FILTER (k % 2 = 1) AS o, avg(x) FILTER (k % 2 = 0) AS e, avg(x) AS a FROM rep GROUP BY 1, 2),
