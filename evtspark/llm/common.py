@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or _own_dir()).rstrip("/")
 
 
-#: Folders of the steps written and not discarded so far.
-WRITTEN: list[str] = []
+#: Folders of the steps written in this run, if it keeps account of them; another run, in a thread of its own, has its own list.
+STEPS: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -42,8 +43,6 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = hadoop.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        if path in WRITTEN:
-            WRITTEN.remove(path)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -55,7 +54,8 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/steps/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    WRITTEN.append(path)
+    if (steps := STEPS.get()) is not None:
+        steps.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -103,7 +103,9 @@ def hash_texts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): a 64-bit hash of every word of all texts in a row, and the number of words of each text.
 
     A word's bytes are the digits of a number modulo 2**64, taken from running
-    sums over the joined texts, so no word becomes a Python object.
+    sums over the joined texts, so no word becomes a Python object. Equal words have
+    equal hashes; different ones can be made that have, so what is taken for equal by
+    these is compared by its bytes, or by a hash of its bytes, before it counts.
     """
     hashes, counts, held, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], 0
     for k, text in enumerate(raw):

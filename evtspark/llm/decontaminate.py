@@ -55,7 +55,7 @@ def places(text: str) -> np.ndarray:
 
 
 def symbols_of(h: np.ndarray) -> np.ndarray:
-    """Words as 32-bit symbols, all that the walks and buckets look at; the exact tests take all 64 bits."""
+    """Words as 32-bit symbols, all that the walks and buckets look at."""
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
@@ -127,6 +127,7 @@ class Index:
         hashed, n = hash_texts([plain(text) for _, text in items])
         stop = np.cumsum(n)
         self.items = [(item, hashed[z - k : z]) for (item, _), z, k in zip(items, stop.tolist(), n.tolist(), strict=True) if k]
+        self.texts = [plain(text) for (_, text), k in zip(items, n.tolist(), strict=True) if k]
         self.size = np.array([len(h) for _, h in self.items], np.int64)
         self.most = np.array([int(EDITS * len(h)) for _, h in self.items], np.int64)
         owned = [mix(h ^ mix(np.full(1, k + 1, np.uint64))) for k, (_, h) in enumerate(self.items)]
@@ -221,9 +222,15 @@ class Index:
         ends = reach[np.r_[starts[1:] - 1, len(doc) - 1]]
         doc, item, low, high = doc[starts], item[starts], low[starts], ends
         found: dict[int, list[tuple[int, int, int, int]]] = {}
+        told: dict[int, list[bytes]] = {}
         for r in np.flatnonzero(self.share_words(h, item, low, high)).tolist():
             d, k, a, z = int(doc[r]), int(item[r]), int(low[r]), int(high[r])
-            for edits, start, stop in occurrences(self.items[k][1], h[a:z], int(self.most[k])):
+            if d not in told:
+                told[d] = tokens(texts[d])
+            number: dict[bytes, int] = {}  # words, not their hashes, decide
+            symbols = np.array([number.setdefault(w, len(number)) for w in self.texts[k].split()])
+            region = np.array([number.get(w, -1) for w in told[d][a - first[d] : z - first[d]]])
+            for edits, start, stop in occurrences(symbols, region, int(self.most[k])):
                 found.setdefault(d, []).append((self.items[k][0], a - first[d] + start, a - first[d] + stop, edits))
         for d, own_ in sorted(found.items()):
             place = places(texts[d])

@@ -4,8 +4,8 @@ A window is ``window`` consecutive words. Its minimiser, the run of MINI words
 with the least hash, is the same wherever the window stands, so windows are dealt
 out to shards by it: neighbouring windows with one minimiser form a segment.
 Segments whose minimiser occurs once hold no repeat. Segments with the same words
-(known by two 64-bit hashes, of the minimiser and of all words) are pre-aggregated
-before they meet: all but the first are repeats as a whole, so that a passage with
+(known by XXH3 of 128 bits over their bytes, whatever the words' own hashes are, and
+by the minimiser) are pre-aggregated before they meet: all but the first are repeats as a whole, so that a passage with
 millions of copies costs its shard one segment. The distinct segments with a common
 minimiser stream through their shard, where an FM-index over them is searched
 backwards: the matching statistic of every window's end tells how many of its last
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evtspark.llm.common import BASE, INVERSE, ODD, hash_texts, mix, powers, stage, words
+from evtspark.llm.common import ODD, hash_texts, mix, stage, words
 
 MINI = 4
 #: Rows whose equal segments are settled in the mapper, before the exchange.
@@ -35,7 +35,7 @@ CHUNK_WINDOWS = 1_000_000
 #: Hot minimisers, each with over HOT_SEGMENTS rows of its own, that are sent to every task; with more, they are joined by key.
 BROADCAST_ROWS = 100_000
 LOW = -(1 << 63)
-SEGMENT = "key long, seg long, doc long, tag int, start int, n int"
+SEGMENT = "key long, seg long, sub long, doc long, tag int, start int, n int"
 
 
 def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -53,7 +53,9 @@ def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, by
 
 
 def _split(docs: list[tuple[int, int, bytes]], window: int) -> dict[str, np.ndarray]:
-    """Segments of whole documents: minimiser, content hash, place and number of windows."""
+    """Segments of whole documents: minimiser, 128 bits of hash of the words' bytes, place and number of windows."""
+    import xxhash
+
     h, length = hash_texts([d[2] for d in docs])
     long = length >= window
     h, length, docs = h[np.repeat(long, length)], length[long], [d for d, keep in zip(docs, long.tolist(), strict=True) if keep]
@@ -79,21 +81,26 @@ def _split(docs: list[tuple[int, int, bytes]], window: int) -> dict[str, np.ndar
     new = np.r_[True, (at[rows][1:] != at[rows][:-1]) | (doc[rows][1:] != doc[rows][:-1])]
     begin = rows[new]
     count = np.diff(np.r_[np.flatnonzero(new), len(rows)])
-    up = np.concatenate([[np.uint64(0)], np.cumsum(h * powers(BASE, n), dtype=np.uint64)])
-    content = (up[begin + count + window - 1] - up[begin]) * powers(INVERSE, n)[begin]
-    content = mix(content + count.astype(np.uint64) * ODD[5])
+    own = [w for d in docs for w in d[2].split()]
+    joined = memoryview(b" ".join(own))
+    edge = np.zeros(n + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, own), np.int64, n) + 1, out=edge[1:])
+    stops = (edge[begin + count + window - 1] - 1).tolist()
+    digests = b"".join([xxhash.xxh3_128_digest(joined[a:z]) for a, z in zip(edge[begin].tolist(), stops, strict=True)])
+    content = np.frombuffer(digests, np.int64).reshape(-1, 2)
     d = doc[begin]
     return {
-        "key": gram[at[begin]].view(np.int64), "seg": content.view(np.int64), "doc": np.array([x[0] for x in docs], np.int64)[d],
+        "key": gram[at[begin]].view(np.int64), "seg": content[:, 0], "sub": content[:, 1], "doc": np.array([x[0] for x in docs], np.int64)[d],
         "tag": np.array([x[1] for x in docs], np.int32)[d], "start": place[begin].astype(np.int32), "n": count.astype(np.int32),
     }
 
 
 def _settle(s: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Sorted segments; which are later copies of an equal one; which begin a new (key, seg)."""
-    order = np.lexsort((s["start"], s["doc"], s["seg"], s["key"]))
+    """Sorted segments; which are later copies of an equal one; which begin a new (key, seg, sub)."""
+    names = [k for k in ("key", "seg", "sub") if k in s]
+    order = np.lexsort((s["start"], s["doc"], *(s[k] for k in reversed(names))))
     s = {k: v[order] for k, v in s.items()}
-    new = np.r_[True, (s["key"][1:] != s["key"][:-1]) | (s["seg"][1:] != s["seg"][:-1])]
+    new = np.r_[True, np.any([s[k][1:] != s[k][:-1] for k in names], axis=0)]
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     return s, (s["doc"] != s["doc"][lead]) | (s["start"] != s["start"][lead]), new
 
@@ -110,7 +117,7 @@ def _runs(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     new = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] != start[:-1] + n[:-1])]
     at = np.flatnonzero(new)
     none = np.zeros(len(at), np.int64)
-    return {"key": mix((doc[at] + start[at]).view(np.uint64)).view(np.int64), "seg": none, "doc": doc[at], "tag": tag[at], "start": start[at], "n": np.add.reduceat(n, at).astype(np.int32)}
+    return {"key": mix((doc[at] + start[at]).view(np.uint64)).view(np.int64), "seg": none, "sub": none, "doc": doc[at], "tag": tag[at], "start": start[at], "n": np.add.reduceat(n, at).astype(np.int32)}
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -126,27 +133,27 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads segments sorted by (later, key, seg, doc, start); marks copies, keeps first segments whose key has others.
+    """Reads segments sorted by (key, seg, sub, doc, start); marks copies, keeps first segments whose key has others.
 
     ``later`` rows come out as they are; of the rest, rows of a key go on only if
     the key has two different segments. State across batches: the last key's
     leader and, if it is the key's only segment so far, its row.
     """
-    key = seg = lead = None
+    key = seg = sub = lead = None
     waiting: pa.RecordBatch | None = None
     several = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        s = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(("key", "seg", "doc", "tag", "start", "n"))}
-        late = batch.column(6).to_numpy(zero_copy_only=False).astype(bool)
+        s = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(("key", "seg", "sub", "doc", "tag", "start", "n"))}
+        late = batch.column(7).to_numpy(zero_copy_only=False).astype(bool)
         if late.any():
             yield _batch({k: v[late] for k, v in s.items()}, later=np.ones(late.sum(), bool))
         s = {k: v[~late] for k, v in s.items()}
         if not len(s["key"]):
             continue
         new_key = np.r_[s["key"][0] != key, s["key"][1:] != s["key"][:-1]]
-        new = new_key | np.r_[s["seg"][0] != seg, s["seg"][1:] != s["seg"][:-1]]
+        new = new_key | np.r_[s["seg"][0] != seg, s["seg"][1:] != s["seg"][:-1]] | np.r_[s["sub"][0] != sub, s["sub"][1:] != s["sub"][:-1]]
         at = np.flatnonzero(new)
         of = np.cumsum(new) - 1  # -1: the segment that the last batch ended with
         lead_doc = np.where(of < 0, 0 if lead is None else lead[0], s["doc"][at[of]] if len(at) else 0)
@@ -171,7 +178,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own.any():
                 waiting = _batch({k: v[own] for k, v in s.items()}, later=np.zeros(own.sum(), bool))
         several = bool(segs[group[-1]] >= 2)
-        key, seg, lead = s["key"][-1], s["seg"][-1], (lead_doc[-1], lead_start[-1])
+        key, seg, sub, lead = s["key"][-1], s["seg"][-1], s["sub"][-1], (lead_doc[-1], lead_start[-1])
 
 
 PARTS = "hot boolean, later boolean, deal long, key long, seg long, doc long, tag int, start int, n int, words binary"
@@ -327,7 +334,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeats(rows: DataFrame, window: int) -> DataFrame:
     """``(doc, tag, start, n)``: runs of windows of ``rows(doc, tag, text)`` whose words start earlier."""
-    met = rows.mapInArrow(partial(_segments, window=window), SEGMENT + ", later boolean").repartition("key").sortWithinPartitions("key", "seg", "doc", "start")
+    met = rows.mapInArrow(partial(_segments, window=window), SEGMENT + ", later boolean").repartition("key").sortWithinPartitions("key", "seg", "sub", "doc", "start")
     met = stage(met.mapInArrow(_meet, SEGMENT + ", later boolean"))
     copies, open_ = met.where("later").select("doc", "tag", "start", "n"), met.where("not later")
     hot = stage(open_.groupBy("key").count().where(F.col("count") > HOT_SEGMENTS).select("key", F.lit(True).alias("hot")))

@@ -296,7 +296,7 @@ def test_meet_across_batches():
     import pyarrow as pa
 
     rng = np.random.default_rng(1)
-    s = {"key": rng.integers(0, 8, 200), "seg": rng.integers(0, 3, 200), "doc": rng.integers(0, 30, 200), "tag": np.zeros(200, np.int32), "start": rng.integers(0, 4, 200).astype(np.int32), "n": np.ones(200, np.int32)}
+    s = {"key": rng.integers(0, 8, 200), "seg": rng.integers(0, 2, 200), "sub": rng.integers(0, 2, 200), "doc": rng.integers(0, 30, 200), "tag": np.zeros(200, np.int32), "start": rng.integers(0, 4, 200).astype(np.int32), "n": np.ones(200, np.int32)}
     s, _, _ = substring._settle(s)
     whole = substring._batch(s, later=np.zeros(200, bool))
     results = []
