@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtspark.llm import decontaminate, packing, pii, simhash, toxicity
-from evtspark.llm.common import WRITTEN, discard, shared_dir, table
+from evtspark.llm.common import STEPS, discard, shared_dir, table
 from evtspark.llm.queries import tokenizer_path
 
 
@@ -59,16 +59,20 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again by the next.
 
     A stage's own steps and its input go as soon as its output is written; what the
-    last stage wrote is read by whoever takes its rows.
+    last stage wrote is read by whoever takes its rows. Runs in one driver, each in its
+    own thread, know their own steps only.
     """
     docs, before = table(spark, sf_dir, "documents"), []
     base = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        steps = len(WRITTEN)
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{name}")
-            docs = spark.read.parquet(f"{base}/{name}")
-            discard(spark, WRITTEN[steps:] + before)
-            before = [f"{base}/{name}"]
+        token = STEPS.set([])
+        try:
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs.write.parquet(f"{base}/{name}")
+                docs = spark.read.parquet(f"{base}/{name}")
+                discard(spark, STEPS.get() + before)
+                before = [f"{base}/{name}"]
+        finally:
+            STEPS.reset(token)
     return docs
