@@ -81,13 +81,16 @@ def _split(docs: list[tuple[int, int, bytes]], window: int) -> dict[str, np.ndar
     new = np.r_[True, (at[rows][1:] != at[rows][:-1]) | (doc[rows][1:] != doc[rows][:-1])]
     begin = rows[new]
     count = np.diff(np.r_[np.flatnonzero(new), len(rows)])
-    own = [w for d in docs for w in d[2].split()]
-    joined = memoryview(b" ".join(own))
-    edge = np.zeros(n + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, own), np.int64, n) + 1, out=edge[1:])
-    stops = (edge[begin + count + window - 1] - 1).tolist()
-    digests = b"".join([xxhash.xxh3_128_digest(joined[a:z]) for a, z in zip(edge[begin].tolist(), stops, strict=True)])
-    content = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    digests, cut = [], np.searchsorted(doc[begin], np.arange(len(docs) + 1)).tolist()
+    at_start, at_stop = place[begin], place[begin] + count + window - 1
+    for k, (_, _, text) in enumerate(docs):  # a document's words at a time
+        own = text.split()
+        joined = memoryview(b" ".join(own))
+        edge = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1, out=edge[1:])
+        part = slice(cut[k], cut[k + 1])
+        digests += [xxhash.xxh3_128_digest(joined[a:z]) for a, z in zip(edge[at_start[part]].tolist(), (edge[at_stop[part]] - 1).tolist(), strict=True)]
+    content = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     d = doc[begin]
     return {
         "key": gram[at[begin]].view(np.int64), "seg": content[:, 0], "sub": content[:, 1], "doc": np.array([x[0] for x in docs], np.int64)[d],
