@@ -2,11 +2,15 @@
 
 Shuffles are deterministic: shuffle s orders rows by an integer hash of (row, s),
 so that results do not depend on partitioning and other engines can repeat them.
+A key of up to PACKED_ROWS rows is drawn from as arrays, blocks of shuffles at once,
+so that its rows exist once however many the shuffles are; the rows of a larger key
+are sorted once per shuffle, over all tasks. Both give the same results.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from evtspark.operators.timejoin import peri_event_join
+from evtspark.staging import stage
+
+#: Rows of a key whose shuffles are drawn as arrays, and labels that are drawn at once.
+PACKED_ROWS, DRAWN = 1_000_000, 4_000_000
 
 
 def shuffle_hash(row: Column, shuffle: Column) -> Column:
@@ -36,19 +44,104 @@ def p_value(stats: DataFrame, by: list[str], stat: str) -> DataFrame:
     return obs.join(p, by)
 
 
-def response_test(raster: DataFrame, by: list[str], trial: str, stim: Column, value: str, n_shuffles: int) -> DataFrame:
+def split_by_size(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of keys that fit arrays, dealt by key over a set number of tasks; rows of the others, if there are)."""
+    rows = stage(rows)
+    large = rows.groupBy(*by).count().where(F.col("count") > PACKED_ROWS).select(*by)
+    if large.isEmpty():
+        small, large = rows, None
+    else:
+        large = stage(large)
+        small, large = rows.join(large, by, "left_anti"), rows.join(large, by, "left_semi")
+    return small.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by), large
+
+
+def draws(row: np.ndarray, true: np.ndarray, n: int, shuffles_: range, picked: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(shuffles, labels): for blocks of shuffles, which rows are labelled, as many as truly are (or ``picked``); rows are sorted and differ, shuffle 0 is the truth."""
+    k = int(true.sum()) if picked is None else picked
+    size = max(1, DRAWN // max(n, 1))
+    for low in range(shuffles_.start, shuffles_.stop, size):
+        s = np.arange(low, min(low + size, shuffles_.stop), dtype=np.int64)[:, None]
+        order = np.fmod((row * 7919 + 104729) * (s * 2 + 1) * 31 + s * 15485863, 1000003) * max(n, 1) + np.arange(n)
+        label = order <= np.partition(order, k - 1, axis=1)[:, k - 1 : k] if 0 < k else np.zeros(order.shape, bool)
+        label[s[:, 0] == 0] = true
+        yield s[:, 0], label
+
+
+def means(label: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Means of the labelled rows of every draw, missing values left out; nan without any."""
+    some = ~np.isnan(value)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (label.astype(float) @ np.where(some, value, 0.0)) / (label.astype(float) @ some.astype(float))
+
+
+def observed_and_p(pdf: pd.DataFrame, by: list[str], stat: np.ndarray) -> pd.DataFrame:
+    null = stat[1:][~np.isnan(stat[1:])]
+    p = (null > stat[0]).mean() if len(null) and not np.isnan(stat[0]) else None
+    return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), None if np.isnan(stat[0]) else stat[0], p]], columns=[*by, "observed", "p"]).astype({"observed": float, "p": float})
+
+
+def _kinds(df: DataFrame, by: list[str]) -> str:
+    return "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in by)
+
+
+def _nulls(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+
+
+def response_test(raster: DataFrame, by: list[str], trial: str, stim: Column, value: str, n_shuffles: int, trim: float = 0.0) -> DataFrame:
     """(by, observed, p): max |mean| over bins of stimulus trials less that of blank ones, equal numbers of trials, labels shuffled.
 
-    Trials are labelled once per shuffle: as many, the first by order, are 'stimulus' as truly are.
+    As many trials, the first by order, are 'stimulus' in a shuffle as truly are. With
+    ``trim``, that share of the key's stimulus trials, rounded down, goes from either
+    end of each side's trials by their mean over bins, of equals by trial.
     """
     trials = raster.select(*by, trial, stim.cast("int").alias("_s")).distinct()
-    sizes = trials.groupBy(*by).agg(F.least(F.sum("_s"), F.sum(1 - F.col("_s"))).alias("_n"))
+    sizes = trials.groupBy(*by).agg(F.least(F.sum("_s"), F.sum(1 - F.col("_s"))).alias("_n"), F.floor(F.sum("_s") * trim).alias("_cut"))
     first = trials.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(trial))).join(sizes, by).where(F.col("_k") <= F.col("_n"))
-    tried = shuffles(first, n_shuffles, trial)
+    cells = raster.select(*by, trial, "bin", F.col(value).cast("double").alias("_v")).join(first.select(*by, trial, "_s", "_n", "_cut"), [*by, trial])
+    small, large = split_by_size(cells, by)
+
+    def solve(pdf):
+        row, at = np.unique(pdf[trial].to_numpy(), return_inverse=True)
+        bins, to = np.unique(pdf["bin"].to_numpy(), return_inverse=True)
+        x, some = np.zeros((len(row), len(bins))), np.zeros((len(row), len(bins)))
+        v = pdf["_v"].to_numpy(float)
+        known = ~np.isnan(v)
+        np.add.at(x, (at[known], to[known]), v[known])
+        np.add.at(some, (at[known], to[known]), 1.0)
+        true = np.zeros(len(row), bool)
+        true[at] = pdf["_s"].to_numpy() == 1
+        n, cut = int(pdf["_n"].iloc[0]), int(pdf["_cut"].iloc[0])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            order = np.lexsort((np.arange(len(row)), x.sum(1) / some.sum(1)))
+        stats = []
+        for _, label in draws(row.astype(np.int64), true, len(row), range(n_shuffles + 1), n):
+            top = []
+            for side in (label, ~label):
+                if cut:
+                    place = np.cumsum(side[:, order], axis=1)
+                    kept = np.zeros_like(side)
+                    kept[:, order] = side[:, order] & (place > cut) & (place <= n - cut)
+                    side = kept
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    mean = np.abs((side.astype(float) @ x) / (side.astype(float) @ some))
+                top.append(np.where(np.isnan(mean).all(1), np.nan, np.where(np.isnan(mean), -np.inf, mean).max(1)))
+            stats.append(top[0] - top[1])
+        return observed_and_p(pdf, by, np.concatenate(stats))
+
+    out = _nulls(small.groupBy(*by).applyInPandas(solve, f"{_kinds(raster, by)}observed double, p double"), "observed", "p")
+    return out if large is None else out.unionByName(_response_by_rows(large, by, trial, n_shuffles))
+
+
+def _response_by_rows(cells: DataFrame, by: list[str], trial: str, n_shuffles: int) -> DataFrame:
+    level = cells.groupBy(*by, trial, "_s", "_n", "_cut").agg(F.avg("_v").alias("_level"))
+    tried = shuffles(level, n_shuffles, trial)
     place = F.row_number().over(Window.partitionBy(*by, "shuffle").orderBy("order", trial))
-    label = F.when(F.col("shuffle") == 0, F.col("_s") == 1).otherwise(place <= F.col("_n"))
-    labels = tried.withColumn("_label", label).select(*by, trial, "shuffle", "_label")
-    mean = raster.join(labels, [*by, trial]).groupBy(*by, "shuffle", "_label", "bin").agg(F.avg(value).alias("_m"))
+    tried = tried.withColumn("_label", F.when(F.col("shuffle") == 0, F.col("_s") == 1).otherwise(place <= F.col("_n")))
+    tried = tried.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "shuffle", "_label").orderBy("_level", trial)))
+    labels = tried.where((F.col("_place") > F.col("_cut")) & (F.col("_place") <= F.col("_n") - F.col("_cut"))).select(*by, trial, "shuffle", "_label")
+    mean = cells.join(labels, [*by, trial]).groupBy(*by, "shuffle", "_label", "bin").agg(F.avg("_v").alias("_m"))
     top = mean.groupBy(*by, "shuffle").agg(F.max(F.when(F.col("_label"), F.abs("_m"))).alias("_a"), F.max(F.when(~F.col("_label"), F.abs("_m"))).alias("_b"))
     return p_value(top.withColumn("stat", F.col("_a") - F.col("_b")), by, "stat")
 
@@ -60,7 +153,33 @@ def average_rank(by: list[str], value: str) -> Column:
 
 def combined_condition_u(df: DataFrame, by: list[str], condition: list[str], side: Column, value: str, row: str, n_shuffles: int) -> DataFrame:
     """(by, u, p): within-condition U of side A, summed over conditions with both sides, over the number of rows; p = rank / (n + 1)."""
-    rows = df.withColumn("_a", side.cast("int"))
+    keys = [*by, *condition]
+    rows = df.select(*keys, F.col(row).cast("long").alias("_row"), F.col(value).cast("double").alias("_v"), side.cast("int").alias("_a"))
+    small, large = split_by_size(rows, by)
+
+    def solve(pdf):
+        total, many = np.zeros(n_shuffles + 1), 0
+        for _, part in pdf.groupby(condition, dropna=False):
+            part = part.sort_values("_row", kind="stable")
+            true, n = part["_a"].to_numpy() == 1, len(part)
+            if true.all() or not true.any():
+                continue
+            _, at, count = np.unique(part["_v"].fillna(-np.inf).to_numpy(float), return_inverse=True, return_counts=True)
+            rank = (np.cumsum(count) - (count - 1) / 2)[at]
+            for s, label in draws(part["_row"].to_numpy(np.int64), true, n, range(n_shuffles + 1)):
+                total[s] += label.astype(float) @ rank - true.sum() * (true.sum() + 1) / 2
+            many += n
+        if not many:
+            return pd.DataFrame(columns=[*by, "u", "p"])
+        u = total / many
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), u[0], ((u[1:] < u[0]).sum() + 1) / (n_shuffles + 1)]], columns=[*by, "u", "p"])
+
+    out = small.groupBy(*by).applyInPandas(solve, f"{_kinds(df, by)}u double, p double")
+    return out if large is None else out.unionByName(_u_by_rows(large, by, condition, n_shuffles))
+
+
+def _u_by_rows(rows: DataFrame, by: list[str], condition: list[str], n_shuffles: int) -> DataFrame:
+    value, row = "_v", "_row"
     both = rows.groupBy(*by, *condition).agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"), F.sum("_a").alias("_na"), F.count("*").alias("_nn")).where("_lo = 0 AND _hi = 1")
     keys = [*by, *condition]
     ranked = rows.join(both, keys).withColumn("_r", average_rank(keys, value))
@@ -100,12 +219,25 @@ def session_permutation_corr(units: DataFrame, traces: DataFrame, session: str,
 
 def difference_test(df: DataFrame, by: list[str], row: str, right: Column, value: str, n_shuffles: int) -> DataFrame:
     """(by, observed, p): |mean right - mean left| with labels shuffled."""
-    rows = df.withColumn("_a", right.cast("int"))
+    rows = df.select(*by, F.col(row).cast("long").alias("_row"), F.col(value).cast("double").alias("_v"), right.cast("int").alias("_a"))
+    small, large = split_by_size(rows, by)
+
+    def solve(pdf):
+        pdf = pdf.sort_values("_row", kind="stable")
+        v, true = pdf["_v"].to_numpy(float), pdf["_a"].to_numpy() == 1
+        stat = [np.abs(means(label, v) - means(~label, v)) for _, label in draws(pdf["_row"].to_numpy(np.int64), true, len(v), range(n_shuffles + 1))]
+        return observed_and_p(pdf, by, np.concatenate(stat))
+
+    out = _nulls(small.groupBy(*by).applyInPandas(solve, f"{_kinds(df, by)}observed double, p double"), "observed", "p")
+    return out if large is None else out.unionByName(_difference_by_rows(large, by, n_shuffles))
+
+
+def _difference_by_rows(rows: DataFrame, by: list[str], n_shuffles: int) -> DataFrame:
     sizes = rows.groupBy(*by).agg(F.sum("_a").alias("_n"))
-    tried = shuffles(rows.join(sizes, by), n_shuffles, row)
-    place = F.row_number().over(Window.partitionBy(*by, "shuffle").orderBy("order", row))
+    tried = shuffles(rows.join(sizes, by), n_shuffles, "_row")
+    place = F.row_number().over(Window.partitionBy(*by, "shuffle").orderBy("order", "_row"))
     tried = tried.withColumn("_in", F.when(F.col("shuffle") == 0, F.col("_a") == 1).otherwise(place <= F.col("_n")))
-    stat = tried.groupBy(*by, "shuffle").agg(F.abs(F.avg(F.when(F.col("_in"), F.col(value))) - F.avg(F.when(~F.col("_in"), F.col(value)))).alias("stat"))
+    stat = tried.groupBy(*by, "shuffle").agg(F.abs(F.avg(F.when(F.col("_in"), F.col("_v"))) - F.avg(F.when(~F.col("_in"), F.col("_v")))).alias("stat"))
     return p_value(stat, by, "stat")
 
 
@@ -128,9 +260,24 @@ def rank_corr(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def resample_latencies(df: DataFrame, by: list[str], row: str, latency: str, n_shuffles: int) -> DataFrame:
     """(by, shuffle, mean): means of the latencies that a shuffle's first half draws."""
-    tried = shuffles(df, n_shuffles, row).where("shuffle > 0")
-    place = F.percent_rank().over(Window.partitionBy(*by, "shuffle").orderBy("order", row))
-    return tried.withColumn("_p", place).where("_p < 0.5").groupBy(*by, "shuffle").agg(F.avg(latency).alias("mean"))
+    rows = df.select(*by, F.col(row).cast("long").alias("_row"), F.col(latency).cast("double").alias("_v"))
+    small, large = split_by_size(rows, by)
+
+    def solve(pdf):
+        pdf = pdf.sort_values("_row", kind="stable")
+        v = pdf["_v"].to_numpy(float)
+        parts = [(s, means(label, v)) for s, label in draws(pdf["_row"].to_numpy(np.int64), np.zeros(len(v), bool), len(v), range(1, n_shuffles + 1), max(1, len(v) // 2))]
+        out = pd.DataFrame({"shuffle": np.concatenate([np.empty(0), *(s for s, _ in parts)]).astype(np.int32), "mean": np.concatenate([np.empty(0), *(m for _, m in parts)])})
+        for k in by:
+            out[k] = pdf[k].iloc[0]
+        return out[[*by, "shuffle", "mean"]]
+
+    out = _nulls(small.groupBy(*by).applyInPandas(solve, f"{_kinds(df, by)}shuffle int, mean double"), "mean")
+    if large is None:
+        return out
+    tried = shuffles(large, n_shuffles, "_row").where("shuffle > 0")
+    place = F.percent_rank().over(Window.partitionBy(*by, "shuffle").orderBy("order", "_row"))
+    return out.unionByName(tried.withColumn("_p", place).where("_p < 0.5").groupBy(*by, "shuffle").agg(F.avg("_v").alias("mean")))
 
 
 @F.pandas_udf(DoubleType())
