@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evtspark.operators import choice as ch
+from evtspark.operators import kernels as ke
 from evtspark.operators import unitmatch as um
 from evtspark.operators.summary import corr_matrix
-from evtspark.plans.registry import query, table
-from evtspark.plans.stats_plans import _h
+from evtspark.plans.registry import PTS, query, table
+from evtspark.plans.stats_plans import _counts, _design, _folded, _h
 from evtspark.plans.summary_plans import TR, _long, _trials
 
 #: Trials as in the other plans: vis is the level about 2, aud the side, both over their largest size; five folds dealt by choice.
@@ -88,3 +89,30 @@ def m24_fingerprint_match(spark, d):
     side = lambda k: corr_matrix(e.where(F.col("half") == k), e.where(F.col("half") == k), "vec_id", "pix", "pix", "x", by=["label"], blocks=1)
     seeds = e.select("label").distinct().select("label", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("a")).withColumn("b", F.col("a"))
     return um.fingerprint_match(side(0), side(1), seeds, ["label"])
+
+
+@query()
+def m10_elastic_net(spark, d):
+    return ke.gram_fit(_folded(_design(spark, d)), _folded(_counts(spark, d)), ["session"], "unit", "elastic", (0.01, 0.1), l1_ratios=(0.2, 0.8))
+
+
+@query()
+def m10_reduce_then_ridge(spark, d):
+    return ke.gram_fit(_folded(_design(spark, d)), _folded(_counts(spark, d)), ["session"], "unit", "reduced_ridge", (0.1, 10.0), ranks=(1, 2))
+
+
+@query(f"""WITH {PTS}, c AS (SELECT session % 6 AS session, CAST(floor(t / 21600) AS BIGINT) AS bin, unit, count(*) AS y FROM pts WHERE unit NOT IN ('purchase', 'click') GROUP BY 1, 2, 3), m AS (SELECT session, unit, avg(y) AS m, count(*) AS k FROM c WHERE bin % 2 = 0 GROUP BY 1, 2)
+ SELECT session, unit, round(m, 6) AS coef, round(1 - sum((y - m) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*)), 6) AS r2 FROM c JOIN m USING (session, unit) WHERE bin % 2 = 1 GROUP BY session, unit, m""")
+def m10_mean_model(spark, d):
+    fits = ke.gram_fit(_folded(_design(spark, d)), _folded(_counts(spark, d)), ["session"], "unit", "mean")
+    return fits.select("session", "unit", F.round("coef", 6).alias("coef"), F.round("r2", 6).alias("r2"))
+
+
+@query()
+def m12_resolved_significance(spark, d):
+    return ke.resolved_significance(_folded(_design(spark, d)), _folded(_counts(spark, d)), ["session"], "unit", 1.0, {"purchase": ["purchase"], "any": ["purchase", "click"]}, "purchase")
+
+
+@query()
+def m12_leave_out_comparison(spark, d):
+    return ke.leave_out_comparison(_folded(_design(spark, d)), _folded(_counts(spark, d)), ["session"], "unit", 1.0, {"purchase": ["purchase"], "click": ["click"]})
