@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evtspark.operators import additive as ad
 from evtspark.operators import choice as ch
 from evtspark.operators import kernels as ke
 from evtspark.operators import unitmatch as um
@@ -116,3 +117,27 @@ def m12_resolved_significance(spark, d):
 @query()
 def m12_leave_out_comparison(spark, d):
     return ke.leave_out_comparison(_folded(_design(spark, d)), _folded(_counts(spark, d)), ["session"], "unit", 1.0, {"purchase": ["purchase"], "click": ["click"]})
+
+
+def _psth(spark, d):
+    """Mean times by subject, level (0: no visual stimulus), side (or none) and a bin of the part, odd and even trials apart."""
+    t = _trials(spark, d).withColumns({"vis": F.when(F.col("level") > 0, F.col("level")), "aud": F.when(F.col("kind") != "visual", F.col("side")), "bin": F.col("pk") % 4, "fold": F.col("session") % 2})
+    return t.groupBy("subject", "vis", "aud", "bin", "fold").agg(F.avg("rt").alias("rt"))
+
+
+@query()
+def m8_additive_designs(spark, d):
+    return ad.additive_designs(_psth(spark, d), ["subject"], "vis", "aud", "bin", "rt")
+
+
+@query()
+def m8_winning_design(spark, d):
+    return ad.winning_design(ad.additive_designs(_psth(spark, d), ["subject"], "vis", "aud", "bin", "rt"), ["subject"])
+
+
+@query(f"""WITH {TR}, p AS (SELECT subject, CASE WHEN level > 0 THEN level END AS vis, CASE WHEN kind <> 'visual' THEN side END AS aud, pk % 4 AS bin, session % 2 AS fold, avg(rt) AS y FROM tr GROUP BY ALL),
+ c AS (SELECT count(*) AS k FROM (SELECT DISTINCT vis, aud FROM p)), m AS (SELECT subject, bin, sum(y) / any_value(k) AS m FROM p, c WHERE fold = 0 GROUP BY 1, 2), t AS (SELECT b.subject, b.y, coalesce(a.y, 0) AS r, m.m FROM p b LEFT JOIN p a ON a.subject = b.subject AND a.bin = b.bin AND a.vis IS NOT DISTINCT FROM b.vis AND a.aud IS NOT DISTINCT FROM b.aud AND a.fold = 0 LEFT JOIN m ON m.subject = b.subject AND m.bin = b.bin WHERE b.fold = 1)
+ SELECT subject, 'retest' AS model, round(1 - var_pop(y - r) / var_pop(y), 6) AS ve FROM t GROUP BY 1 UNION ALL SELECT subject, 'baseline', round(1 - var_pop(y - m) / var_pop(y), 6) FROM t GROUP BY 1""")
+def m8_retest_and_baseline(spark, d):
+    scores = ad.additive_designs(_psth(spark, d), ["subject"], "vis", "aud", "bin", "rt").where("model IN ('retest', 'baseline')")
+    return scores.withColumn("ve", F.round("ve", 6))

@@ -14,9 +14,9 @@ from evtspark.sources.catalog import upsert_catalog
 from evtspark.staging import workspace
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of its files, ``ts`` as a timestamp."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def event_stream(spark: SparkSession, sf_dir: str, files: str = "events.parquet", at_once: int = 1000) -> DataFrame:
+    """The events table as a stream of its files, ``at_once`` a batch, ``ts`` as a timestamp."""
+    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", files).option("maxFilesPerTrigger", at_once).parquet(sf_dir)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -45,28 +45,37 @@ def window_counts(stream: DataFrame, by: list[str], size: str, late: str, slide:
     return stream.withWatermark("ts", late).groupBy(*by, w.alias("w")).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms")).select(*by, F.col("w.start").alias("start"), "n", "rms")
 
 
-def hysteresis(stream: DataFrame, key: str, low: float, high: float) -> DataFrame:
-    """(key, ts, state): flips between above ``high`` (1) and below ``low`` (-1); a key's last state is kept between batches.
+def hysteresis(stream: DataFrame, key: str | list[str], low: float, high: float) -> DataFrame:
+    """(key, ts, state): flips between above ``high`` (1) and below ``low`` (-1); ``key`` is one column or several, as session and channel.
 
-    A key's rows of one batch are ordered by time.
+    A key's last state and last time are kept between batches. Its rows of one batch
+    are taken by time; rows before the last time of an earlier batch come too late
+    and change nothing.
     """
     import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    keys = [key] if isinstance(key, str) else key
+    kinds = {k: stream.schema[k].dataType.simpleString() for k in keys}
 
-    def step(k, batches, state):
-        last = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("ts")
+    def step(own, batches, state):
+        last, seen = state.get if state.exists else (0, None)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        times = rows["ts"].astype("datetime64[us]").astype("int64")
+        if seen is not None:
+            rows, times = rows[times >= seen], times[times >= seen]
         out = []
         for ts, v in zip(rows["ts"], rows["value"], strict=True):
             now = 1 if v > high else -1 if v < low else last
             if now != last and last != 0:
-                out.append((k[0], ts, now))
+                out.append((*own, ts, now))
             last = now
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "ts", "state"]) if out else pd.DataFrame({key: pd.Series(dtype="int64"), "ts": pd.Series(dtype="datetime64[ns]"), "state": pd.Series(dtype="int32")})
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
+        state.update((last, int(times.max()) if len(times) else seen))
+        if out:
+            yield pd.DataFrame(out, columns=[*keys, "ts", "state"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, ts timestamp, state int", "last int", "append", GroupStateTimeout.NoTimeout)
+    schema = ", ".join(f"{k} {t}" for k, t in kinds.items())
+    return stream.groupBy(*keys).applyInPandasWithState(step, f"{schema}, ts timestamp, state int", "last int, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
 def interval_join(points: DataFrame, trials: DataFrame, key: str, span: str, late: str) -> DataFrame:
