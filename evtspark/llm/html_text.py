@@ -44,14 +44,17 @@ FURNITURE_NAMES = frozenset(
     footer foot copyright colophon legal comment comments commentlist disqus respond reply replies discussion share sharing social follow related recommended
     recommendations newsletter subscribe subscription signup login search toolbar skip masthead topbar""".split()
 )
+#: Of these, the names of readers' comments: what stands in them is no article, whatever its tag.
+TALK_NAMES = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 STOP = re.compile(r"[\"'>]")
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 LISTS = frozenset("ul ol dl table".split())
-#: A page leaves the host's path if it holds under this share of the text of the page's own best container.
-LEAST_SHARE = 0.4
+#: A page leaves the host's path if it holds under the first share of the text of the page's own best container, or under
+#: the second and that container is not the whole page and on a path that half of the host's pages have or more.
+LEAST_SHARE, WHOLE_SHARE = 0.4, 0.9
 #: Containers with a lower score have no vote.
 FLOOR = 0.3
 
@@ -59,10 +62,10 @@ FLOOR = 0.3
 class Node:
     """An element: numbers of its parent and of its path, and the text in it."""
 
-    __slots__ = ("tag", "parent", "path", "depth", "skip", "named", "link", "inside", "good", "junk", "article")
+    __slots__ = ("tag", "parent", "path", "depth", "skip", "named", "link", "inside", "talk", "good", "junk", "article")
 
-    def __init__(self, tag: str, parent: int, path: int, depth: int, skip: bool, named: bool, link: bool, inside: bool) -> None:
-        self.tag, self.parent, self.path, self.depth, self.skip, self.named, self.link, self.inside = tag, parent, path, depth, skip, named, link, inside
+    def __init__(self, tag: str, parent: int, path: int, depth: int, skip: bool, named: bool, link: bool, inside: bool, talk: bool = False) -> None:
+        self.tag, self.parent, self.path, self.depth, self.skip, self.named, self.link, self.inside, self.talk = tag, parent, path, depth, skip, named, link, inside, talk
         self.good = self.junk = self.article = 0
 
 
@@ -95,13 +98,13 @@ def _furniture(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     return "display:none" in attrs.get("style", "").replace(" ", "").lower()
 
 
-def _named(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether a class or the id is a furniture name as a whole: one such part, and no part that means something else."""
-    if not attrs or tag in ("article", "main"):
+def _named(tag: str, attrs: dict[str, str], names: frozenset[str] = FURNITURE_NAMES) -> bool:
+    """Whether a class or the id is a furniture name as a whole: one such part, and no part that means something else. An article can only be a comment."""
+    if not attrs or tag == "main" or (tag == "article" and names is not TALK_NAMES):
         return False
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
         parts = [x for x in re.split(r"[^a-z]+", name) if x]
-        if any(x in FURNITURE_NAMES for x in parts) and all(x in FURNITURE_NAMES or x in NEUTRAL_NAMES for x in parts):
+        if any(x in names for x in parts) and all(x in FURNITURE_NAMES or x in NEUTRAL_NAMES for x in parts):
             return True
     return False
 
@@ -229,12 +232,13 @@ class Page:
                 self._cut(place)
         top, number = self.nodes[self.stack[-1]], self.stack[-1]
         if name in INLINE and not raw:
-            self._push(Node(name, number, top.path, top.depth, top.skip, False, top.link or name == "a", top.inside))
+            self._push(Node(name, number, top.path, top.depth, top.skip, False, top.link or name == "a", top.inside, top.talk))
             return at
         attrs = _attributes(raw)
         path, depth = (top.path, top.depth) if name in INLINE else (_path(top.path, _generalised(name, attrs)), top.depth + 1)
         skip = top.skip or _furniture(name, attrs, top.inside)
-        self._push(Node(name, number, path, depth, skip, _named(name, attrs), top.link or name == "a", top.inside or name in ("article", "main")))
+        comment = _named(name, attrs, TALK_NAMES)
+        self._push(Node(name, number, path, depth, skip, comment or _named(name, attrs), top.link or name == "a", top.inside or name in ("article", "main"), top.talk or comment))
         return at
 
     def _weigh(self) -> None:
@@ -244,7 +248,7 @@ class Page:
             if not nodes[k].skip:
                 nodes[k].good += len(text)
         for n in reversed(nodes[1:]):
-            if n.tag in ("article", "main") and not n.skip:
+            if n.tag in ("article", "main") and not n.skip and not n.talk:
                 n.article = max(n.article, n.good)
             up = nodes[n.parent]
             up.good += n.good
@@ -275,12 +279,13 @@ class Page:
         bonus = 0.2 if node.tag == "article" else 0.1 if node.tag == "main" else 0.0
         return node.good / self.nodes[0].good + bonus - 0.5 * node.junk / (node.good + node.junk) + 0.001 * min(node.depth, 50)
 
-    def text_of(self, path: int | None) -> str:
-        """Blocks inside the containers on ``path``, or in the page's best container, joined by one space."""
+    def text_of(self, path: int | None, common: frozenset[int] = frozenset()) -> str:
+        """Blocks inside the containers on ``path``, or in the page's best container, joined by one space; ``common``: paths of half the host's pages."""
         containers = self.containers()
         own = max(containers, key=self.score)
         chosen = [n for n in containers if n.path == path and n.good] if path is not None else []
-        if sum(n.good for n in chosen) < LEAST_SHARE * own.good:
+        whole = own is not self.nodes[0] and own.path in common  # that the page holds something says nothing of it
+        if sum(n.good for n in chosen) < (WHOLE_SHARE if whole else LEAST_SHARE) * own.good:
             chosen = [own]
         wanted, within = {id(n) for n in chosen}, []
         for n in self.nodes:
@@ -288,29 +293,33 @@ class Page:
         return " ".join(text for k, text, _ in self.blocks if within[k] and not self.nodes[k].skip)
 
 
-def extract(page: str | None, path: int | None) -> str:
+def extract(page: str | None, path: int | None, common: list[int] | None = None) -> str:
     """Text of a page on ``path``, or by its own best container."""
-    return Page(page).text_of(path)
+    return Page(page).text_of(path, frozenset(common or ()))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        sums: dict[tuple[str, int, int], float] = {}
+        sums: dict[tuple[str, int, int], list[float]] = {}
         for host_, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             parsed = Page(page.as_py())
             found = parsed.containers()
             best = max(found, key=parsed.score)
+            had = set()
             for n in found:
                 if (score := parsed.score(n)) >= FLOOR:
-                    sums[host_, n.path, n.depth] = sums.get((host_, n.path, n.depth), 0.0) + (score if n is best else score / 2)
-        cols = zip(*((*key, score) for key, score in sums.items()), strict=True) if sums else ((),) * 4
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "path", "depth", "score"])
+                    vote = sums.setdefault((host_, n.path, n.depth), [0.0, 0])
+                    vote[0] += score if n is best else score / 2
+                    vote[1] += n.path not in had
+                    had.add(n.path)
+        cols = zip(*((*key, *vote) for key, vote in sums.items()), strict=True) if sums else ((),) * 5
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "path", "depth", "score", "pages"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        got = [extract(page.as_py(), path) for page, path in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+        got = [extract(page.as_py(), path, common) for page, path, common in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string())], names=["id", "url", "text"])
 
 
@@ -319,10 +328,14 @@ def host(url: F.Column) -> F.Column:
 
 
 def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, path, score)``: the path with the largest sum of votes of the host's pages; ties go to the deeper, then to the larger number."""
+    """``(host, path, score, common)``: the path with the largest sum of votes of the host's pages, ties to the deeper, then to the larger number; and the paths that half of the pages with text have."""
     rows = pages.select(host(pages[url_col].cast("string")).alias("host"), pages[html_col].cast("string").alias("html"))
-    votes = rows.mapInArrow(_votes, "host string, path long, depth int, score double").groupBy("host", "path", "depth").agg(F.round(F.sum("score"), 6).alias("score"))
-    return votes.groupBy("host").agg(F.max_by("path", F.struct("score", "depth", "path")).alias("path"), F.max("score").alias("score"))
+    votes = rows.mapInArrow(_votes, "host string, path long, depth int, score double, pages long")
+    votes = stage(votes.groupBy("host", "path", "depth").agg(F.round(F.sum("score"), 6).alias("score"), F.sum("pages").alias("pages")))
+    best = votes.groupBy("host").agg(F.max_by("path", F.struct("score", "depth", "path")).alias("path"), F.max("score").alias("score"), F.max("pages").alias("most"))
+    # a page votes for few paths, so few can be those of half the pages
+    common = votes.join(best.select("host", "most"), "host").where(2 * F.col("pages") >= F.col("most")).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("common"))
+    return best.join(common, "host").select("host", "path", "score", "common")
 
 
 #: Hosts whose winning paths are sent to every task; with more, pages and paths are joined by host.
@@ -336,9 +349,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Repeated rows and null ids come back as they are; an empty table gives no
     rows; other columns are ignored.
     """
-    paths = stage(winning_paths(pages, url_col, html_col).select("host", "path"))
+    paths = stage(winning_paths(pages, url_col, html_col).select("host", "path", "common"))
     if paths.count() <= MAX_BROADCAST_HOSTS:
         paths = F.broadcast(paths)
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
-    rows = rows.withColumn("host", host(F.col("url"))).join(paths, "host", "left").select("id", "url", "html", "path")
+    rows = rows.withColumn("host", host(F.col("url"))).join(paths, "host", "left").select("id", "url", "html", "path", "common")
     return rows.mapInArrow(_texts, "id long, url string, text string")
