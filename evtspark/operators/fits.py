@@ -7,7 +7,7 @@ fitted iteratively see one group's aggregated cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -306,6 +306,22 @@ def enhancement_index(df: DataFrame, by: list[str], kind: str, value: str) -> Da
     return df.groupBy(*by).agg(F.try_divide(F.avg(pick("coherent")) - F.avg(pick("visual")) - F.avg(pick("auditory")), sd).alias("index"))
 
 
+def enhancement_bootstrap(df: DataFrame, by: list[str], kind: str, value: str, order: list[str], draws: int = 10_000, seed: int = 1) -> DataFrame:
+    """(by, index): the same from ``draws`` sums of a visual and an auditory trial, drawn with repeats by a seeded hash; trials are numbered by ``order``."""
+    from evtspark.operators.stats import shuffle_hash
+
+    known = df.where(F.col(value).isNotNull())
+    ranked = known.where(F.col(kind).isin("visual", "auditory")).select(*by, F.col(kind).alias("_kind"), F.col(value).alias("_y"), (F.row_number().over(Window.partitionBy(*by, kind).orderBy(*order)) - 1).cast("long").alias("_i"))
+    count = lambda k: F.count(F.when(F.col(kind) == k, F.lit(1)))
+    sizes = known.groupBy(*by).agg(count("visual").alias("_nv"), count("auditory").alias("_na"), F.avg(F.when(F.col(kind) == "coherent", F.col(value))).alias("_multi")).where("_nv > 0 AND _na > 0")
+    drawn = sizes.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    for k, n, at in (("visual", "_nv", 2 * seed), ("auditory", "_na", 2 * seed + 1)):
+        side = ranked.where(F.col("_kind") == k).select(*by, "_i", F.col("_y").alias(f"_{k}"))
+        drawn = drawn.withColumn("_i", shuffle_hash(F.col("_d"), F.lit(at).cast("long")) % F.col(n)).join(side, [*by, "_i"]).drop("_i")
+    both = F.col("_visual") + F.col("_auditory")
+    return drawn.groupBy(*by).agg(F.try_divide(F.first("_multi") - F.avg(both), F.stddev_pop(both)).alias("index"))
+
+
 def choice_glm(cells: DataFrame, by: list[str], exponents: list[float], free: tuple[str, ...] = ("bias", "visR", "visL", "audR", "audL"), fixed: DataFrame | None = None) -> DataFrame:
     """(by, bias, visR, visL, audR, audL, n_exp, loss): log-odds of right = bias + visR v^N [v>0] - visL |v|^N [v<0] + audR a [a>0] - audL |a| [a<0].
 

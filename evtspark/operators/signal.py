@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evtspark.operators.timejoin import asof_join, peri_event_join
 
-START = Window.unboundedPreceding
+START, END = Window.unboundedPreceding, Window.unboundedFollowing
 
 
 def over(by: list[str], *order: str | Column):
@@ -297,24 +297,66 @@ def best_end_extension(trials: DataFrame, pulses: DataFrame, by: list[str], cand
     return bad.withColumn("_r", F.row_number().over(over(by, "n_bad", "pad"))).where("_r = 1").drop("_r")
 
 
-def motion_periods(df: DataFrame, by: list[str], on: str, value: str, k: int = 5, min_share: float = 0.02, seed: int = 1) -> DataFrame:
-    """(by, start, stop): periods of motion by hysteresis between the lowest two k-means centres with a fair share of samples.
+def motion_thresholds(df: DataFrame, by: list[str], value: str, k: int = 5, min_share: float = 0.02, bins: int = 512) -> DataFrame:
+    """(by, low, high): the lowest of ``k`` means of a key's samples with a fair share of them, and that plus the spread of its samples.
 
-    The centres are fitted over all samples with MLlib.
+    Means are sought on a histogram of ``bins`` bins between the key's least and
+    largest sample, begun at equal steps between them, so that a group is so many rows;
+    each bin stands for its samples' mean. Keys without samples go.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=[value], outputCol="features", handleInvalid="skip").transform(df)
-    model = KMeans(k=k, seed=seed).fit(rows.select("features"))
-    sizes = model.summary.clusterSizes
-    n = sum(sizes)
-    centres = sorted(float(c[0]) for c, s in zip(model.clusterCenters(), sizes, strict=True) if s >= min_share * n)
-    low, high = centres[0], centres[min(1, len(centres) - 1)]
-    state = schmitt(df, by, [on], value, low, high)
+    import numpy as np
+
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    span = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    place = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+    cells = rows.join(span, by).groupBy(*by, F.coalesce(place, F.lit(0)).alias("_b")).agg(F.count("*").cast("double").alias("_n"), F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"))
+
+    def solve(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("_b")
+        n, s, q = (pdf[c].to_numpy(float) for c in ("_n", "_s", "_q"))
+        x = s / n
+        centre = x[0] + (x[-1] - x[0]) * (np.arange(k) + 0.5) / k
+        for _ in range(300):
+            own = np.abs(x[:, None] - centre[None]).argmin(1)
+            many = np.bincount(own, n, k)
+            new = np.where(many > 0, np.bincount(own, s, k) / np.maximum(many, 1), centre)
+            if np.abs(new - centre).max() < 1e-12:
+                break
+            centre = new
+        kept = np.flatnonzero(many > min_share * n.sum())
+        low = kept[centre[kept].argmin()]
+        spread = np.sqrt(max(q[own == low].sum() / many[low] - centre[low] ** 2, 0.0))
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), centre[low], centre[low] + spread]], columns=[*by, "low", "high"])
+
+    schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in by), "low double, high double"])
+    return cells.groupBy(*by).applyInPandas(solve, schema)
+
+
+def motion_periods(df: DataFrame, by: list[str], on: str, value: str, k: int = 5, min_share: float = 0.02, min_on: float = 0.01, min_off: float = 0.01) -> DataFrame:
+    """(by, start, stop): periods of motion by hysteresis between a key's own two thresholds.
+
+    A period ends with the first sample under the lower threshold, or with the last
+    one there is; one that nothing under it comes before begins with the first sample.
+    Periods of ``min_on`` or less go; then those a pause of ``min_off`` or less parts
+    become one.
+    """
+    told = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).join(motion_thresholds(df, by, value, k, min_share), by)
     w = over(by, on)
-    runs = state.withColumn("_run", F.sum(F.coalesce(F.col("state") != F.lag("state", 1).over(w), F.lit(True)).cast("int")).over(w.rowsBetween(START, 0)))
-    return runs.where("state = 1").groupBy(*by, "_run").agg(F.min(on).alias("start"), F.max(on).alias("stop")).drop("_run")
+    state = F.last(F.when(F.col(value) > F.col("high"), 1).when(F.col(value) < F.col("low"), -1), True).over(w.rowsBetween(START, 0))
+    runs = told.withColumn("state", F.coalesce(state, F.lit(0)))
+    first = F.first("state").over(w.rowsBetween(START, 0))
+    ahead = F.first(F.when(F.col("state") != 0, F.col("state")), True).over(w.rowsBetween(0, END))
+    runs = runs.withColumn("state", F.when((F.col("state") == 0) & (first == 0), ahead).otherwise(F.col("state")))
+    runs = runs.withColumn("_run", F.sum(F.coalesce(F.col("state") != F.lag("state", 1).over(w), F.lit(True)).cast("int")).over(w.rowsBetween(START, 0)))
+    periods = runs.groupBy(*by, "_run", "state").agg(F.min(on).alias("start"), F.max(on).alias("_last"))
+    per = over(by, "_run")
+    periods = periods.withColumn("stop", F.coalesce(F.lead("start").over(per), F.col("_last"))).where("state = 1").where(F.col("stop") - F.col("start") > min_on)
+    timed = over(by, "start")
+    parted = F.coalesce(F.col("start") - F.lag("stop").over(timed) > min_off, F.lit(True))
+    joined = periods.withColumn("_new", parted).withColumn("_k", F.sum(F.col("_new").cast("int")).over(timed.rowsBetween(START, 0)))
+    return joined.groupBy(*by, "_k").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_k")
 
 
 def robust_align(t1: DataFrame, t2: DataFrame, by: list[str], on: str = "t", threshold: float = 0.5, search: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evtspark.operators import additive as ad
 from evtspark.operators import choice as ch
+from evtspark.operators import fits as fi
 from evtspark.operators import kernels as ke
 from evtspark.operators import unitmatch as um
 from evtspark.operators.summary import corr_matrix
@@ -141,3 +142,9 @@ def m8_winning_design(spark, d):
 def m8_retest_and_baseline(spark, d):
     scores = ad.additive_designs(_psth(spark, d), ["subject"], "vis", "aud", "bin", "rt").where("model IN ('retest', 'baseline')")
     return scores.withColumn("ve", F.round("ve", 6))
+
+
+@query(f"""WITH {TR}, r AS (SELECT subject, kind, rt, row_number() OVER (PARTITION BY subject, kind ORDER BY session, ln, pk, rt) - 1 AS i FROM tr), z AS (SELECT subject, count(*) FILTER (kind = 'visual') AS nv, count(*) FILTER (kind = 'auditory') AS na, avg(rt) FILTER (kind = 'coherent') AS m FROM tr GROUP BY 1),
+ d AS (SELECT z.*, {_h("d", "2")} % nv AS iv, {_h("d", "3")} % na AS ia FROM z, range(0, 2000) g(d)) SELECT d.subject, round((any_value(m) - avg(v.rt + a.rt)) / stddev_pop(v.rt + a.rt), 6) AS "index" FROM d JOIN r v ON v.subject = d.subject AND v.kind = 'visual' AND v.i = iv JOIN r a ON a.subject = d.subject AND a.kind = 'auditory' AND a.i = ia GROUP BY 1""")
+def m17_enhancement_bootstrap(spark, d):
+    return fi.enhancement_bootstrap(_trials(spark, d), ["subject"], "kind", "rt", ["session", "ln", "pk", "rt"], draws=2000).withColumn("index", F.round("index", 6))

@@ -216,3 +216,35 @@ def test_predictor_table_has_scores_by_unit(spark):
     z = np.array([1, 2, 3, 6]) - 3.0
     a = np.array([x for x, _ in got])
     assert np.allclose(a / a[3], z / z[3]) and a[3] > 0 and [b for _, b in got] == [0.0] * 4
+
+
+def test_motion_periods_per_key(spark):
+    """Two keys of different levels: each has its own thresholds; short periods go, short pauses are bridged."""
+    rng = np.random.default_rng(15)
+    want, rows = {"a": [(2.0, 4.0), (6.0, 7.5)], "b": [(0.0, 1.0), (5.0, 9.99)]}, []
+    for k, scale in (("a", 1.0), ("b", 40.0)):
+        for i in range(1000):
+            t = i / 100
+            moving = any(x <= t < z for x, z in want[k]) or (k == "a" and i == 850)  # one sample alone
+            pause = k == "a" and i == 300
+            level = rng.choice([4.0, 6.0, 8.0, 10.0]) if moving and not pause else 2.0 * (rng.random() < 0.01)
+            rows.append((k, t, float(scale * (level + rng.uniform(0, 0.1) * (not pause)))))
+    df = spark.createDataFrame(rows, "k string, t double, v double")
+    found = {r.k: (r.low, r.high) for r in sg.motion_thresholds(df, ["k"], "v").collect()}
+    assert 0 < found["a"][0] < found["a"][1] < 1.5 and 0 < found["b"][0] < found["b"][1] < 60 and found["b"][0] > 20 * found["a"][0]
+    got = {}
+    for r in sg.motion_periods(df, ["k"], "t", "v", min_on=0.2, min_off=0.015).orderBy("k", "start").collect():
+        got.setdefault(r.k, []).append((r.start, r.stop))
+    assert got.keys() == want.keys()
+    for k in want:
+        assert len(got[k]) == 2 and all(abs(a - x) < 0.2 and abs(z - y) < 0.2 for (a, z), (x, y) in zip(got[k], want[k], strict=True)), got
+    one = spark.createDataFrame([("c", 0.0, 1.0), ("c", 1.0, 1.0)], "k string, t double, v double")
+    assert sg.motion_periods(one, ["k"], "t", "v").count() == 0 and sg.motion_periods(one.limit(0), ["k"], "t", "v").count() == 0
+
+
+def test_bootstrapped_index_is_near_its_limit(spark):
+    rng = np.random.default_rng(16)
+    rows = [("s", i, k, float(rng.normal(m, 1))) for k, m in (("visual", 1), ("auditory", 2), ("coherent", 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "s string, i long, kind string, y double")
+    limit, drawn = fi.enhancement_index(df, ["s"], "kind", "y").first()["index"], fi.enhancement_bootstrap(df, ["s"], "kind", "y", ["i"]).first()["index"]
+    assert abs(limit - drawn) < 0.06 and drawn > 1
