@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,23 @@ def argmax(a: Column) -> Column:
 
 def linspace(low: float, high: float, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lit(low) + k * ((high - low) / max(n - 1, 1)))
+
+
+def merge_maps(first: Column, *others: Column) -> Column:
+    """One map of all keys; of a key that several have, the last one's value. A null map has no keys."""
+    none = F.map_filter(F.coalesce(first, *others), lambda k, v: F.lit(False))
+
+    def over(old: Column, new: Column) -> Column:
+        return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+    return reduce(over, [F.coalesce(m, none) for m in (first, *others)])
+
+
+def load_json(text: Column, schema: str) -> Column:
+    """JSON text as ``schema``; text that is none, or of another kind, is null."""
+    return F.from_json(text, schema, {"mode": "PERMISSIVE"})
+
+
+def dump_json(value: Column) -> Column:
+    """A struct, map or array as JSON text, null fields written."""
+    return F.to_json(value, {"ignoreNullFields": "false"})

@@ -235,27 +235,39 @@ def gaussian_2d(p, xy):
     return p[0] + p[1] * np.exp(-0.5 * (((xy[0] - p[2]) / (abs(p[4]) + 1e-9)) ** 2 + ((xy[1] - p[3]) / (abs(p[5]) + 1e-9)) ** 2))
 
 
-def fit_tuning(curves: DataFrame, by: list[str], x: str, y: str, split: bool = False) -> DataFrame:
-    """(by, baseline, gain, centre, width, ve): Gaussian after linear upsampling; null where the fit fails. A group is one unit's curve."""
-    schema = ", ".join([*(f"{k} {curves.schema[k].dataType.simpleString()}" for k in by), "baseline double, gain double, centre double, width double, ve double"])
+def fit_tuning(curves: DataFrame, by: list[str], x: str, y: str, split: bool = False, fold: str | None = None) -> DataFrame:
+    """(by, baseline, gain, centre, width, ve): Gaussian after linear upsampling; null where the fit fails. A group is one unit's curve.
+
+    With ``fold`` a unit has a curve per fold: the one of the smallest fold is
+    fitted, and there is a row per fold with that fit's variance explained of the
+    fold's curve (null where it is flat). Points without a place or value go.
+    """
+    numbers = ["baseline", "gain", "centre", "width", "ve"]
+    made = [*([fold] if fold else []), *numbers]
+    schema = ", ".join([*(f"{k} {curves.schema[k].dataType.simpleString()}" for k in [*by, *made[:-5]]), *(f"{c} double" for c in numbers)])
+    points = curves.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(fold).isNotNull() if fold else F.lit(True)))
 
     def solve(pdf):
         import numpy as np
         import pandas as pd
 
-        d = pdf.sort_values(x)
-        xs, ys = d[x].to_numpy(float), d[y].to_numpy(float)
+        f = split_gaussian if split else gaussian
+        parts = [(k, d.sort_values(x)) for k, d in pdf.groupby(fold)] if fold else [(None, pdf.sort_values(x))]
+        xs, ys = (parts[0][1][c].to_numpy(float) for c in (x, y))
         p = None
         if len(xs) > 3 and np.ptp(ys) > 0:
             fx = np.linspace(xs[0], xs[-1], 100 * (len(xs) - 1) + 1)
             k = ys.argmax()
             p0 = [ys.min(), np.ptp(ys), xs[k], np.ptp(xs) / 4] + ([np.ptp(xs) / 4] if split else [])
-            f = split_gaussian if split else gaussian
             p = levenberg_marquardt(f, p0, fx, np.interp(fx, xs, ys))
-        row = [None] * 5 if p is None else [p[0], p[1], p[2], abs(p[3]), 1 - np.var(ys - f(p, xs)) / np.var(ys)]
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), *row]], columns=[*by, "baseline", "gain", "centre", "width", "ve"]).astype({c: float for c in ("baseline", "gain", "centre", "width", "ve")})
-
-    return curves.groupBy(*by).applyInPandas(solve, schema)
+        rows = []
+        for k, d in parts:
+            at, own = (d[c].to_numpy(float) for c in (x, y))
+            fit = [None] * 5 if p is None else [p[0], p[1], p[2], abs(p[3]), 1 - np.var(own - f(p, at)) / np.var(own) if np.ptp(own) > 0 else None]
+            rows.append([*(pdf[c].iloc[0] for c in by), *([k] if fold else []), *fit])
+        return pd.DataFrame(rows, columns=[*by, *made]).astype({c: float for c in numbers})
+
+    return points.groupBy(*by).applyInPandas(solve, schema)
 
 
 def fit_rf(maps: DataFrame, by: list[str], x: str, y: str, z: str, degrees: float = 7.5) -> DataFrame:

@@ -1,7 +1,9 @@
 """Window operators over signals and event sequences.
 
 A signal has the key columns ``by`` (session, channel), an order column and a
-value; every operator is one window pass per key or an aggregate.
+value; every operator is one window pass per key or an aggregate. With ``bucket``
+the rows of a key are dealt out by slices of time of that length (``scan``), so
+that a long key is not one task; the result is the same.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtspark.operators.scan import in_slices, scan
 from evtspark.operators.timejoin import asof_join, peri_event_join
 
 START, END = Window.unboundedPreceding, Window.unboundedFollowing
@@ -29,8 +32,10 @@ def valid_trials(trials: DataFrame, by: list[str], trial: str = "trial", repeat:
     return runs.withColumn("valid", (F.col(repeat) == 1) | F.coalesce(first_silent & (F.col(trial) == answered), F.lit(False))).drop("_run", "_last")
 
 
-def fill_forward(df: DataFrame, by: list[str], order: list[str], col: str) -> DataFrame:
+def fill_forward(df: DataFrame, by: list[str], order: list[str], col: str, bucket: float | None = None) -> DataFrame:
     """``col`` with nulls replaced by the last value before."""
+    if bucket:
+        return scan(df, by, order, bucket, {col: ("last", F.col(col))}).select(*df.columns)
     return df.withColumn(col, F.last(col, True).over(over(by, *order).rowsBetween(START, 0)))
 
 
@@ -64,10 +69,14 @@ def switch_points(df: DataFrame, by: list[str], order: list[str], cond: str, a:
     return out.withColumn("block", F.sum(F.abs("switch")).over(w.rowsBetween(START, 0)))
 
 
-def schmitt(df: DataFrame, by: list[str], order: list[str], value: str, low: float | Column, high: float | Column) -> DataFrame:
+def schmitt(df: DataFrame, by: list[str], order: list[str], value: str, low: float | Column, high: float | Column, bucket: float | None = None) -> DataFrame:
     """``state``: 1 after rising above ``high``, -1 after falling below ``low``, 0 before either; ``flip``: the state changed between 1 and -1."""
     w = over(by, *order)
     level = F.when(F.col(value) > high, 1).when(F.col(value) < low, -1)
+    if bucket:
+        out = scan(df.withColumn("_level", level), by, order, bucket, {"state": ("last", F.col("_level"))})
+        out = scan(out.withColumn("state", F.coalesce("state", F.lit(0))), by, order, bucket, {"_before": ("lag", F.col("state"))})
+        return out.withColumn("flip", F.coalesce((F.col("state") != F.col("_before")) & (F.col("state") != 0) & (F.col("_before") != 0), F.lit(False))).drop("_level", "_before")
     out = df.withColumn("state", F.coalesce(F.last(level, True).over(w.rowsBetween(START, 0)), F.lit(0)))
     before = F.lag("state", 1).over(w)
     return out.withColumn("flip", F.coalesce((F.col("state") != before) & (F.col("state") != 0) & (before != 0), F.lit(False)))
@@ -101,8 +110,15 @@ def drop_repeat_polarity(df: DataFrame, by: list[str], order: list[str], polarit
     return out.where(keep).drop("_b", "_a")
 
 
-def sessionize(df: DataFrame, by: list[str], on: str, gap: float, min_rows: int = 1) -> DataFrame:
+def sessionize(df: DataFrame, by: list[str], on: str, gap: float, min_rows: int = 1, bucket: float | None = None) -> DataFrame:
     """(by, period, start, stop, n): runs of events whose gaps are at most ``gap``."""
+    if bucket:
+        # events of one time are one row to the scans
+        times = df.groupBy(*by, on).agg(F.count("*").alias("_n"))
+        cut = scan(times, by, [on], bucket, {"_before": ("lag", F.col(on))})
+        cut = cut.withColumn("_new", F.coalesce((F.col(on) - F.col("_before")) > gap, F.lit(True)).cast("int"))
+        cut = scan(cut, by, [on], bucket, {"period": ("sum", F.col("_new"))})
+        return cut.groupBy(*by, "period").agg(F.min(on).alias("start"), F.max(on).alias("stop"), F.sum("_n").alias("n")).where(F.col("n") >= min_rows)
     w = over(by, on)
     cut = df.withColumn("_new", F.coalesce((F.col(on) - F.lag(on, 1).over(w)) > gap, F.lit(True)).cast("int"))
     cut = cut.withColumn("period", F.sum("_new").over(w.rowsBetween(START, 0)))
@@ -146,13 +162,15 @@ def wheel_degrees(value: Column, counts: int = 1024) -> Column:
     return value * 360.0 / (4 * counts)
 
 
-def movement_onsets(df: DataFrame, by: list[str], order: list[str], value: str, win: int = 51, threshold: float = 0.0, quiet: int = 50) -> DataFrame:
+def movement_onsets(df: DataFrame, by: list[str], order: list[str], value: str, win: int = 51, threshold: float = 0.0, quiet: int = 50, bucket: float | None = None) -> DataFrame:
     """Starts of sustained movement in one direction: ``direction`` 1 (falling) or 2 (rising) at the onset row, else null.
 
     In a direction a row is active if the mean of the ``win`` speeds from it on
     reaches the threshold and none points the other way; the onset is the row
     before the first active one after ``quiet`` rows that are not.
     """
+    if bucket:
+        return in_slices(df, by, order, lambda d, keys: movement_onsets(d, keys, order, value, win, threshold, quiet), quiet + 1, win + 1, bucket)
     w = over(by, *order)
     out = df.withColumn("_dv", F.col(value) - F.lag(value, 1).over(w))
     ahead = w.rowsBetween(0, win - 1)
@@ -191,36 +209,70 @@ def frame_gaps(df: DataFrame, by: list[str], on: str, factor: float = 1.4) -> Da
     return steps.join(median, by).groupBy(*by).agg(F.sum(gap.cast("long")).alias("n_gaps"), missed.cast("long").alias("missed"))
 
 
-def merge_ranges(df: DataFrame, by: list[str], start: str, stop: str, extend: bool = True) -> DataFrame:
+def merge_ranges(df: DataFrame, by: list[str], start: str, stop: str, extend: bool = True, bucket: float | None = None) -> DataFrame:
     """``df`` with a group number per key: ranges that touch share one.
 
     ``extend``: a group reaches to its largest stop (true interval merging). Else a
     range joins the group before it while it starts at or before that group's
-    first stop; the fold runs per key over its sorted ranges.
+    first stop, and only ``by``, ``start`` and ``stop`` are returned with the number.
+    Groups of that kind lie within merged intervals, so each interval is folded by
+    itself, as a stream. Ranges have both ends, and do not stop before they start.
     """
     w = over(by, start, stop)
-    if extend:
+    if extend and not bucket:
         reach = F.max(stop).over(w.rowsBetween(START, -1))
         return df.withColumn("_n", F.coalesce(F.col(start) > reach, F.lit(True)).cast("int")).withColumn("range_group", F.sum("_n").over(w.rowsBetween(START, 0)) - 1).drop("_n")
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(start, stop))).alias("_r"))
-    fold = F.aggregate(
-        "_r", F.struct(F.lit(-1).alias("g"), F.lit(None).cast(df.schema[stop].dataType).alias("first"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.when(a["first"].isNull() | (x[start] > a["first"]), F.struct((a["g"] + 1).alias("g"), x[stop].alias("first"), F.array_append(a["out"], a["g"] + 1).alias("out")))
-        .otherwise(F.struct(a["g"].alias("g"), a["first"].alias("first"), F.array_append(a["out"], a["g"]).alias("out"))),
-    )
-    rows = rows.withColumn("_g", fold["out"]).select(*by, F.explode(F.arrays_zip("_r", "_g")).alias("z"))
-    return rows.select(*by, f"z._r.{start}", f"z._r.{stop}", F.col("z._g").alias("range_group"))
+    ranges = df.groupBy(*by, start, stop).agg(F.count("*").alias("_copies"))
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        """The running number of the groups that ``_new`` opens."""
+        if bucket:
+            rows = scan(rows, by, [start, stop], bucket, {name: ("sum", F.col("_new"))})
+        else:
+            rows = rows.withColumn(name, F.sum("_new").over(w.rowsBetween(START, 0)))
+        return rows.withColumn(name, F.col(name) - 1).drop("_new")
+
+    if bucket:
+        reached = scan(ranges, by, [start, stop], bucket, {"_reach": ("max_before", F.col(stop))})
+    else:
+        reached = ranges.withColumn("_reach", F.max(stop).over(w.rowsBetween(START, -1)))
+    whole = numbered(reached.withColumn("_new", F.coalesce(F.col(start) > F.col("_reach"), F.lit(True)).cast("int")).drop("_reach"), "range_group")
+    if extend:
+        same = [F.col(f"d.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, start, stop]]
+        return df.alias("d").join(whole.alias("r"), same, "left").select("d.*", "r.range_group")
+    parts = whole.repartition(*by, "range_group").sortWithinPartitions(*by, "range_group", start, stop)
+    opened = numbered(_first_stop_groups(parts, [*by, "range_group"], start, stop).drop("range_group"), "range_group")
+    return opened.select(*by, start, stop, F.col("range_group").cast("int").alias("range_group"), F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_k")).drop("_k")
+
+
+def _first_stop_groups(rows: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
+    """Sorted ``rows`` with ``_new``, 1 where a range starts after the first stop of the group before it or with new keys."""
+    import pyarrow as pa
 
+    def fold(batches):
+        at = first = None
+        for batch in batches:
+            new = []
+            columns = [batch.column(c).to_pylist() for c in (*keys, start, stop)]
+            for *key, a, z in zip(*columns, strict=True):
+                opens = key != at or a > first
+                if opens:
+                    at, first = key, z
+                new.append(int(opens))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.int32())], [*batch.schema.names, "_new"])
 
-def merged(df: DataFrame, by: list[str], start: str, stop: str) -> DataFrame:
+    return rows.mapInArrow(fold, rows.withColumn("_new", F.lit(0)).schema)
+
+
+def merged(df: DataFrame, by: list[str], start: str, stop: str, bucket: float | None = None) -> DataFrame:
     """One row per merged interval."""
-    return merge_ranges(df, by, start, stop).groupBy(*by, "range_group").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n"))
+    return merge_ranges(df, by, start, stop, bucket=bucket).groupBy(*by, "range_group").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n"))
 
 
-def digitise(grid: DataFrame, intervals: DataFrame, by: list[str], on: str = "t", start: str = "t_on", stop: str = "t_off") -> DataFrame:
+def digitise(grid: DataFrame, intervals: DataFrame, by: list[str], on: str = "t", start: str = "t_on", stop: str = "t_off", bucket: float | None = None) -> DataFrame:
     """``grid`` with ``inside``, 1 where a time lies in [start, stop) of some interval (merged first)."""
-    whole = merged(intervals, by, start, stop).withColumnRenamed(start, "_on")
-    found = asof_join(grid.withColumn("_on", F.col(on)), whole, by, "_on", "previous", allow_equal=True).drop("_on")
+    whole = merged(intervals, by, start, stop, bucket).withColumnRenamed(start, "_on")
+    found = asof_join(grid.withColumn("_on", F.col(on)), whole, by, "_on", "previous", allow_equal=True, bucket=bucket).drop("_on")
     return found.withColumn("inside", F.coalesce(F.col(on) < F.col("match")[stop], F.lit(False)).cast("int")).drop("match")
 
 
@@ -359,12 +411,15 @@ def motion_periods(df: DataFrame, by: list[str], on: str, value: str, k: int = 5
     return joined.groupBy(*by, "_k").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_k")
 
 
-def robust_align(t1: DataFrame, t2: DataFrame, by: list[str], on: str = "t", threshold: float = 0.5, search: int = 10) -> DataFrame:
+def robust_align(t1: DataFrame, t2: DataFrame, by: list[str], on: str = "t", threshold: float = 0.5, search: int = 10, max_skips: int | None = None) -> DataFrame:
     """(by, i1, i2): positions of matching events of two clocks, by their intervals.
 
     Per key (an event train of a session): the offset of up to ``search`` events
     with the smallest interval mismatch over ten intervals is taken, then events
-    around mismatching intervals are passed over on the side that lags.
+    around mismatching intervals are passed over on the side that lags. Where that
+    passes over more than ``max_skips`` events (50 and a fortieth of the events, 500
+    at most), the trains are aligned from their ends; a key that fails so as well has
+    no rows.
     """
     schema = ", ".join([*(f"{k} {t1.schema[k].dataType.simpleString()}" for k in by), "i1 int", "i2 int"])
 
@@ -373,22 +428,34 @@ def robust_align(t1: DataFrame, t2: DataFrame, by: list[str], on: str = "t", thr
         import pandas as pd
 
         x, y = np.sort(a[on].to_numpy(float)), np.sort(b[on].to_numpy(float))
-
-        def cost(s):
-            u, v = np.diff(x[max(0, s) :])[:10], np.diff(y[max(0, -s) :])[:10]
-            n = min(len(u), len(v))
-            return np.abs(u[:n] - v[:n]).mean() if n >= 3 else np.inf
-
-        s = min(range(-search, search + 1), key=lambda k: (cost(k), abs(k))) if len(x) > 1 and len(y) > 1 else 0
-        i, j, out = max(0, s), max(0, -s), []
-        while i < len(x) and j < len(y):
-            if out:
-                du, dv = x[i] - x[out[-1][0]], y[j] - y[out[-1][1]]
-                if abs(du - dv) > threshold:
-                    i, j = (i + 1, j) if du < dv else (i, j + 1)
-                    continue
-            out.append((i, j))
-            i, j = i + 1, j + 1
+        most = 50 + min(len(x) // 40, 450) if max_skips is None else max_skips
+
+        def matched(x, y):
+            """Pairs of positions, or None after too many events passed over."""
+
+            def cost(s):
+                u, v = np.diff(x[max(0, s) :])[:10], np.diff(y[max(0, -s) :])[:10]
+                n = min(len(u), len(v))
+                return np.abs(u[:n] - v[:n]).mean() if n >= 3 else np.inf
+
+            s = min(range(-search, search + 1), key=lambda k: (cost(k), abs(k))) if len(x) > 1 and len(y) > 1 else 0
+            i, j, out, skips = max(0, s), max(0, -s), [], 0
+            while i < len(x) and j < len(y):
+                if out:
+                    du, dv = x[i] - x[out[-1][0]], y[j] - y[out[-1][1]]
+                    if abs(du - dv) > threshold:
+                        i, j, skips = (i + 1, j, skips + 1) if du < dv else (i, j + 1, skips + 1)
+                        if skips > most:
+                            return None
+                        continue
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            return out
+
+        out = matched(x, y)
+        if out is None:
+            back = matched(-x[::-1], -y[::-1]) or []
+            out = [(len(x) - 1 - i, len(y) - 1 - j) for i, j in reversed(back)]
         made = pd.DataFrame(out, columns=["i1", "i2"]).astype("int32")
         for n, v in zip(by, key, strict=True):
             made[n] = v

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evtspark.operators import signal as sg
-from evtspark.plans.registry import PTS, REFS, points, query, r6, refs, table
+from evtspark.plans.registry import ORACLE_SQL, PTS, REFS, points, query, r6, refs, table
 
 S = ["session"]
 ORDER = ["t", "id"]
@@ -255,3 +255,48 @@ def w29_detect_onsets_2d(spark, d):
 def w30_best_end_extension(spark, d):
     tr = refs(spark, d).select("session", F.col("id").alias("trial"), F.col("t").alias("t_on"), (F.col("t") + 7200).alias("t_off"))
     return sg.best_end_extension(tr, points(spark, d).where("unit = 'view'").select("session", "t"), S, [0.0, 7200.0, 14400.0], 1)
+
+
+# The same rows from slices of a day or two of each session, which are tasks of their own.
+
+
+@query(ORACLE_SQL["w2_fill_forward"])
+def w2_fill_forward_sliced(spark, d):
+    p = points(spark, d).withColumn("v", F.when(F.col("v") > 50, F.col("v")))
+    return sg.fill_forward(p, S, ORDER, "v", bucket=86400.0).select("id", r6("v").alias("v"))
+
+
+@query(ORACLE_SQL["w7_schmitt"])
+def w7_schmitt_sliced(spark, d):
+    return sg.schmitt(points(spark, d), S, ORDER, "v", 20.0, 80.0, bucket=86400.0).select("id", "state", "flip")
+
+
+@query(ORACLE_SQL["w11_sessionize"])
+def w11_sessionize_sliced(spark, d):
+    per = sg.sessionize(points(spark, d), S, "t", 14400.0, bucket=172800.0)
+    return per.select("session", F.col("period").cast("long").alias("period"), r6("start").alias("start"), r6("stop").alias("stop"), "n")
+
+
+@query(ORACLE_SQL["w15_movement_onsets"])
+def w15_movement_onsets_sliced(spark, d):
+    found = sg.movement_onsets(points(spark, d), S, ORDER, "v", win=2, threshold=5.0, quiet=2, bucket=172800.0)
+    return found.where("direction IS NOT NULL").select("id", "direction")
+
+
+@query(ORACLE_SQL["w19_merge_ranges"])
+def w19_merge_ranges_sliced(spark, d):
+    r = points(spark, d).select("session", F.col("t").alias("a"), (F.col("t") + F.col("v") * 600).alias("z"))
+    found = sg.merged(r, S, "a", "z", bucket=86400.0)
+    return found.select("session", F.col("range_group").cast("long").alias("range_group"), r6("a").alias("a"), r6("z").alias("z"), "n")
+
+
+@query(ORACLE_SQL["w19_merge_ranges_first_stop"])
+def w19_first_stop_sliced(spark, d):
+    r = points(spark, d).select("session", F.col("t").alias("a"), (F.col("t") + F.col("v") * 600).alias("z"))
+    return sg.merge_ranges(r, S, "a", "z", extend=False, bucket=86400.0).select("session", r6("a").alias("a"), r6("z").alias("z"), "range_group")
+
+
+@query(ORACLE_SQL["w20_digitise"])
+def w20_digitise_sliced(spark, d):
+    iv = refs(spark, d).select("session", F.col("t").alias("t_on"), (F.col("t") + 36000).alias("t_off"))
+    return sg.digitise(points(spark, d).where("unit = 'view'").select("session", "id", "t"), iv, S, bucket=86400.0).select("id", "inside")

@@ -136,6 +136,20 @@ def f_scalars(spark, d):
     )
 
 
+@query("""SELECT o_orderkey, map_size AS n_keys, state, priority, text FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END AS map_size,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'open' ELSE o_orderstatus END AS state, o_orderpriority AS priority,
+ '{"key":' || o_orderkey || ',"status":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}' AS text FROM orders)""")
+def f_maps_and_json(spark, d):
+    """Settings as JSON text over defaults, a third of the texts broken, and a struct written as text."""
+    o = table(spark, d, "orders")
+    status = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus"))
+    given = F.when(status.isNull(), F.lit("no json")).otherwise(F.to_json(F.struct(status.alias("state"), F.lit("1").alias("version"))))
+    defaults = F.create_map(F.lit("state"), F.lit("open"), F.lit("priority"), F.col("o_orderpriority"))
+    both = o.withColumn("all", sc.merge_maps(defaults, sc.load_json(given, "map<string,string>")))
+    text = sc.dump_json(F.struct(F.col("o_orderkey").alias("key"), status.alias("status")))
+    return both.select("o_orderkey", F.size("all").alias("n_keys"), F.col("all")["state"].alias("state"), F.col("all")["priority"].alias("priority"), text.alias("text"))
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(range(1, 64), lambda i: abs(embedding[i + 1]::DOUBLE - embedding[i]::DOUBLE))), 4) AS total, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS top FROM embeddings")
 def f_arrays(spark, d):
     e = table(spark, d, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))

@@ -171,6 +171,13 @@ def m14_fit_tuning(spark, d):
     return fi.fit_tuning(c, ["unit"], "bin", "n")
 
 
+@query()
+def m14_tuning_folds(spark, d):
+    """Curves of even events fitted, those of even and of odd ones explained."""
+    c = _raster(spark, d).withColumn("fold", F.col("event") % 2).groupBy("unit", "bin", "fold").agg(F.avg("n").alias("n"))
+    return fi.fit_tuning(c, ["unit"], "bin", "n", fold="fold")
+
+
 @query()
 def m15_fit_rf(spark, d):
     e = _long(spark, d).groupBy("label", (F.col("pix") % 8).alias("x"), F.floor(F.col("pix") / 8).alias("y")).agg(F.avg("x").alias("z"))
