@@ -288,22 +288,33 @@ def fit_rf(maps: DataFrame, by: list[str], x: str, y: str, z: str, degrees: floa
     return maps.groupBy(*by).applyInPandas(solve, schema)
 
 
-def pc1_weights(raster: DataFrame, by: list[str], trial: str, value: str) -> DataFrame:
-    """(by, trial, weight): size of each trial's part in the first component of the trials by bins matrix. A group is one unit's raster."""
-    schema = ", ".join([*(f"{k} {raster.schema[k].dataType.simpleString()}" for k in by), f"{trial} {raster.schema[trial].dataType.simpleString()}, weight double"])
+def pc1_weights(raster: DataFrame, by: list[str], trial: str, value: str, bin_col: str = "bin") -> DataFrame:
+    """(by, trial, weight): size of each trial's part in the first component of the trials by bins matrix.
+
+    The matrix of bins by bins is summed over the trials; a group is its squared number
+    of bins. Cells that lack are 0, repeated ones are added; weights of a unit
+    without points are 0.
+    """
+    cells = raster.groupBy(*by, trial, bin_col).agg(F.sum(F.col(value).cast("double")).alias("_v")).where("_v <> 0")
+    rows = cells.groupBy(*by, trial).agg(F.collect_list(F.struct(bin_col, "_v")).alias("_row"))
+    pairs = rows.select(*by, "_row", F.explode("_row").alias("_a")).select(*by, "_a", F.explode("_row").alias("_b"))
+    gram = pairs.groupBy(*by, F.col(f"_a.{bin_col}").alias("_i"), F.col(f"_b.{bin_col}").alias("_j")).agg(F.sum(F.col("_a._v") * F.col("_b._v")).alias("_g"))
 
     def solve(pdf):
         import numpy as np
         import pandas as pd
 
-        m = pdf.pivot_table(index=trial, columns="bin", values=value, fill_value=0)
-        u = np.linalg.svd(m.to_numpy(float), full_matrices=False)[0][:, 0]
-        out = pd.DataFrame({trial: m.index, "weight": np.abs(u)})
+        m = pdf.pivot(index="_i", columns="_j", values="_g").fillna(0.0)
+        size, vectors = np.linalg.eigh(m.to_numpy(float))
+        out = pd.DataFrame({bin_col: m.index, "_part": vectors[:, -1] / np.sqrt(size[-1])})
         for k in by:
             out[k] = pdf[k].iloc[0]
-        return out[[*by, trial, "weight"]]
+        return out[[*by, bin_col, "_part"]]
 
-    return raster.groupBy(*by).applyInPandas(solve, schema)
+    kind = lambda c: f"{c} {raster.schema[c].dataType.simpleString()}"
+    first = gram.groupBy(*by).applyInPandas(solve, ", ".join([*map(kind, [*by, bin_col]), "_part double"]))
+    found = cells.join(first, [*by, bin_col]).groupBy(*by, trial).agg(F.abs(F.sum(F.col("_v") * F.col("_part"))).alias("weight"))
+    return raster.select(*by, trial).distinct().join(found, [*by, trial], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
 def mean_weights(weights: DataFrame, trials: DataFrame, by: list[str], trial: str, azimuth: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evtspark.operators import match as ma
 from evtspark.operators import regions as rg
-from evtspark.plans.registry import PTS, points, query, r6, table
+from evtspark.plans.registry import PTS, first_component, points, query, r6, table
 from evtspark.plans.selection_plans import CAT, catalog
 from evtspark.plans.summary_plans import EMB, TR, _long, _trials, label_corr
 from evtspark.staging import stage
@@ -257,7 +257,10 @@ def g3_propagate_down(spark, d):
     return rg.propagate_down(v, rg.closure(t)).withColumn("value", r6("value"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+ c AS (SELECT label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, [covar_pop(x, x), covar_pop(x, y), covar_pop(x, z), covar_pop(x, y), covar_pop(y, y), covar_pop(y, z), covar_pop(x, z), covar_pop(y, z), covar_pop(z, z)] AS m FROM e GROUP BY 1),
+ {first_component("line", "c", "label", 3)}, d AS (SELECT label, vec_id, [x - mx, y - my, z - mz] AS d, v FROM e JOIN c USING (label) JOIN line USING (label))
+ SELECT label, vec_id, round(list_dot_product(d, v), 6) AS along, round(sqrt(greatest(list_dot_product(d, d) - list_dot_product(d, v) ** 2, 0)), 6) AS distance FROM d""")
 def g4_fit_line(spark, d):
     e = table(spark, d, "embeddings").select("label", "vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(a) for k, a in enumerate("xyz")])
     return rg.project(e, rg.fit_line(e, ["label"], ["x", "y", "z"]), ["label"], ["x", "y", "z"]).select("label", "vec_id", r6("along").alias("along"), r6("distance").alias("distance"))

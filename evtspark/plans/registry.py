@@ -47,3 +47,12 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r6(c: str | F.Column) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def first_component(name: str, start: str, key: str, n: int, steps: int = 24) -> str:
+    """SQL of ``name``(key, v): first eigenvector of ``start``'s n by n matrices ``m`` (lists by rows), its largest part positive, by squaring."""
+    row = lambda e: f"m[({e}) * {n} + 1 : ({e}) * {n} + {n}]"
+    return f"""{name}_p AS (SELECT {key}, 0 AS k, m FROM {start} UNION ALL SELECT {key}, k + 1, list_transform(sq, lambda x: x / list_sum(list_transform(range(0, {n}), lambda i: sq[i * {n + 1} + 1])))
+  FROM (SELECT {key}, k, list_transform(range(0, {n * n}), lambda e: list_dot_product({row(f"e // {n}")}, {row(f"e % {n}")})) AS sq FROM {name}_p WHERE k < {steps}) q),
+ {name}_d AS (SELECT {key}, m, list_transform(range(0, {n}), lambda i: m[i * {n + 1} + 1]) AS d FROM {name}_p WHERE k = {steps}),
+ {name} AS (SELECT {key}, list_transform(range(0, {n}), lambda i: m[i * {n} + list_position(d, list_max(d))] / sqrt(list_max(d))) AS v FROM {name}_d)"""

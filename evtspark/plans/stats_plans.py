@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evtspark.operators import fits as fi
 from evtspark.operators import stats as st
-from evtspark.plans.registry import PTS, REFS, points, query, r6, refs, table
+from evtspark.plans.registry import PTS, REFS, first_component, points, query, r6, refs, table
 from evtspark.plans.summary_plans import RASTER, TR, _long, _raster, _trials
 
 N = 20
@@ -154,15 +154,26 @@ def m12_kernel_significance(spark, d):
     return fi.kernel_significance(_folded(_design(spark, d)), _folded(_counts(spark, d)), ["session"], "unit", [1.0], ["purchase", "click"])
 
 
+@query("""SELECT l_orderkey AS session, l_returnflag || '@' || (l_linenumber - 4) AS feature, round(avg(l_discount), 6) AS coef, l_returnflag AS event, l_linenumber - 4 AS lag FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linenumber""")
+def m13_kernel_table(spark, d):
+    """Coefficients of lags before and after events told apart."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("session"), F.concat_ws("@", "l_returnflag", (F.col("l_linenumber") - 4).cast("int")).alias("feature"))
+    return fi.response_kernels(li.agg(r6(F.avg("l_discount")).alias("coef")))
+
+
 @query()
 def m13_response_kernels(spark, d):
     return fi.response_kernels(fi.ridge_fit(_folded(_design(spark, d)), _folded(_counts(spark, d)), ["session"], "unit", [1.0]))
 
 
-@query()
+@query(f"""WITH {TR}, c AS (SELECT subject, kind, level, trial % 2 AS fold, avg(rt) AS y FROM tr GROUP BY 1, 2, 3, 4),
+ m AS (SELECT *, avg(y) OVER (PARTITION BY subject, kind) AS v, avg(y) OVER (PARTITION BY subject, level) AS a, avg(y) OVER (PARTITION BY subject) AS g FROM c WHERE fold = 0),
+ j AS (SELECT m.subject, t.y, unnest(['full', 'vis', 'aud', 'additive', 'baseline']) AS model, unnest([m.y, m.v, m.a, m.v + m.a - m.g, m.g]) AS p FROM m JOIN c t ON t.subject = m.subject AND t.kind = m.kind AND t.level = m.level AND t.fold = 1)
+ SELECT subject, model, round(1 - var_pop(y - p) / var_pop(y), 6) AS ve FROM j GROUP BY 1, 2""")
 def m8_additive_models(spark, d):
+    """The SQL's means are the designs' fits where every subject has all cells, as here."""
     t = _trials(spark, d).groupBy("subject", "kind", "level", (F.col("trial") % 2).alias("fold")).agg(F.avg("rt").alias("rt"))
-    return fi.additive_models(t, ["subject"], "kind", "level", "rt")
+    return fi.additive_models(t, ["subject"], "kind", "level", "rt").withColumn("ve", r6("ve"))
 
 
 @query()
@@ -184,16 +195,26 @@ def m15_fit_rf(spark, d):
     return fi.fit_rf(e, ["label"], "x", "y", "z")
 
 
-@query()
+def _pc1_sql(trial: str) -> str:
+    """w(unit, trial, weight), weights of the trials that ``trial`` numbers; the raster has all six bins of a trial."""
+    return f"""WITH RECURSIVE {RASTER}, cells AS (SELECT unit, {trial} AS trial, bin, sum(n)::DOUBLE AS n FROM ras GROUP BY 1, 2, 3),
+ pairs AS (SELECT a.unit, a.bin * 6 + b.bin AS e, sum(a.n * b.n) AS x FROM cells a JOIN cells b ON a.unit = b.unit AND a.trial = b.trial GROUP BY 1, 2), gram AS (SELECT unit, list(x ORDER BY e) AS m FROM pairs GROUP BY 1),
+ {first_component("pc", "gram", "unit", 6)}, s AS (SELECT unit, trial, abs(sum(n * v[bin + 1])) AS s FROM cells JOIN pc USING (unit) GROUP BY 1, 2),
+ w AS (SELECT unit, trial, s / sqrt(sum(s * s) OVER (PARTITION BY unit)) AS weight FROM s)"""
+
+
+@query(_pc1_sql("event % 50") + " SELECT unit, trial, round(weight, 6) AS weight FROM w")
 def m16_pc1_weights(spark, d):
-    return fi.pc1_weights(_raster(spark, d).groupBy("unit", (F.col("event") % 50).alias("trial"), "bin").agg(F.sum("n").alias("n")), ["unit"], "trial", "n")
+    """Trials are numbered anew from 0 to 49; the rasters of one number are added."""
+    r = _raster(spark, d).groupBy("unit", (F.col("event") % 50).alias("trial"), "bin").agg(F.sum("n").alias("n"))
+    return fi.pc1_weights(r, ["unit"], "trial", "n").withColumn("weight", r6("weight"))
 
 
-@query()
+@query(_pc1_sql("event") + " SELECT unit, trial % 7 AS azimuth, round(avg(weight), 6) AS weight FROM w GROUP BY 1, 2")
 def m16_mean_weights(spark, d):
     r = _raster(spark, d).groupBy("unit", "event", "bin").agg(F.sum("n").alias("n"))
     trials = r.select("event", (F.col("event") % 7).alias("azimuth")).distinct()
-    return fi.mean_weights(fi.pc1_weights(r, ["unit"], "event", "n"), trials, ["unit"], "event", "azimuth")
+    return fi.mean_weights(fi.pc1_weights(r, ["unit"], "event", "n"), trials, ["unit"], "event", "azimuth").withColumn("weight", r6("weight"))
 
 
 @query(f"""WITH {TR} SELECT subject, round((avg(rt) FILTER (kind = 'coherent') - avg(rt) FILTER (kind = 'visual') - avg(rt) FILTER (kind = 'auditory')) / sqrt(var_pop(rt) FILTER (kind = 'visual') + var_pop(rt) FILTER (kind = 'auditory')), 6) AS "index" FROM tr GROUP BY 1""")
@@ -232,13 +253,17 @@ def m20_neurometric_fit(spark, d):
     return fi.neurometric_fit(rows, ["n", "lines", "other"], "quality", "fold")
 
 
-@query()
+@query(f"""WITH {PTS}, {REFS}, p AS (SELECT session, unit, t FROM pts WHERE unit IN ('click', 'view')), u AS (SELECT DISTINCT session, unit FROM p),
+ c AS (SELECT r.session, r.id AS event, u.unit, (SELECT count(*) FROM p WHERE p.session = r.session AND p.unit = u.unit AND p.t >= r.t AND p.t < r.t + 21600.0) / 21600.0 AS rate FROM refs r JOIN u USING (session)),
+ z AS (SELECT session, event, unit, (rate - avg(rate) OVER (PARTITION BY session, unit)) / nullif(stddev_pop(rate) OVER (PARTITION BY session, unit), 0) AS z FROM c)
+ SELECT r.session, r.id AS event, round(r.t, 6) AS t0, round(coalesce(max(z) FILTER (z.unit = 'click'), 0), 6) AS click, round(coalesce(max(z) FILTER (z.unit = 'view'), 0), 6) AS view FROM refs r LEFT JOIN z ON z.session = r.session AND z.event = r.id GROUP BY 1, 2, 3""")
 def m21_predictor_table(spark, d):
     from evtspark.operators.raster import raster_counts
     from evtspark.plans.summary_plans import _ev, _pts
 
     rates = raster_counts(_pts(spark, d), _ev(spark, d), ["session"], 0.0, 21600.0, 21600.0, rate=True)
-    return fi.predictor_table(_ev(spark, d), rates, ["session"], "event", "unit", ["click", "view"])
+    found = fi.predictor_table(_ev(spark, d), rates, ["session"], "event", "unit", ["click", "view"])
+    return found.select("session", "event", *[r6(c).alias(c) for c in ("t0", "click", "view")])
 
 
 @query()
