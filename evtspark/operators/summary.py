@@ -148,6 +148,10 @@ def variance_explained(df: DataFrame, by: list[str], actual: str, predicted: str
     return df.groupBy(*by).agg((1 - F.try_divide(rest, F.var_pop(actual))).alias("ve"))
 
 
+#: Share of its sum of squares under which a column's spread over the common rows counts as none.
+FLAT = 1e-13
+
+
 def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, value: str, by: list[str] | None = None, blocks: int | None = None) -> DataFrame:
     """(by, a, b, r): correlations of the columns of two long matrices over their common rows, null where one does not vary.
 
@@ -193,8 +197,10 @@ def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, va
         n, su, sv = mu @ mv.T, u @ mv.T, mu @ v.T
         with np.errstate(divide="ignore", invalid="ignore"):
             both = u @ v.T - su * sv / n
-            spread = ((u * u) @ mv.T - su * su / n) * (mu @ (v * v).T - sv * sv / n)
-            r = np.where(spread > 0, both / np.sqrt(np.where(spread > 0, spread, 1.0)), np.nan)
+            qu, qv = (u * u) @ mv.T, mu @ (v * v).T
+            xu, xv = qu - su * su / n, qv - sv * sv / n
+            some = (xu > FLAT * qu) & (xv > FLAT * qv)  # less is what rounding leaves of a constant
+            r = np.where(some, both / np.sqrt(np.where(some, xu * xv, 1.0)), np.nan)
         i, j = np.nonzero(n > 0)
         out = pd.DataFrame({"a": x["c"].to_numpy()[i], "b": y["c"].to_numpy()[j], "r": r[i, j].clip(-1, 1)})
         for k in by:

@@ -226,10 +226,14 @@ def a24_signal_noise_corr(spark, d):
     return su.signal_noise_corr(e, ["label"], "pix", "k", "x").select("label", r6("signal").alias("signal"), r6("noise").alias("noise"))
 
 
-@query()
+@query(f"""WITH {RASTER}, x AS (SELECT session, unit, event, bin, n - avg(n) OVER (PARTITION BY session, unit, event % 3, bin) AS v FROM ras), lags AS (SELECT unnest([-2, -1, 0, 1, 2]) AS lag),
+ l AS (SELECT i.session, i.unit AS a, j.unit AS b, lag, CASE WHEN var_pop(i.v) > 1e-12 AND var_pop(j.v) > 1e-12 THEN corr(i.v, j.v) END AS r FROM x i JOIN x j ON i.session = j.session AND i.event = j.event AND i.unit <> j.unit JOIN lags ON i.bin = j.bin + lag GROUP BY 1, 2, 3, 4),
+ k AS (SELECT *, max(r) FILTER (lag = 0) OVER (PARTITION BY session, a, b) AS zero, row_number() OVER (PARTITION BY session, a, b ORDER BY round(abs(r), 12) DESC, abs(lag), lag) AS place FROM l WHERE r IS NOT NULL)
+ SELECT session, a, b, lag, round(r, 6) + 0.0::DOUBLE AS r, round(r - zero, 6) + 0.0::DOUBLE AS gain FROM k WHERE place = 1""")
 def a24_lagged_noise_corr(spark, d):
     r = _raster(spark, d).withColumn("stim", F.col("event") % 3)
-    return su.lagged_noise_corr(r, ["session"], "unit", ["event"], ["stim"], "bin", "n", [-2, -1, 0, 1, 2], blocks=1)
+    found = su.lagged_noise_corr(r, ["session"], "unit", ["event"], ["stim"], "bin", "n", [-2, -1, 0, 1, 2], blocks=1)
+    return found.withColumns({"r": r6("r") + 0.0, "gain": r6("gain") + 0.0})  # no zero below zero
 
 
 @query(f"""WITH {EMB}, k AS (SELECT label, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS u, pix, x FROM em), f AS (SELECT label, u, pix % 32 AS p, x, pix // 32 AS half FROM k),

@@ -141,3 +141,31 @@ def test_maps_and_json(spark):
                   sc.load_json(F.col("good"), "q int").alias("g"), sc.load_json(F.col("bad"), "q int").alias("w"), sc.dump_json(F.struct(F.lit(None).cast("int").alias("e"), F.lit(2).alias("f"))).alias("s")).first()
     assert r.xy == {"a": 1, "b": 5, "c": 6} and r.nyx == {"a": 1, "b": 2, "c": 6} and r.xn == {"a": 1, "b": 2}
     assert r.g.q == 1 and (r.w is None or r.w.q is None) and r.s == '{"e":null,"f":2}'
+
+
+def test_flat_columns_have_no_correlation(spark):
+    """What centring leaves of a constant is no spread, large levels included."""
+    from evtspark.operators.summary import corr_matrix
+
+    rows = [("a", r, "u", 0.1 if r < 4 else 0.7) for r in range(6)] + [("a", r, "w", 1e5 + r % 2) for r in range(6)]
+    other = [("a", r, "x", 1.0 + r * r) for r in range(4)] + [("a", r, "y", 3.3) for r in range(6)]
+    a, b = (spark.createDataFrame(x, "k string, r int, c string, v double") for x in (rows, other))
+    got = {(x.a, x.b): x.r for x in corr_matrix(a, b, "r", "c", "c", "v", by=["k"], blocks=1).collect()}
+    assert got["u", "x"] is None and got["u", "y"] is None and got["w", "y"] is None
+    assert abs(got["w", "x"] - 0.428571429) < 1e-6  # 0, 1, 0, 1 against 1, 2, 5, 10
+
+
+def test_component_weights_by_svd(spark):
+    import numpy as np
+
+    from evtspark.operators import fits
+
+    draw = np.random.default_rng(4)
+    m = draw.poisson(2.0, (30, 5)) * np.array([1, 2, 3, 1, 0])
+    rows = [("u", i, j, float(m[i, j])) for i in range(30) for j in range(5) if (i, j) not in ((3, 0), (7, 2))] + [("silent", 0, 0, 0.0)]
+    m[3, 0] = m[7, 2] = 0
+    got = fits.pc1_weights(spark.createDataFrame(rows, "k string, trial int, bin int, n double"), ["k"], "trial", "n").collect()
+    want = np.abs(np.linalg.svd(m)[0][:, 0])
+    weights = {(r.k, r.trial): r.weight for r in got}
+    assert len(got) == 31 and weights["silent", 0] == 0.0
+    assert np.allclose([weights["u", i] for i in range(30)], want)
