@@ -2,14 +2,15 @@
 
 A text is kept if no rule rejects it, so the order of the rules changes only the
 cost. On a sample, drawn by hash over the whole table, the executors note which
-rules reject a text and how much work each measure is; rules are then ordered one
-after the other by rejections per work, both counted on the texts that the rules
+rules reject a text and how long each measure takes; rules are then ordered one
+after the other by rejections per time, both summed over the texts that the rules
 before them leave, and without the measures that they have already paid for. A text
 leaves the cascade at its first rejection.
 """
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property, partial
@@ -122,20 +123,22 @@ CHECKS: dict[str, tuple[Callable[[Text], bool], tuple[str, ...]]] = {
     "top_word": (lambda t: 10 * t.n_top_word > 3 * t.n_words, ("words", "n_top_word")),
 }
 RULES = {name: check for name, (check, _) in CHECKS.items()}
-#: Work of a measure: nanoseconds a byte, word or line, as timed once on plain text. Counted, not clocked, so that the same table always gives the same order.
-WORK: dict[str, Callable[[Text], float]] = {
-    "words": lambda t: 6 * len(t.raw), "lines": lambda t: 1 * len(t.raw) + 120 * len(t.lines), "word_chars": lambda t: 3 * len(t.raw), "n_symbols": lambda t: 2 * len(t.raw),
-    "letters": lambda t: 9 * len(t.raw), "n_dup_lines": lambda t: 60 * len(t.lines), "n_bullets": lambda t: 250 * len(t.lines), "n_ellipses": lambda t: 250 * len(t.lines),
-    "n_top_word": lambda t: 60 * t.n_words, "n_repeat_words": lambda t: 300 * t.n_words,
-}
+#: The measures, each after those that it is made from.
+WORK = ("words", "lines", "n_words", "word_chars", "n_symbols", "letters", "n_dup_lines", "n_bullets", "n_ellipses", "n_top_word", "n_repeat_words")
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per (draw, text): which rules reject the text, and the nanoseconds that each measure took once what it is made from was there."""
     for batch in chunks(batches):
-        texts = [Text(x.as_py()) for x in batch.column(0)]
-        hits = [[bool(check(t)) for check in RULES.values()] for t in texts]
-        work = [[float(f(t)) for f in WORK.values()] for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.bool_())), pa.array(work, pa.list_(pa.float64()))], names=["hits", "work"])
+        hits, work = [], []
+        for x in batch.column(1):
+            t, clock = Text(x.as_py()), [time.perf_counter_ns()]
+            for m in WORK:
+                getattr(t, m)
+                clock.append(time.perf_counter_ns())
+            work.append(np.diff(clock).astype(float).tolist())
+            hits.append([bool(check(t)) for check in RULES.values()])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.bool_())), pa.array(work, pa.list_(pa.float64()))], names=["draw", "hits", "work"])
 
 
 def greedy_order(hits: np.ndarray, work: np.ndarray) -> list[str]:
@@ -152,12 +155,18 @@ def greedy_order(hits: np.ndarray, work: np.ndarray) -> list[str]:
     return out
 
 
-def order_rules(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by falling rejections per work on about ``sample_rows`` rows, drawn by hash from the whole table."""
-    rows = docs.select(docs[text_col].cast("string").alias("text"))
+def order_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Rule names by falling rejections per time on about ``sample_rows`` rows, twice as many at most, drawn by hash of id and text from the whole table.
+
+    Times are of the executors' clocks, so that two runs may order rules of like worth
+    differently; a run asks for the order once and keeps to it.
+    """
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    draw = F.xxhash64("id", "text", F.lit(1))
     every = max(1, rows.count() // sample_rows)
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(every)) == 0)
-    got = drawn.mapInArrow(_measure, "hits array<boolean>, work array<double>").toArrow()  # some numbers a row
+    drawn = rows.select(draw.alias("draw"), "text").where(F.pmod("draw", F.lit(every)) == 0)
+    measured = drawn.mapInArrow(_measure, "draw long, hits array<boolean>, work array<double>")
+    got = measured.orderBy("draw").limit(2 * sample_rows).toArrow()  # some numbers a row; copies of one row are drawn together
     hits = np.array(got.column("hits").to_pylist(), bool).reshape(-1, len(CHECKS))
     return greedy_order(hits, np.array(got.column("work").to_pylist(), float).reshape(-1, len(WORK)))
 
@@ -185,7 +194,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", measu
     Which of several rejecting rules is named depends on the estimated order.
     """
     measures = measures or []
-    rules = rules or order_rules(docs, text_col)
+    rules = rules or order_rules(docs, id_col, text_col)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     schema = ", ".join(["id long", "failed string", *(f"{m} long" for m in measures)])
     return rows.mapInArrow(partial(_cascade, rules=rules, measures=measures), schema)
