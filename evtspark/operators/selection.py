@@ -130,12 +130,12 @@ GOOD = {"nSpikes": (">=", 300), "fractionRPVs_estimatedTauR": ("<=", 0.1), "rawA
 def _test(metric: str, rule: tuple) -> Column:
     op, limit = rule
     c = number(F.col(metric))
-    tests = {">": lambda: c > limit, ">=": lambda: c >= limit, "<=": lambda: c <= limit, "<": lambda: c < limit, "!=": lambda: c != limit, "outside": lambda: (c < limit[0]) | (c > limit[1])}
+    tests = {">": lambda: c > limit, ">=": lambda: c >= limit, "<=": lambda: c <= limit, "<": lambda: c < limit, "!=": lambda: c.isNull() | (c != limit), "outside": lambda: (c < limit[0]) | (c > limit[1])}
     return holds(tests[op]())
 
 
 def unit_quality(units: DataFrame, noise: dict | None = None, good: dict | None = None) -> DataFrame:
-    """``quality``: noise if any noise rule holds, good if all good rules do, else mua. A missing metric holds no rule."""
+    """``quality``: noise if any noise rule holds, good if all good rules do, else mua. A missing metric holds no rule but ``!=``."""
     bad = fine = None
     for m, rule in (noise or NOISE).items():
         bad = _test(m, rule) if bad is None else bad | _test(m, rule)
@@ -246,7 +246,7 @@ def glm_predictors(trials: DataFrame, vis: str = "vis", aud: str = "aud", flag:
     out = trials.withColumns(split | {"bias": F.lit(1)})
     out = out.withColumns({f"{c}_opto": F.col(c) * F.col(flag).cast("int") for c in [*split, "bias"]})
     kinds = out.groupBy(vis, aud, flag).agg(F.count("*").alias("_n")).where("_n >= 2").withColumn("type_id", F.dense_rank().over(Window.orderBy(vis, aud, flag)))
-    return out.join(F.broadcast(kinds.drop("_n")), [vis, aud, flag])  # a row per condition
+    return out.join(kinds.drop("_n"), [vis, aud, flag])
 
 
 def rescale_amplitude(units: DataFrame, factors: dict[str, float], source: str, col: str) -> DataFrame:

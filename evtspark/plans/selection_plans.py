@@ -178,7 +178,7 @@ def p15_best_camera(spark, d):
 def p16_format_units(spark, d):
     u = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("mlapdv"), (F.col("label") * 5).alias("region_id"))
     r = table(spark, d, "nation").select(F.col("n_nationkey").alias("region_id"), F.col("n_name").alias("region"))
-    return sel.format_units(u, F.broadcast(r), midline=0.01).select("vec_id", r6("ml").alias("ml"), r6("ap").alias("ap"), "hemi", "region")
+    return sel.format_units(u, r, midline=0.01).select("vec_id", r6("ml").alias("ml"), r6("ap").alias("ap"), "hemi", "region")
 
 
 _KIND = "CASE WHEN a = 0 AND v = 0 THEN 'blank' WHEN v = 0 THEN 'auditory' WHEN a = 0 THEN 'visual' WHEN a * v > 0 THEN 'coherent' ELSE 'conflict' END"

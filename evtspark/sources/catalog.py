@@ -144,7 +144,7 @@ def write_interleaved(df: DataFrame, file: str, order: str, channels: list[str],
 
 def apply_gain(samples: DataFrame, gains: DataFrame, volts_per_bit: float) -> DataFrame:
     """``volts`` from the raw value and the channel's gain (a row per channel)."""
-    return samples.join(F.broadcast(gains), "channel").withColumn("volts", F.col("v") * volts_per_bit / F.col("gain"))
+    return samples.join(gains, "channel").withColumn("volts", F.col("v") * volts_per_bit / F.col("gain"))
 
 
 def read_keyvalue(spark: SparkSession, path: str) -> DataFrame:

@@ -169,3 +169,17 @@ def test_component_weights_by_svd(spark):
     weights = {(r.k, r.trial): r.weight for r in got}
     assert len(got) == 31 and weights["silent", 0] == 0.0
     assert np.allclose([weights["u", i] for i in range(30)], want)
+
+
+def test_missing_metrics_of_units(spark):
+    """A unit not known to be somatic is noise; other missing metrics hold no rule."""
+    from evtspark.operators import selection as sel
+
+    metrics = [*sel.NOISE, *sel.GOOD]
+    fine = {"nPeaks": 1, "nTroughs": 1, "isSomatic": 1, "spatialDecaySlope": -0.01, "waveformDuration_peakTrough": 400, "waveformBaselineFlatness": 0.1, "nSpikes": 900,
+            "fractionRPVs_estimatedTauR": 0.0, "rawAmplitude": 50, "percentageSpikesMissing_gaussian": 1, "signalToNoiseRatio": 1, "presenceRatio": 1}
+    rows = [[float(fine[m]) for m in metrics]] + [[None if m == gone else float(fine[m]) for m in metrics] for gone in ("isSomatic", "nPeaks", "nSpikes")]
+    rows.append([float("nan") if m == "isSomatic" else float(fine[m]) for m in metrics])
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ", ".join(["i int", *(f"{m} double" for m in metrics)]))
+    got = [r.quality for r in sel.unit_quality(df).orderBy("i").collect()]
+    assert got == ["good", "noise", "good", "mua", "noise"]
