@@ -24,7 +24,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "k string, row long, cond int, side boolean, v double")
 
 
-def tests(spark, rows, n):
+def all_forms(spark, rows, n):
     df = frame(spark, rows)
     raster = df.withColumn("bin", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("n", F.pmod(F.xxhash64("row", "bin"), F.lit(7)) * (1 + F.col("side").cast("int")))
     return {
@@ -39,13 +39,13 @@ def told(df):
 
 def test_arrays_and_rows_agree(spark, monkeypatch):
     rows = rows_of()
-    packed = {k: told(v) for k, v in tests(spark, rows, 25).items()}
+    packed = {k: told(v) for k, v in all_forms(spark, rows, 25).items()}
     monkeypatch.setattr(st, "DRAWN", 500)
-    assert {k: told(v) for k, v in tests(spark, rows, 25).items()} == packed
+    assert {k: told(v) for k, v in all_forms(spark, rows, 25).items()} == packed
     monkeypatch.setattr(st, "PACKED_ROWS", 10)
-    assert {k: told(v) for k, v in tests(spark, rows, 25).items()} == packed
+    assert {k: told(v) for k, v in all_forms(spark, rows, 25).items()} == packed
     assert packed["response"] != packed["trimmed"]
-    assert all(not told(v) for v in tests(spark, [], 5).values())
+    assert all(not told(v) for v in all_forms(spark, [], 5).values())
 
 
 def test_difference_by_a_plain_loop(spark):
