@@ -139,3 +139,25 @@ def label_bins(bins: DataFrame, trials: DataFrame, by: list[str], on: str = "t",
 def ranges_overlap(a_start: Column, a_stop: Column, b_start: Column, b_stop: Column) -> Column:
     """Whether two half-open ranges share a point."""
     return (a_start < b_stop) & (b_start < a_stop)
+
+
+def count_overlaps(rows: DataFrame, by: list[str], key: str, start: Column, stop: Column) -> DataFrame:
+    """One row (n): pairs of rows alike in ``by``, the first of the smaller key, whose half-open ranges share a point.
+
+    Rows are counted by their range first, so that ranges that differ meet one
+    another, not rows. Of all ordered pairs those of one key go; of the rest every
+    second has the smaller key first.
+    """
+    known = rows.select(*by, F.col(key).alias("_key"), start.alias("_on"), stop.alias("_off"))
+    known = known.where(" AND ".join(f"`{c}` IS NOT NULL" for c in known.columns))
+
+    def ordered(keys: list[str], name: str) -> DataFrame:
+        n = known.groupBy(*keys, "_on", "_off").agg(F.count("*").alias("_n"))
+        a, b = n.alias("a"), n.alias("b")
+        meet = ranges_overlap(F.col("a._on"), F.col("a._off"), F.col("b._on"), F.col("b._off"))
+        for k in keys:
+            meet = meet & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+        return a.join(b, meet).agg(F.coalesce(F.sum(F.col("a._n") * F.col("b._n")), F.lit(0)).alias(name))
+
+    both = ordered(by, "_all").crossJoin(F.broadcast(ordered([*by, "_key"], "_own")))  # one row each
+    return both.select(F.expr("(_all - _own) div 2").alias("n"))

@@ -117,8 +117,5 @@ def j17_label_bins(spark, d):
 def j16_ranges_overlap(spark, d):
     from evtspark.plans.registry import table
 
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    a, b = p.alias("a"), p.alias("b")
-    hit = tj.ranges_overlap(F.col("a.p_size"), F.col("a.p_size") + 5, F.col("b.p_size"), F.col("b.p_size") + 5)
-    same = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    return a.join(b, same & hit).agg(F.count("*").alias("n"))
+    p, size = table(spark, d, "part"), F.col("p_size")
+    return tj.count_overlaps(p, ["p_brand", "p_type"], "p_partkey", size, size + 5)

@@ -2,8 +2,10 @@
 
 import math
 import random
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from evtspark.operators import fits as fi
 from evtspark.operators import match as ma
@@ -248,3 +250,32 @@ def test_bootstrapped_index_is_near_its_limit(spark):
     df = spark.createDataFrame(rows, "s string, i long, kind string, y double")
     limit, drawn = fi.enhancement_index(df, ["s"], "kind", "y").first()["index"], fi.enhancement_bootstrap(df, ["s"], "kind", "y", ["i"]).first()["index"]
     assert abs(limit - drawn) < 0.06 and drawn > 1
+
+
+def test_overlaps_are_counted_by_range(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(60), rng.choice("ab"), None if rng.random() < 0.05 else rng.randrange(12), rng.randrange(5)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "k long, g string, x int, w int")
+    want = sum(a[0] < b[0] and a[1] == b[1] and None not in (a[2], b[2]) and a[2] < b[2] + b[3] and b[2] < a[2] + a[3] for a in rows for b in rows)
+    assert [r.n for r in tj.count_overlaps(df, ["g"], "k", F.col("x"), F.col("x") + F.col("w")).collect()] == [want]
+    assert [r.n for r in tj.count_overlaps(df.limit(0), ["g"], "k", F.col("x"), F.col("x") + F.col("w")).collect()] == [0]
+
+
+def test_crowded_sites_are_met_as_one_row(spark):
+    """100,000 sites of one place and 20,000 rows beside it: two billion pairs when they meet one by one."""
+    local = spark.range(20000).select(F.col("id").alias("k"), F.lit(0).alias("x"), F.lit(0).alias("y"))
+    target = spark.range(100000).select(F.col("id").alias("site"), F.lit(0).alias("x"), F.lit(0).alias("y")).union(spark.createDataFrame([(7, 32, 0)], "site long, x int, y int"))
+    began = time.time()
+    assert [tuple(r) for r in ma.match_sites(local, target, "k").groupBy("site").count().collect()] == [(7, 20000)]
+    assert time.time() - began < 20
+
+
+def test_equal_counts_by_slices(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b"]), rng.choice(["u", "u", "v", None]), rng.randrange(300), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, c string, h long, k long")
+    for cap in (None, 11):
+        want = ma.equalise_counts(df, ["g"], "c", F.struct("h", "k"), cap)
+        got = ma.equalise_counts(df, ["g"], "c", F.struct("h", "k"), cap, width=10.0)
+        assert sorted(r.k for r in got.collect()) == sorted(r.k for r in want.collect())
+        assert sorted(got.columns) == ["c", "g", "h", "k"]
