@@ -18,7 +18,8 @@ def match_sites(local: DataFrame, target: DataFrame, key: str, x: str = "x", y:
     """(key, site): exact position, else x - 32, x + 32, y - 15, y + 15; the first of these with exactly one site, else null."""
     moves = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (dx, dy) in enumerate(((0, 0), (-32, 0), (32, 0), (0, -15), (0, 15)))])
     tried = local.withColumn("m", F.explode(moves)).select(key, "m.step", (F.col(x) + F.col("m.dx")).alias(x), (F.col(y) + F.col("m.dy")).alias(y))
-    hits = tried.join(target.select(x, y, site), [x, y]).groupBy(key, "step").agg(F.count("*").alias("_n"), F.min(site).alias("_s")).where("_n = 1")
+    places = target.groupBy(x, y).agg(F.count("*").alias("_n"), F.min(site).alias("_s"))  # a crowded place is met as one row
+    hits = tried.join(places, [x, y]).groupBy(key, "step").agg(F.sum("_n").alias("_n"), F.min("_s").alias("_s")).where("_n = 1")
     found = hits.groupBy(key).agg(F.min_by("_s", "step").alias(site))
     return local.select(key).join(found, key, "left")
 
