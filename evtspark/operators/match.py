@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtspark.operators.scan import first_rows
 from evtspark.staging import stage
 
 
@@ -116,11 +117,20 @@ def first_n(df: DataFrame, by: list[str], order: list[str], n: int, pad: bool =
     return kept.unionByName(short.select(*by, F.explode(F.sequence(F.col("_n") + 1, F.lit(n))).alias("rank")), allowMissingColumns=True)
 
 
-def equalise_counts(df: DataFrame, by: list[str], klass: str, order: Column, max_n: int | None = None) -> DataFrame:
-    """As many rows of every class as the smallest has, the first by ``order`` (a seeded hash)."""
+def equalise_counts(df: DataFrame, by: list[str], klass: str, order: Column, max_n: int | None = None, width: float | None = None) -> DataFrame:
+    """As many rows of every class as the smallest has, the first by ``order`` (a seeded hash).
+
+    With ``width`` the order is a struct that begins with a number; its slices of
+    ``width`` are counted and only one of a class is sorted, for classes too long for one task's sort.
+    """
     sizes = df.groupBy(*by, klass).agg(F.count("*").alias("_n")).groupBy(*by).agg(F.min("_n").alias("_m"))
     w = Window.partitionBy(*by, klass).orderBy(order)
     limit = F.least(F.col("_m"), F.lit(max_n)) if max_n else F.col("_m")
+    if width:
+        sizes = stage(sizes.withColumn("_m", limit))
+        first = df.withColumn("_order", order).withColumn("_at", F.expr("_order").getField(df.select(order.alias("_o")).schema["_o"].dataType.names[0]))
+        first = first.join(sizes, by) if by else first.crossJoin(F.broadcast(sizes))
+        return first_rows(first, [*by, klass], ["_at", "_order"], "_m", width).where("_first").select(*by, *[c for c in df.columns if c not in by])
     ranked = df.withColumn("_r", F.row_number().over(w))
     joined = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # sizes is one row without keys
     return joined.where(F.col("_r") <= limit).drop("_r", "_m")

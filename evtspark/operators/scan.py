@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtspark.staging import stage
+
 START, END = Window.unboundedPreceding, Window.unboundedFollowing
 KINDS = ("last", "max", "max_before", "sum", "lag", "lead")
 
@@ -73,6 +75,27 @@ def scan(df: DataFrame, by: list[str], order: list[str], bucket: float, parts: d
     return seen.join(slices, same, "left").select(*[F.col(c) for c in df.columns if c not in parts], *[joined[n].alias(n) for n in parts])
 
 
+def first_rows(df: DataFrame, by: list[str], order: list[str], quota: str, width: float) -> DataFrame:
+    """``df`` with ``_first``: whether a row is one of its key's ``quota`` first by ``order``; the column ``quota`` is the same in all rows of a key.
+
+    ``order`` begins with a number, whose slices of ``width`` are counted. Only the
+    rows of the slice that a quota ends in are sorted; no other row is moved.
+    """
+    rows = df.withColumn("_slice", time_slice(order[0], width))
+    n = rows.groupBy(*by, "_slice").agg(F.count("*").alias("_n"), F.max(quota).alias("_m"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(START, 0))
+    ends = n.withColumn("_upto", upto).where("_upto - _n <= _m AND _m < _upto")
+    ends = stage(ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_slice").alias("_end"), (F.col("_m") - F.col("_upto") + F.col("_n")).alias("_rest")))
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    told = rows.join(ends, same, "left")
+    clear = told.where("_end IS NULL OR _slice <> _end").withColumn("_first", F.expr("_end IS NULL OR _slice < _end"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    split = told.where("_slice = _end").withColumn("_first", place <= F.col("_rest"))
+    return clear.unionByName(split).select(*df.columns, "_first")
+
+
 def in_slices(
     df: DataFrame, by: list[str], order: list[str], op: Callable[[DataFrame, list[str]], DataFrame], before: int, after: int, bucket: float, rows: int = 1_000_000,
 ) -> DataFrame:

@@ -161,7 +161,7 @@ def t3_padded_trials(spark, d):
  SELECT l_orderkey, l_linenumber, l_partkey FROM k JOIN s USING (l_linestatus) WHERE r <= m""")
 def t4_equalise_counts(spark, d):
     order = F.struct(((F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber")) % 1000003).alias("h"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return ma.equalise_counts(table(spark, d, "lineitem"), ["l_linestatus"], "l_returnflag", order).select("l_orderkey", "l_linenumber", "l_partkey")
+    return ma.equalise_counts(table(spark, d, "lineitem"), ["l_linestatus"], "l_returnflag", order, width=1000.0).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS place FROM lineitem")
