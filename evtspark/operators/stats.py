@@ -3,8 +3,9 @@
 Shuffles are deterministic: shuffle s orders rows by an integer hash of (row, s),
 so that results do not depend on partitioning and other engines can repeat them.
 A key of up to PACKED_ROWS rows is drawn from as arrays, blocks of shuffles at once,
-so that its rows exist once however many the shuffles are; the rows of a larger key
-are sorted once per shuffle, over all tasks. Both give the same results.
+so that its rows exist once however many the shuffles are. Of a larger key the orders
+are counted by slices per shuffle, and only the slice that the labels end in is sorted.
+Both give the same results.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from evtspark.operators.scan import first_rows, scan
 from evtspark.operators.timejoin import peri_event_join
 from evtspark.staging import stage
 
 #: Rows of a key whose shuffles are drawn as arrays, and labels that are drawn at once.
 PACKED_ROWS, DRAWN = 1_000_000, 4_000_000
+#: Width of the slices that shuffled orders, under 1,000,003, are counted by, and slices that ranked values are dealt to.
+ORDERS, VALUES = 1000.0, 1000
 
 
 def shuffle_hash(row: Column, shuffle: Column) -> Column:
@@ -36,6 +40,11 @@ def shuffles(df: DataFrame, n: int, row: str) -> DataFrame:
     return out.withColumn("order", F.when(F.col("shuffle") == 0, F.lit(0).cast("long")).otherwise(shuffle_hash(F.col(row), F.col("shuffle"))))
 
 
+def drawn(df: DataFrame, by: list[str], n: int, row: str, picked: str) -> DataFrame:
+    """``df`` for shuffles 1..n with ``_first``: whether a row is one of the ``picked`` that a shuffle draws from its key."""
+    return first_rows(shuffles(df, n, row).where("shuffle > 0"), [*by, "shuffle"], ["order", row], picked, ORDERS)
+
+
 def p_value(stats: DataFrame, by: list[str], stat: str) -> DataFrame:
     """(by, observed, p): share of the shuffles whose statistic is over the observed one."""
     obs = stats.where("shuffle = 0").select(*by, F.col(stat).alias("observed"))
@@ -146,9 +155,27 @@ def _response_by_rows(cells: DataFrame, by: list[str], trial: str, n_shuffles: i
     return p_value(top.withColumn("stat", F.col("_a") - F.col("_b")), by, "stat")
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank with ties averaged."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
+def average_ranks(counts: DataFrame, by: list[str], value: str, n: str = "_n") -> DataFrame:
+    """(by, value, rank): the rank, ties averaged, of every value of a key; ``n`` has the number of its rows.
+
+    Values are dealt out by size, so that no key's values are sorted in one task.
+    """
+    each = stage(counts.groupBy(*by, value).agg(F.sum(n).alias("_many")))
+    v = F.col(value).cast("double")
+    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    low, high = each.agg(F.min(finite), F.max(finite)).first()
+    width = (high - low) / VALUES if low is not None and 0 < high - low < float("inf") else 1.0
+    upto = scan(each, by, [value], width, {"_upto": ("sum", F.col("_many"))})
+    return stage(upto.select(*by, value, (F.col("_upto") - (F.col("_many") - 1) / 2).alias("rank")))
+
+
+def with_rank(df: DataFrame, ranks: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the rank of its value; missing keys and values have theirs."""
+    named = ranks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*by, value])], F.col("rank").alias(name))
+    same = F.lit(True)
+    for i, k in enumerate([*by, value]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(named, same).drop(*[f"_k{i}" for i in range(len(by) + 1)])
 
 
 def combined_condition_u(df: DataFrame, by: list[str], condition: list[str], side: Column, value: str, row: str, n_shuffles: int) -> DataFrame:
@@ -180,12 +207,12 @@ def combined_condition_u(df: DataFrame, by: list[str], condition: list[str], sid
 
 def _u_by_rows(rows: DataFrame, by: list[str], condition: list[str], n_shuffles: int) -> DataFrame:
     value, row = "_v", "_row"
-    both = rows.groupBy(*by, *condition).agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"), F.sum("_a").alias("_na"), F.count("*").alias("_nn")).where("_lo = 0 AND _hi = 1")
+    both = stage(rows.groupBy(*by, *condition).agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"), F.sum("_a").alias("_na"), F.count("*").alias("_nn")).where("_lo = 0 AND _hi = 1"))
     keys = [*by, *condition]
-    ranked = rows.join(both, keys).withColumn("_r", average_rank(keys, value))
-    tried = shuffles(ranked, n_shuffles, row)
-    place = F.row_number().over(Window.partitionBy(*keys, "shuffle").orderBy("order", row))
-    tried = tried.withColumn("_in", F.when(F.col("shuffle") == 0, F.col("_a") == 1).otherwise(place <= F.col("_na")))
+    ranks = average_ranks(rows.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, value)
+    ranked = stage(with_rank(rows.join(both, keys), ranks, keys, value, "_r"))
+    true = ranked.withColumns({"shuffle": F.lit(0), "_in": F.col("_a") == 1})
+    tried = true.unionByName(drawn(ranked, keys, n_shuffles, row, "_na").withColumn("_in", F.col("_first")).drop("order", "_first"))
     u = tried.groupBy(*keys, "shuffle", "_na", "_nn").agg(F.sum(F.when(F.col("_in"), F.col("_r"))).alias("_s"))
     u = u.withColumn("_u", F.col("_s") - F.col("_na") * (F.col("_na") + 1) / 2).groupBy(*by, "shuffle").agg((F.sum("_u") / F.sum("_nn")).alias("u"))
     obs = u.where("shuffle = 0").select(*by, F.col("u").alias("_o"))
@@ -201,9 +228,10 @@ def paired_pre_post(points: DataFrame, events: DataFrame, keys: list[str], by: l
     pairs = peri_event_join(points, events, keys, pre, post)
     n = pairs.groupBy(*by, event, unit).agg(F.sum((F.col("dt") >= 0).cast("double")).alias("_post"), F.sum((F.col("dt") < 0).cast("double")).alias("_pre"))
     d = n.withColumn("_d", F.col("_post") / post - F.col("_pre") / pre).where("_d <> 0")
-    d = d.withColumn("_abs", F.round(F.abs("_d"), 12)).withColumn("_r", average_rank([*by, unit], "_abs"))
-    ties = d.groupBy(*by, unit, "_abs").agg(F.count("*").alias("_t")).groupBy(*by, unit).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_c"))
-    w = d.groupBy(*by, unit).agg(F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"), F.count("*").alias("n")).join(ties, [*by, unit])
+    d = stage(d.groupBy(*by, unit, F.round(F.abs("_d"), 12).alias("_abs")).agg(F.count("*").alias("_n"), F.sum((F.col("_d") > 0).cast("long")).alias("_up")))
+    ranked = with_rank(d, average_ranks(d, [*by, unit], "_abs"), [*by, unit], "_abs", "_r")
+    t = F.col("_n").cast("double")  # rows of equal size; a long's cube ends at two million
+    w = ranked.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*by, unit])).groupBy(*by, unit).agg(F.sum(F.col("_up") * F.col("_r")).alias("w_plus"), F.sum("_n").alias("n"), F.sum(t * t * t - t).alias("_c"))
     n_ = F.col("n").cast("double")
     var = n_ * (n_ + 1) * (2 * n_ + 1) / 24 - F.col("_c") / 48
     return w.withColumn("z", F.try_divide(F.col("w_plus") - n_ * (n_ + 1) / 4, F.sqrt(F.when(var > 0, var)))).drop("_c")
@@ -233,10 +261,9 @@ def difference_test(df: DataFrame, by: list[str], row: str, right: Column, value
 
 
 def _difference_by_rows(rows: DataFrame, by: list[str], n_shuffles: int) -> DataFrame:
-    sizes = rows.groupBy(*by).agg(F.sum("_a").alias("_n"))
-    tried = shuffles(rows.join(sizes, by), n_shuffles, "_row")
-    place = F.row_number().over(Window.partitionBy(*by, "shuffle").orderBy("order", "_row"))
-    tried = tried.withColumn("_in", F.when(F.col("shuffle") == 0, F.col("_a") == 1).otherwise(place <= F.col("_n")))
+    sizes = stage(rows.groupBy(*by).agg(F.sum("_a").alias("_n")))
+    true = rows.withColumns({"shuffle": F.lit(0), "_in": F.col("_a") == 1})
+    tried = true.unionByName(drawn(rows.join(sizes, by), by, n_shuffles, "_row", "_n").withColumn("_in", F.col("_first")).drop("order", "_first", "_n"))
     stat = tried.groupBy(*by, "shuffle").agg(F.abs(F.avg(F.when(F.col("_in"), F.col("_v"))) - F.avg(F.when(~F.col("_in"), F.col("_v")))).alias("stat"))
     return p_value(stat, by, "stat")
 
@@ -254,8 +281,15 @@ def contiguous_folds(df: DataFrame, by: list[str], order: str, folds: int) -> Da
 
 
 def rank_corr(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.select(*by, average_rank(by, x).alias("_x"), average_rank(by, y).alias("_y"))
-    return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"))
+    """(by, rho): Spearman's correlation, of rows counted by their two values; null where one does not vary."""
+    n = stage(df.groupBy(*by, F.col(x).alias("_vx"), F.col(y).alias("_vy")).agg(F.count("*").alias("_n")))
+    both = with_rank(with_rank(n, average_ranks(n, by, "_vx"), by, "_vx", "_x"), average_ranks(n, by, "_vy"), by, "_vy", "_y")
+    weighted = lambda *c: F.sum(math.prod((F.col(k) for k in c), start=F.col("_n").cast("double")))
+    sums = both.groupBy(*by).agg(
+        weighted().alias("n"), weighted("_x").alias("x"), weighted("_y").alias("y"), weighted("_x", "_x").alias("xx"), weighted("_y", "_y").alias("yy"), weighted("_x", "_y").alias("xy"),
+        ((F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))).alias("varies"),
+    )
+    return sums.select(*by, F.when(F.col("varies"), F.expr("(xy - x * y / n) / sqrt((xx - x * x / n) * (yy - y * y / n))")).alias("rho"))
 
 
 def resample_latencies(df: DataFrame, by: list[str], row: str, latency: str, n_shuffles: int) -> DataFrame:
