@@ -54,9 +54,17 @@ def gaussian_kernel(sigma_bins: float, causal: bool = False, half: int | None =
 
 def smooth_counts(raster: DataFrame, by: list[str], sigma_bins: float, causal: bool = False, value: str = "n") -> DataFrame:
     """(by, bin, smooth): convolution of each group's bins with a Gaussian; missing bins count as 0."""
-    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in gaussian_kernel(sigma_bins, causal)])
-    spread = raster.withColumn("_tap", F.explode(taps)).select(*by, (F.col("bin") + F.col("_tap.k")).alias("bin"), (F.col(value) * F.col("_tap.w")).alias("_p"))
-    return spread.groupBy(*by, "bin").agg(F.sum("_p").alias("smooth")).join(raster.select(*by, "bin"), [*by, "bin"])
+    weights = dict(gaussian_kernel(sigma_bins, causal))
+    low, high = min(weights), max(weights)
+    taps = F.array(*[F.lit(weights.get(k, 0.0)) for k in range(low, high + 1)])
+    known = raster.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, "bin"]))
+    # a bin's window holds the bins that reach it, so no row is multiplied
+    near = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col("bin").cast("int").alias("bin"), F.col(value).cast("double").alias("v"))))
+    near = near.over(Window.partitionBy(*by).orderBy("bin").rangeBetween(-high, -low))
+    cells = known.select(*by, "bin", near.alias("_near"), F.col("bin").cast("int").alias("_at"))
+    part = lambda x: x["v"] * F.element_at(taps, F.col("_at") - x["bin"] + (1 - low))
+    total = F.when(F.size("_near") > 0, F.aggregate("_near", F.lit(0.0), lambda acc, x: acc + part(x)))
+    return cells.select(*by, "bin", total.alias("smooth"))
 
 
 def depth_time_counts(points: DataFrame, by: list[str], depth: str, on: str, depth_step: float, time_step: float) -> DataFrame:

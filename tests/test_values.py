@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evtspark.operators import fits as fi
 from evtspark.operators import match as ma
+from evtspark.operators import raster as ra
 from evtspark.operators import regions as rg
 from evtspark.operators import signal as sg
 from evtspark.operators import stats as st
@@ -279,3 +280,28 @@ def test_equal_counts_by_slices(spark):
         got = ma.equalise_counts(df, ["g"], "c", F.struct("h", "k"), cap, width=10.0)
         assert sorted(r.k for r in got.collect()) == sorted(r.k for r in want.collect())
         assert sorted(got.columns) == ["c", "g", "h", "k"]
+
+
+def test_rank_corr_of_counted_values(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, 300).astype(float), rng.normal(size=300).round(1) * 1e3
+    rank = lambda v: np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
+    rows = [("a", float(p), float(q)) for p, q in zip(x, y, strict=True)] + [("b", 1.0, float(q)) for q in y[:9]]
+    got = {r.k: r.rho for r in st.rank_corr(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert abs(got["a"] - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-9 and got["b"] is None
+    counts = spark.createDataFrame([("a", 2.0, 3), ("a", -1.0, 2), ("a", 7.0, 1), (None, 2.0, 1)], "k string, v double, _n long")
+    assert {(r.k, r.v): r["rank"] for r in st.average_ranks(counts, ["k"], "v").collect()} == {("a", -1.0): 1.5, ("a", 2.0): 4.0, ("a", 7.0): 6.0, (None, 2.0): 1.0}
+
+
+def test_smoothing_does_not_multiply_rows(spark):
+    rng = random.Random(8)
+    rows = [(g, b, rng.randrange(5) if rng.random() < 0.9 else None) for g in "ab" for b in sorted(rng.sample(range(20), 12))]
+    df = spark.createDataFrame(rows, "g string, bin int, n int")
+    for causal in (False, True):
+        w = dict(ra.gaussian_kernel(1.0, causal))
+        made = ra.smooth_counts(df, ["g"], 1.0, causal)
+        got = {(r.g, r.bin): r.smooth for r in made.collect()}
+        assert len(got) == len(rows)
+        for g, b, _ in rows:
+            assert abs(got[g, b] - sum(n * w.get(b - c, 0.0) for h, c, n in rows if h == g and n is not None)) < 1e-9
+        assert "Generate" not in made._jdf.queryExecution().toString()
