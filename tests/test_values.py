@@ -305,3 +305,21 @@ def test_smoothing_does_not_multiply_rows(spark):
         for g, b, _ in rows:
             assert abs(got[g, b] - sum(n * w.get(b - c, 0.0) for h, c, n in rows if h == g and n is not None)) < 1e-9
         assert "Generate" not in made._jdf.queryExecution().toString()
+
+
+def test_blocks_leave_the_best_and_the_sums(spark, monkeypatch):
+    monkeypatch.setattr(su, "BLOCK_COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (25, 8)).astype(float)  # few values: equal correlations and constant columns
+    x[3] = 1.0
+    cells = [("k", c, r, float(x[c, r])) for c in range(25) for r in range(8) if rng.random() < 0.9]
+    df = spark.createDataFrame(cells, "g string, c long, r int, v double")
+    pick = lambda m: sorted((r.a, r.b, r.rank) for r in ma.top_n(m.withColumn("r", F.round("r", 9)), ["g", "a"], "r", 3, "b").collect())
+    few = su.corr_matrix(df, df, "r", "c", "c", "v", by=["g"], best=(3, 9))
+    assert pick(few) == pick(su.corr_matrix(df, df, "r", "c", "c", "v", by=["g"]))
+    assert few.count() <= 25 * 3 * 4
+    halves = [df.where("r < 4"), df.where("r >= 4")]
+    whole = [su.corr_matrix(h, h, "r", "c", "c", "v", by=["g"]) for h in halves]
+    want, got = (m.first().stability for m in (su.correlation_stability(*whole, ["g"]), su.stability_of_columns(*halves, "r", "c", "v", ["g"])))
+    assert abs(want - got) < 1e-9
+    assert su.stability_of_columns(*halves, "r", "c", "v", ["g"], min_pairs=1000).first().stability is None
