@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtspark.staging import stage
+
 
 def event_design(events: DataFrame, by: list[str], feature: str, bin_col: str, value: str, lags: tuple[int, int]) -> DataFrame:
     """(by, bin, feature, value): a row per event and lag; equal cells add up; cells of value 0 do not exist."""
@@ -432,6 +434,7 @@ def neurometric_fit(rows: DataFrame, features: list[str], label: str, fold: str,
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    rows = stage(rows.select(*features, label, fold))  # MLlib reads them again for every fit and score; texts need not be
     made = VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip").transform(rows)
     train, test = made.where(F.col(fold) == 0), made.where(F.col(fold) != 0)
     scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(train)

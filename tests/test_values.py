@@ -323,3 +323,15 @@ def test_blocks_leave_the_best_and_the_sums(spark, monkeypatch):
     want, got = (m.first().stability for m in (su.correlation_stability(*whole, ["g"]), su.stability_of_columns(*halves, "r", "c", "v", ["g"])))
     assert abs(want - got) < 1e-9
     assert su.stability_of_columns(*halves, "r", "c", "v", ["g"], min_pairs=1000).first().stability is None
+
+
+def test_features_are_made_once_for_all_passes(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(x):
+        seen.add(1)
+        return float(x % 7)
+
+    rows = spark.range(80).select(F.udf(made, "double")("id").alias("f"), (F.col("id") % 3 % 2).cast("int").alias("y"), (F.col("id") % 2).alias("fold"))
+    assert fi.neurometric_fit(rows, ["f"], "y", "fold").first().n == 40
+    assert seen.value == 80
