@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtspark.operators.scan import first_rows
+from evtspark.operators.summary import LIST_COLUMNS, best_of_both, most_columns, packed_columns
 from evtspark.staging import stage
 
+#: Partners that a column lists when pairs are matched, at least and at most, and about how many rows a side lists in all between them.
+LISTED, LISTED_MOST, LISTED_ROWS = 16, 64, 1_000_000
+
 
 def is_member(a: DataFrame, b: DataFrame, value: str, pos: str) -> DataFrame:
     """``a`` with ``position``: the first position of its value in ``b``, null if there is none."""
@@ -189,3 +195,42 @@ def greedy_match(corr: DataFrame, by: list[str], a: str, b: str, score: str) ->
     taken = left if taken is None else taken
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), a, b)) - 1
     return taken.select(*by, a, b, place.alias("step"))
+
+
+def _without(df: DataFrame, by: list[str], on: str, taken: DataFrame, unit: str) -> DataFrame:
+    """Rows of ``df`` whose key and ``on`` are no key and ``unit`` that is taken; a null key is a key."""
+    gone = taken.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col(unit).alias("_gone"))
+    same = F.col(on) == F.col("_gone")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(gone, same, "left_anti")
+
+
+def greedy_match_columns(first: DataFrame, second: DataFrame, by: list[str], row: str, col: str, value: str) -> DataFrame:
+    """(by, a, b, step): ``greedy_match`` by the correlations of two long matrices' columns, without a row per pair.
+
+    Each column has a list of its best partners, best first. The pairs that are first in
+    both lists are those that the greedy order takes, and leave the lists; once there are
+    none, as lists have run out, the columns left are listed anew. A listing leaves the
+    best pair at least, lists of LISTED and more leave few columns to the next.
+    """
+    sides = [stage(packed_columns(df.where(F.col(col).isNotNull()), by, col, row, value)) for df in (first, second)]
+    w = Window.partitionBy(*by, "side", F.when(F.col("side") == 0, F.col("a")), F.when(F.col("side") == 1, F.col("b"))).orderBy(F.desc("r"), "a", "b")
+    taken = None
+    while True:
+        most = most_columns(sides, by)
+        left = stage(best_of_both(*sides, by, max(LISTED, min(LISTED_MOST, LISTED_ROWS // max(most, 1))), max(1, math.ceil(most / LIST_COLUMNS))))
+        if taken is not None and left.isEmpty():
+            break
+        found = None
+        while True:
+            top = left.withColumn("_k", F.row_number().over(w)).where("_k = 1")
+            now = stage(top.groupBy(*by, "a", "b").agg(F.count("*").alias("_n"), F.max("r").alias("r")).where("_n = 2").drop("_n"))
+            if found is not None and now.isEmpty():
+                break
+            found = now if found is None else found.unionByName(now)
+            left = stage(_without(_without(left, by, "a", now, "a"), by, "b", now, "b"))
+        taken = found if taken is None else taken.unionByName(found)
+        sides = [stage(_without(s, by, "c", found, unit)) for s, unit in zip(sides, "ab", strict=True)]
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("r"), "a", "b")) - 1
+    return taken.select(*by, "a", "b", place.alias("step"))

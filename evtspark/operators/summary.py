@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from evtspark.staging import stage
 
-#: Columns of a correlation matrix's block.
-BLOCK_COLUMNS = 1024
+#: Columns of a correlation matrix's block, and of a block that leaves only the best pairs, which is worked off in stripes.
+BLOCK_COLUMNS, LIST_COLUMNS, STRIPE = 1024, 8192, 512
 
 
 def session_performance(trials: DataFrame, by: list[str], kind: str, side: str, feedback: str, response: str) -> DataFrame:
@@ -152,7 +152,7 @@ def variance_explained(df: DataFrame, by: list[str], actual: str, predicted: str
 FLAT = 1e-13
 
 
-def _columns(df: DataFrame, by: list[str], col: str, row: str, value: str) -> DataFrame:
+def packed_columns(df: DataFrame, by: list[str], col: str, row: str, value: str) -> DataFrame:
     """(by, c, rows, values): every column of a long matrix as two arrays, cells without row or value left out."""
     cell = F.struct(F.col(row).alias("row"), F.col(value).cast("double").alias("v"))
     whole = df.where(F.col(row).isNotNull() & F.col(value).isNotNull())
@@ -160,9 +160,14 @@ def _columns(df: DataFrame, by: list[str], col: str, row: str, value: str) -> Da
     return made.select(*by, "c", F.col("m.row").alias("rows"), F.col("m.v").alias("values"))
 
 
+def most_columns(sides: list[DataFrame], by: list[str]) -> int:
+    """Columns that a key has at most on a side."""
+    return max(s.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 for s in sides)
+
+
 def _blocks(sides: list[DataFrame], by: list[str]) -> int:
     """Blocks a side that leave some BLOCK_COLUMNS columns of a key to each."""
-    return max(1, math.ceil(max(s.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 for s in sides) / BLOCK_COLUMNS))
+    return max(1, math.ceil(most_columns(sides, by) / BLOCK_COLUMNS))
 
 
 def _pairs_of_blocks(left: DataFrame, right: DataFrame, by: list[str], blocks: int):
@@ -174,8 +179,8 @@ def _pairs_of_blocks(left: DataFrame, right: DataFrame, by: list[str], blocks: i
     return dealt[0].groupBy(*by, "_i", "_j").cogroup(dealt[1].groupBy(*by, "_i", "_j"))
 
 
-def _correlations(x_rows, x_values, y_rows, y_values):
-    """(n, r) of two blocks of columns: numbers of common rows, and correlations over them, nan where one does not vary."""
+def _stripes(x_rows, x_values, y_rows, y_values, step: int):
+    """(first, n, r) of every ``step`` columns of one block with another block: numbers of common rows, and correlations over them, nan where one does not vary."""
     import numpy as np
 
     _, at = np.unique(np.concatenate([*x_rows, *y_rows]), return_inverse=True)
@@ -188,19 +193,81 @@ def _correlations(x_rows, x_values, y_rows, y_values):
         out[k, at], some[k, at] = v - (np.bincount(k, v, len(size)) / size)[k], 1.0
         return out, some
 
-    (u, mu), (v, mv) = matrix(x_rows, x_values, at[:split]), matrix(y_rows, y_values, at[split:])
-    if mu.all() and mv.all():  # a column's sums are the same in all its pairs
-        n, su, sv = np.full((1, 1), float(width)), u.sum(1)[:, None], v.sum(1)[None, :]
-        qu, qv = (u * u).sum(1)[:, None], (v * v).sum(1)[None, :]
-    else:
-        n, su, sv = mu @ mv.T, u @ mv.T, mu @ v.T
-        qu, qv = (u * u) @ mv.T, mu @ (v * v).T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        both = u @ v.T - su * sv / n
-        xu, xv = qu - su * su / n, qv - sv * sv / n
-        some = (xu > FLAT * qu) & (xv > FLAT * qv)  # less is what rounding leaves of a constant
-        r = np.where(some, both / np.sqrt(np.where(some, xu * xv, 1.0)), np.nan)
-    return np.broadcast_to(n, r.shape), r.clip(-1, 1)
+    (us, mus), (v, mv) = matrix(x_rows, x_values, at[:split]), matrix(y_rows, y_values, at[split:])
+    full = mus.all() and mv.all()
+    for low in range(0, len(us), step):
+        u, mu = us[low : low + step], mus[low : low + step]
+        if full:  # a column's sums are the same in all its pairs
+            n, su, sv = np.full((1, 1), float(width)), u.sum(1)[:, None], v.sum(1)[None, :]
+            qu, qv = (u * u).sum(1)[:, None], (v * v).sum(1)[None, :]
+        else:
+            n, su, sv = mu @ mv.T, u @ mv.T, mu @ v.T
+            qu, qv = (u * u) @ mv.T, mu @ (v * v).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            both = u @ v.T - su * sv / n
+            xu, xv = qu - su * su / n, qv - sv * sv / n
+            some = (xu > FLAT * qu) & (xv > FLAT * qv)  # less is what rounding leaves of a constant
+            r = np.where(some, both / np.sqrt(np.where(some, xu * xv, 1.0)), np.nan)
+        yield low, np.broadcast_to(n, r.shape), r.clip(-1, 1)
+
+
+def _correlations(x_rows, x_values, y_rows, y_values):
+    """(n, r) of two blocks of columns, as of one stripe."""
+    return next(_stripes(x_rows, x_values, y_rows, y_values, len(x_rows)))[1:]
+
+
+def _largest(r, n: int):
+    """(row, column) of each row's n largest, of equals those of the smaller column; -inf is none."""
+    import numpy as np
+
+    keep = r > -np.inf
+    if n < r.shape[1]:
+        least = np.partition(r, r.shape[1] - n, axis=1)[:, r.shape[1] - n, None]
+        keep &= r >= least
+        many = keep.sum(1) > n
+        over, same = r[many] > least[many], r[many] == least[many]
+        keep[many] = over | (same & (np.cumsum(same, 1) <= n - over.sum(1, keepdims=True)))
+    return np.nonzero(keep)
+
+
+def best_of_both(left: DataFrame, right: DataFrame, by: list[str], n: int, blocks: int) -> DataFrame:
+    """(by, side, a, b, r) of two tables of packed columns (by, c, rows, values): each a's n largest correlations as side 0, each b's as side 1.
+
+    Of equals those of the smaller other column. A pair of blocks, of ``blocks`` a side,
+    is worked off in stripes and leaves n pairs of each of its columns.
+    """
+
+    def product(x, y):
+        import numpy as np
+        import pandas as pd
+
+        names = [*by, "side", "a", "b", "r"]
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=names)
+        x, y = x.sort_values("c"), y.sort_values("c")
+        rows, columns = [], []
+        for low, m, r in _stripes(x["rows"], x["values"], y["rows"], y["values"], STRIPE):
+            r = np.where((m > 0) & ~np.isnan(r), r, -np.inf)
+            i, j = _largest(r, n)
+            rows.append((i + low, j, r[i, j]))
+            j, i = _largest(np.ascontiguousarray(r.T), n)
+            columns.append((i + low, j, r[i, j]))
+        i, j, r = (np.concatenate(c) for c in zip(*columns, strict=True))
+        order = np.lexsort((i, -r, j))
+        i, j, r = i[order], j[order], r[order]
+        first = np.arange(len(j)) - np.searchsorted(j, j) < n
+        rows.append((i[first], j[first], r[first]))
+        i, j, r = (np.concatenate(c) for c in zip(*rows, strict=True))
+        out = pd.DataFrame({"side": np.repeat([0, 1], [len(i) - first.sum(), first.sum()]), "a": x["c"].to_numpy()[i], "b": y["c"].to_numpy()[j], "r": r})
+        for k in by:
+            out[k] = x[k].iloc[0]
+        return out[names]
+
+    kinds = [f"{k} {left.schema[k].dataType.simpleString()}" for k in by]
+    schema = ", ".join([*kinds, "side int", f"a {left.schema['c'].dataType.simpleString()}", f"b {right.schema['c'].dataType.simpleString()}", "r double"])
+    found = _pairs_of_blocks(left, right, by, blocks).applyInPandas(product, schema)
+    w = Window.partitionBy(*by, "side", F.when(F.col("side") == 0, F.col("a")), F.when(F.col("side") == 1, F.col("b"))).orderBy(F.desc("r"), "a", "b")
+    return found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
 def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, value: str, by: list[str] | None = None, blocks: int | None = None, best: tuple[int, int] | None = None) -> DataFrame:
@@ -214,7 +281,7 @@ def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, va
     choice of n by key and a needs.
     """
     by = by or []
-    sides = [_columns(a, by, a_col, row, value), _columns(b, by, b_col, row, value)]
+    sides = [packed_columns(a, by, a_col, row, value), packed_columns(b, by, b_col, row, value)]
     if blocks is None:
         sides = [stage(s) for s in sides]
         blocks = _blocks(sides, by)
@@ -250,8 +317,8 @@ def corr_matrix(a: DataFrame, b: DataFrame, row: str, a_col: str, b_col: str, va
 
 def stability_of_columns(first: DataFrame, second: DataFrame, row: str, col: str, value: str, by: list[str], min_pairs: int = 3) -> DataFrame:
     """(by, stability): ``correlation_stability`` of two long matrices' columns; a pair of blocks leaves only the sums of its pairs."""
-    whole = _columns(first, by, col, row, value).withColumnsRenamed({"rows": "rows1", "values": "values1"})
-    whole = stage(whole.join(_columns(second, by, col, row, value).withColumnsRenamed({"rows": "rows2", "values": "values2"}), [*by, "c"]))
+    whole = packed_columns(first, by, col, row, value).withColumnsRenamed({"rows": "rows1", "values": "values1"})
+    whole = stage(whole.join(packed_columns(second, by, col, row, value).withColumnsRenamed({"rows": "rows2", "values": "values2"}), [*by, "c"]))
     names = ["pairs", "n", "x", "y", "xx", "yy", "xy"]
 
     def product(x, y):

@@ -268,11 +268,8 @@ def g4_fit_line(spark, d):
 
 @query()
 def m24_greedy_match(spark, d):
-    from evtspark.operators.summary import corr_matrix
-
-    e = _long(spark, d).withColumn("day", F.col("vec_id") % 2)
-    c = corr_matrix(e.where("day = 0"), e.where("day = 1"), "pix", "vec_id", "vec_id", "x").withColumn("days", F.lit("0-1"))
-    return ma.greedy_match(c, ["days"], "a", "b", "r")
+    e = _long(spark, d).withColumn("day", F.col("vec_id") % 2).withColumn("days", F.lit("0-1"))
+    return ma.greedy_match_columns(e.where("day = 0"), e.where("day = 1"), ["days"], "pix", "vec_id", "x")
 
 
 __all__ = ["Window"]

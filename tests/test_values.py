@@ -335,3 +335,26 @@ def test_features_are_made_once_for_all_passes(spark):
     rows = spark.range(80).select(F.udf(made, "double")("id").alias("f"), (F.col("id") % 3 % 2).cast("int").alias("y"), (F.col("id") % 2).alias("fold"))
     assert fi.neurometric_fit(rows, ["f"], "y", "fold").first().n == 40
     assert seen.value == 80
+
+
+def test_lists_of_partners_give_the_greedy_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ma, "LISTED", 2)
+    monkeypatch.setattr(ma, "LISTED_ROWS", 0)
+    monkeypatch.setattr(ma, "LIST_COLUMNS", 16)
+    monkeypatch.setattr(su, "STRIPE", 5)
+    rng = np.random.default_rng(7)
+    cells = [(k, side, c, r, float(x)) for k in ("x", None) for side, n in ((0, 40), (1, 33)) for c in range(n) for r, x in enumerate(np.ones(9) if c == 3 else rng.normal(size=9)) if rng.random() < 0.95]
+    df = spark.createDataFrame(cells, "days string, side int, c long, row int, v double")
+    first, second = df.where("side = 0"), df.where("side = 1")
+    asked = su.corr_matrix(first, second, "row", "c", "c", "v", by=["days"]).where("days IS NOT NULL")
+    want = {tuple(r) for r in ma.greedy_match(asked, ["days"], "a", "b", "r").collect()}
+    got = {tuple(r) for r in ma.greedy_match_columns(first, second, ["days"], "row", "c", "v").collect()}
+    assert len(want) == 32 and {r for r in got if r[0]} == want and len(got) == 64
+    few = su.best_of_both(*(su.packed_columns(s, ["days"], "c", "row", "v") for s in (first, second)), ["days"], 2, 2)
+    assert few.count() <= 2 * 2 * (40 + 33)
+
+
+def test_largest_takes_the_smaller_column_of_equals():
+    r = np.array([[0.5, 0.9, 0.5, 0.5, -np.inf], [-np.inf, 0.1, -np.inf, 0.2, -np.inf], [0.3, 0.3, 0.3, 0.3, 0.3]])
+    assert [x.tolist() for x in su._largest(r, 2)] == [[0, 0, 1, 1, 2, 2], [0, 1, 1, 3, 0, 1]]
+    assert su._largest(r, 9)[0].tolist() == [0] * 4 + [1] * 2 + [2] * 5
