@@ -173,6 +173,7 @@ def _blocks(sides: list[DataFrame], by: list[str]) -> int:
 def _pairs_of_blocks(left: DataFrame, right: DataFrame, by: list[str], blocks: int):
     """The cogroup of every two blocks of a key's columns."""
     dealt = []
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # of one table twice, a cogroup gets the second without its columns
     for df, own, other in ((left, "_i", "_j"), (right, "_j", "_i")):
         df = df.withColumn(own, F.pmod(F.xxhash64("c"), F.lit(blocks)))
         dealt.append(df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
@@ -357,16 +358,75 @@ def lagged_noise_corr(resp: DataFrame, by: list[str], unit: str, trial: list[str
     bins after ``b`` in one trial. Bins beyond a trial's ends meet nothing. The
     nearest lag of equal ones is taken, the negative one first; pairs without
     spread at any lag go, gain is null without one at lag 0. ``blocks``: as for
-    ``corr_matrix``, 1 where a key has few units.
+    ``corr_matrix``, 1 where a key has few units. Units are packed once for all lags;
+    in one block, many keys are dealt to a group.
     """
     mean = F.avg(value).over(Window.partitionBy(*by, unit, *stimulus, bin_col))
-    rest = resp.select(*by, F.col(unit).alias("_u"), F.to_json(F.struct(*trial)).alias("_t"), F.col(bin_col).alias("_b"), (F.col(value) - mean).alias("_v"))
-    tried = rest.withColumn("_lag", F.explode(F.array(*[F.lit(k) for k in lags])))
-    side = lambda at: tried.withColumn("_row", F.concat_ws("@", "_t", at))
-    r = corr_matrix(side(F.col("_b")), side(F.col("_b") + F.col("_lag")), "_row", "_u", "_u", "_v", by=[*by, "_lag"], blocks=blocks).where("a <> b AND r IS NOT NULL")
-    best = F.max_by(F.struct(F.col("_lag").alias("lag"), "r"), F.struct(F.round(F.abs("r"), 12), -F.abs("_lag"), -F.col("_lag")))
-    out = r.groupBy(*by, "a", "b").agg(best.alias("x"), F.max(F.when(F.col("_lag") == 0, F.col("r"))).alias("_zero"))
-    return out.select(*by, "a", "b", "x.lag", "x.r", (F.col("x.r") - F.col("_zero")).alias("gain"))
+    rest = resp.select(*by, F.col(unit).alias("c"), F.to_json(F.struct(*trial)).alias("_t"), F.col(bin_col).cast("long").alias("_b"), (F.col(value) - mean).cast("double").alias("_v"))
+    cells = F.collect_list(F.struct("_b", "_v"))
+    packed = rest.where("_t IS NOT NULL AND _b IS NOT NULL AND _v IS NOT NULL").groupBy(*by, "c", "_t").agg(cells.alias("_m"))
+    packed = packed.groupBy(*by, "c").agg(F.collect_list(F.struct("_t", F.col("_m._b").alias("b"), F.col("_m._v").alias("v"))).alias("_m"))
+    packed = stage(packed.select(*by, "c", F.col("_m._t").alias("trials"), F.transform("_m.b", F.size).alias("sizes"), F.flatten("_m.b").alias("bins"), F.flatten("_m.v").alias("values")))
+    names = [*by, "a", "b", "lag", "r", "gain"]
+
+    def best(x, y):
+        import numpy as np
+        import pandas as pd
+
+        size = lambda s: np.array([len(c) for c in s["bins"]])
+        codes, _ = pd.factorize(np.concatenate([*x["trials"], *y["trials"]]))
+        trials = np.repeat(codes, np.concatenate([*x["sizes"], *y["sizes"]]))
+        bins = np.concatenate([*x["bins"], *y["bins"]])
+        nx, ny = size(x), size(y)
+        split, found = nx.sum(), []
+        cut = lambda rows, n: np.split(rows, np.cumsum(n)[:-1])
+        low = bins.min() - max(0, -min(lags))
+        width = bins.max() + max(0, *lags) - low + 1
+        place = trials * width + bins - low  # never of two trials, however the lag
+        left = cut(place[:split], nx)
+        for lag in lags:
+            n, r = _correlations(left, x["values"], cut(place[split:] + lag, ny), y["values"])
+            found.append(np.where(n > 0, r, np.nan))
+        r = np.array(found)
+        order = sorted(range(len(lags)), key=lambda k: (abs(lags[k]), lags[k]))
+        key = np.where(np.isnan(r), -1.0, np.round(np.abs(r), 12))[order]
+        at = np.array(order)[key.argmax(0)]
+        r_best = np.take_along_axis(r, at[None], 0)[0]
+        zero = r[lags.index(0)] if 0 in lags else np.full(r_best.shape, np.nan)
+        a, b = x["c"], y["c"]
+        i, j = np.nonzero(~np.isnan(r_best) & (a[:, None] != b[None, :]))
+        return {"a": a[i], "b": b[j], "lag": np.array(lags)[at[i, j]], "r": r_best[i, j], "gain": (r_best - zero)[i, j]}
+
+    parts = ["c", "trials", "sizes", "bins", "values"]
+
+    def pairs(x, y):
+        import pandas as pd
+
+        made = best(*({c: s[c].to_numpy() for c in parts} for s in (x, y))) if len(x) and len(y) else {}
+        return pd.DataFrame(made | {k: x[k].iloc[0] for k in by if len(made)}, columns=names)
+
+    def dealt(pdf):
+        import numpy as np
+        import pandas as pd
+
+        own = {c: pdf[c].to_numpy() for c in parts}
+        groups = list(pdf.groupby(by, dropna=False, sort=False).indices.values()) if by else [np.arange(len(pdf))]
+        made = [best(x, x) for x in ({c: own[c][g] for c in parts} for g in groups)]
+        out = {c: np.concatenate([m[c] for m in made]) for c in names[len(by) :]}
+        at = np.repeat([g[0] for g in groups], [len(m["r"]) for m in made])
+        return pd.DataFrame(out | {k: pdf[k].to_numpy()[at] for k in by}, columns=names)
+
+    kinds = [f"{k} {resp.schema[k].dataType.simpleString()}" for k in by]
+    kind = resp.schema[unit].dataType.simpleString()
+    schema = ", ".join([*kinds, f"a {kind}", f"b {kind}", "lag int, r double, gain double"])
+    blocks = blocks or _blocks([packed], by)
+    if blocks == 1:
+        deals = max(math.ceil(packed.count() / BLOCK_COLUMNS), packed.sparkSession.sparkContext.defaultParallelism)
+        rows = packed.withColumn("_deal", F.pmod(F.xxhash64(*by) if by else F.lit(0), F.lit(deals)))
+        found = rows.repartition(deals, "_deal").groupBy("_deal").applyInPandas(dealt, schema)
+    else:
+        found = _pairs_of_blocks(packed, packed, by, blocks).applyInPandas(pairs, schema)
+    return found.withColumn("gain", F.when(~F.isnan("gain"), F.col("gain")))
 
 
 def correlation_stability(first: DataFrame, second: DataFrame, by: list[str], min_pairs: int = 3) -> DataFrame:

@@ -358,3 +358,22 @@ def test_largest_takes_the_smaller_column_of_equals():
     r = np.array([[0.5, 0.9, 0.5, 0.5, -np.inf], [-np.inf, 0.1, -np.inf, 0.2, -np.inf], [0.3, 0.3, 0.3, 0.3, 0.3]])
     assert [x.tolist() for x in su._largest(r, 2)] == [[0, 0, 1, 1, 2, 2], [0, 1, 1, 3, 0, 1]]
     assert su._largest(r, 9)[0].tolist() == [0] * 4 + [1] * 2 + [2] * 5
+
+
+def test_lagged_noise_deals_many_keys_to_a_group(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, u, t, t % 2, b, float(rng.integers(-2, 3))) for k in range(40) for u in range(3) for t in range(4) for b in range(-3, 3) if rng.random() < 0.9]
+    resp = spark.createDataFrame(rows, "s long, unit long, trial long, stim long, bin long, v double")
+    lags = [-2, -1, 0, 1]
+    made = lambda blocks: {(r.s, r.a, r.b): r for r in su.lagged_noise_corr(resp, ["s"], "unit", ["trial"], ["stim"], "bin", "v", lags, blocks).collect()}
+    one, three = made(1), made(3)
+    assert one.keys() == three.keys() and all(one[k].lag == three[k].lag and math.isclose(one[k].r, three[k].r, abs_tol=1e-9) for k in one)
+    mean = {}
+    for k, u, t, s, b, v in rows:
+        mean.setdefault((k, u, s, b), []).append(v)
+    rest = {(k, u, t, b): v - np.mean(mean[k, u, s, b]) for k, u, t, s, b, v in rows}
+    for (k, a, b), x in one.items():
+        pairs = [(v, rest[k, b, t, i - x.lag]) for (q, u, t, i), v in rest.items() if q == k and u == a and (k, b, t, i - x.lag) in rest]
+        assert math.isclose(x.r, np.corrcoef(np.array(pairs).T)[0, 1], abs_tol=1e-9)
+    plan = su.lagged_noise_corr(resp, ["s"], "unit", ["trial"], ["stim"], "bin", "v", lags, 1)._jdf.queryExecution().toString()
+    assert "_deal" in plan and "Generate" not in plan
