@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtspark.operators.scan import scan
+
 
 @dataclass(frozen=True)
 class ChoiceModel:
@@ -68,23 +70,30 @@ def _spread(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def choice_cells(trials: DataFrame, by: list[str], order: list[str], vis: str, aud: str, response: str, feedback: str, fold: str | None = None) -> DataFrame:
+def choice_cells(trials: DataFrame, by: list[str], order: list[str], vis: str, aud: str, response: str, feedback: str, fold: str | None = None, bucket: float | None = None) -> DataFrame:
     """(by, vis, aud, prev_choice, prev_outcome[, fold], n_right, n): trials counted by condition.
 
     Sizes are over the key's largest. ``response`` is 1 for left, 2 for right; other
     trials are not counted, though they stand before others. prev_choice is -1, 1 or,
     before the first trial and after trials without a choice, 0; prev_outcome is the
-    feedback before, 0 at first.
+    feedback before, 0 at first. With ``bucket`` trials are cut into slices of so much of
+    the first of ``order``, which must leave no ties, and no key is sorted by one task.
     """
-    w, whole = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
     side = F.when(F.col(response) == 2, 1).when(F.col(response) == 1, -1).otherwise(0)
-    size = lambda c: F.coalesce(F.try_divide(F.col(c), F.max(F.abs(c)).over(whole)), F.lit(0.0)).cast("double")
-    rows = trials.select(
-        *by, size(vis).alias("vis"), size(aud).alias("aud"), side.alias("_side"), F.coalesce(F.lag(side).over(w), F.lit(0)).alias("prev_choice"),
-        F.coalesce(F.lag(F.coalesce(F.col(feedback), F.lit(0))).over(w), F.lit(0)).cast("int").alias("prev_outcome"), *([F.col(fold).alias("fold")] if fold else []),
-    )
+    past = {"prev_choice": side, "prev_outcome": F.coalesce(F.col(feedback), F.lit(0))}
+    if bucket is None:
+        w = Window.partitionBy(*by).orderBy(*order)
+        told = trials.withColumns({"_side": side} | {n: F.lag(c).over(w) for n, c in past.items()})
+    else:
+        told = scan(trials.withColumn("_side", side), by, order, bucket, {n: ("lag", c) for n, c in past.items()})
     keys = [*by, *CELL, *(["fold"] if fold else [])]
-    return rows.where("_side <> 0").groupBy(*keys).agg(F.sum((F.col("_side") == 1).cast("double")).alias("n_right"), F.count("*").cast("double").alias("n"))
+    rows = told.select(*by, F.col(vis).alias("vis"), F.col(aud).alias("aud"), "_side", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in past], *([F.col(fold).alias("fold")] if fold else []))
+    # sizes are over the largest of all trials, those without a choice too: rows of equal values are counted before they are divided
+    n = rows.groupBy(*keys).agg(F.sum((F.col("_side") == 1).cast("double")).alias("n_right"), F.sum((F.col("_side") != 0).cast("double")).alias("n"))
+    whole = Window.partitionBy(*by)
+    size = lambda c: F.coalesce(F.try_divide(F.col(c), F.max(F.abs(c)).over(whole)), F.lit(0.0)).cast("double")
+    sized = n.select(*by, *[size(c).alias(c) for c in ("vis", "aud")], *keys[len(by) + 2 :], "n_right", "n")
+    return sized.where("n > 0").groupBy(*keys).agg(F.sum("n_right").alias("n_right"), F.sum("n").alias("n"))
 
 
 def choice_entropy(cells: DataFrame, by: list[str]) -> DataFrame:

@@ -268,11 +268,23 @@ def _difference_by_rows(rows: DataFrame, by: list[str], n_shuffles: int) -> Data
     return p_value(stat, by, "stat")
 
 
-def cv_split(df: DataFrame, by: list[str], row: str, folds: int, seed: int = 1) -> DataFrame:
-    """``fold`` per class: rows dealt in turn in a seeded order; classes of one row go."""
-    w = Window.partitionBy(*by).orderBy(shuffle_hash(F.col(row), F.lit(seed)), row)
-    out = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where("_n > 1")
-    return out.withColumn("fold", (F.row_number().over(w) - 1) % folds).drop("_n")
+def cv_split(df: DataFrame, by: list[str], row: str, folds: int, seed: int = 1, width: float | None = None) -> DataFrame:
+    """``fold`` per class: rows dealt in turn in a seeded order; classes of one row go.
+
+    With ``width`` (of ORDERS) the order is cut into slices that are sorted apart, for
+    classes too long for one task's sort; ``row`` must differ within a class then.
+    """
+    order = shuffle_hash(F.col(row), F.lit(seed))
+    if width is None:
+        w = Window.partitionBy(*by).orderBy(order, row)
+        out = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where("_n > 1")
+        return out.withColumn("fold", (F.row_number().over(w) - 1) % folds).drop("_n")
+    sizes = df.groupBy(*by).count().where(F.col("count") == 1).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)])
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    placed = scan(df.join(sizes, same, "left_anti").withColumn("_order", order), by, ["_order", row], width, {"_place": ("sum", F.lit(1).cast("long"))})
+    return placed.withColumn("fold", ((F.col("_place") - 1) % folds).cast("int")).drop("_order", "_place")
 
 
 def contiguous_folds(df: DataFrame, by: list[str], order: str, folds: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evtspark.operators import additive as ad
@@ -23,11 +22,16 @@ CELLS = f"""{TR}, o AS (SELECT subject, row_number() OVER (PARTITION BY subject
 
 
 def _cells(spark, d):
-    from evtspark.operators.stats import cv_split
-
-    number = F.row_number().over(Window.partitionBy("subject").orderBy("session", "ln", "pk", "rt")).cast("long")
-    t = _trials(spark, d).select("subject", number.alias("rid"), (F.col("level") - 2).alias("vis"), (F.col("side") * 2 - 3).alias("aud"), "response", "feedback")
-    return ch.choice_cells(cv_split(t, ["subject", "response"], "rid", 5), ["subject"], ["rid"], "vis", "aud", "response", "feedback", "fold")
+    """A subject is a fifth of all trials: they are numbered, dealt to folds and looked back on in slices."""
+    from evtspark.operators.scan import scan
+    from evtspark.operators.stats import ORDERS, cv_split
+    from evtspark.staging import stage
+
+    order = ["session", "ln", "pk", "rt"]
+    t = _trials(spark, d).select("subject", *order, (F.col("level") - 2).alias("vis"), (F.col("side") * 2 - 3).alias("aud"), "response", "feedback")
+    numbered = stage(scan(t, ["subject"], order, 100_000.0, {"rid": ("sum", F.lit(1).cast("long"))}).drop(*order))
+    folded = stage(cv_split(numbered, ["subject", "response"], "rid", 5, width=ORDERS))
+    return ch.choice_cells(folded, ["subject"], ["rid"], "vis", "aud", "response", "feedback", "fold", bucket=100_000.0)
 
 
 @query(f"WITH {CELLS} SELECT subject, vis, aud, CAST(prev_choice AS INT) AS prev_choice, CAST(prev_outcome AS INT) AS prev_outcome, CAST(fold AS INT) AS fold, n_right, n FROM cells")

@@ -304,3 +304,16 @@ def test_fingerprints_equal_the_plain_loop(spark):
             assert (r.a, r.b) == (a, b) and r.fingerprint == pytest.approx(f, abs=1e-9) and r.population == pytest.approx(p, abs=1e-9)
     none = um.fingerprint_match(long(c1), long(c2), spark.createDataFrame([], "days string, a int, b int"), ["days"])
     assert none.count() == 0  # nothing to compare with
+
+
+def test_cells_by_slices_are_those_of_one_window(spark):
+    from evtspark.operators.stats import cv_split
+
+    rng = np.random.default_rng(8)
+    rows = [(s, i, float(rng.integers(-2, 3)), float(rng.integers(-1, 2)), int(rng.integers(0, 3)) if i != 7 else 9, int(rng.integers(-1, 2))) for s in ("s", "t") for i in range(300)]
+    t = spark.createDataFrame(rows, TRIALS.removesuffix(", fold int"))
+    folds = [cv_split(t, ["subject", "response"], "i", 5, **k) for k in ({}, {"width": 9000.0})]
+    assert [x.dtypes for x in folds][0] == folds[1].dtypes and folds[0].count() == 598
+    cells = [ch.choice_cells(f, ["subject"], ["i"], "vis", "aud", "response", "feedback", "fold", **k) for f, k in zip(folds, ({}, {"bucket": 40.0}), strict=True)]
+    one, many = (sorted(tuple(r) for r in c.collect()) for c in cells)
+    assert one == many and cells[0].dtypes == cells[1].dtypes
