@@ -7,11 +7,17 @@ fitted iteratively see one group's aggregated cells.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtspark.staging import stage
 
+#: Rows of the small groups that one task's call solves, about, and cells of the designs that are solved at once.
+DEALT_ROWS, SOLVED = 100_000, 4_000_000
+
 
 def event_design(events: DataFrame, by: list[str], feature: str, bin_col: str, value: str, lags: tuple[int, int]) -> DataFrame:
     """(by, bin, feature, value): a row per event and lag; equal cells add up; cells of value 0 do not exist."""
@@ -446,11 +452,18 @@ def neurometric_fit(rows: DataFrame, features: list[str], label: str, fold: str,
     return scored.agg(F.lit(auc).alias("auc"), F.avg((F.col("_y") == F.col("_p")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
+@lru_cache(maxsize=1024)
+def _shuffled(n: int, repeat: int):
+    import numpy as np
+
+    return np.random.default_rng(repeat).permutation(n)
+
+
 def stratified_folds(y, folds: int, repeat: int):
     """Fold of each row: the rows of a class, shuffled by the repeat's number as seed, are dealt in turn, on from where the class before ended."""
     import numpy as np
 
-    order = np.random.default_rng(repeat).permutation(len(y))
+    order = _shuffled(len(y), repeat)
     order = order[np.argsort(y[order], kind="stable")]
     fold = np.empty(len(y), int)
     fold[order] = np.arange(len(y)) % folds
@@ -462,32 +475,57 @@ def windowed_decoding(raster: DataFrame, trials: DataFrame, by: list[str], trial
 
     ``accuracy`` is the share of trials that are told right when left out, over all
     repeats, ``majority`` that of always saying the commoner label of the trials that
-    were not left out. Both are null for fewer trials than folds. A group is one
-    session's window: its trials by its units.
+    were not left out. Both are null for fewer trials than folds. A session's window
+    is solved as one table, its trials by its units; many of them are dealt to a group.
     """
     windows = F.filter(F.sequence(F.lit(0), F.lit(n_bins - width), F.lit(step)), lambda s: (s <= F.col("bin")) & (F.col("bin") < s + width))
     x = raster.withColumn("window", F.explode(windows)).groupBy(*by, "window", trial, unit).agg(F.avg("n").alias("x"))
-    rows = x.join(trials.select(*by, trial, F.col(label).cast("double").alias("label_")), [*by, trial])
+    rows = stage(x.join(trials.select(*by, trial, F.col(label).cast("double").alias("label_")), [*by, trial]))
     schema = ", ".join([*(f"{k} {raster.schema[k].dataType.simpleString()}" for k in by), "window int, accuracy double, majority double, n int"])
 
-    def solve(pdf):
+    def solve(trial_, unit_, y, x):
         import numpy as np
         import pandas as pd
 
-        m = pdf.pivot_table(index=[trial, "label_"], columns=unit, values="x", fill_value=0).sort_index()
-        y, X = m.index.get_level_values(1).to_numpy(float) > 0.5, np.c_[np.ones(len(m)), m.to_numpy(float)]
-        right = common = 0
-        for repeat in range(repeats if len(y) >= folds else 0):
-            fold = stratified_folds(y, folds, repeat)
-            for k in range(folds):
-                a, b = fold != k, fold == k
-                w = np.linalg.solve(X[a].T @ X[a] + reg * np.eye(X.shape[1]), X[a].T @ (2.0 * y[a] - 1))
-                right += int(((X[b] @ w > 0) == y[b]).sum())
-                common += int((y[b] == (2 * y[a].sum() > a.sum())).sum())
-        acc, maj = (v / (repeats * len(y)) if len(y) >= folds else np.nan for v in (right, common))
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), int(pdf["window"].iloc[0]), acc, maj, len(y)]], columns=[*by, "window", "accuracy", "majority", "n"]).astype({"window": "int32", "n": "int32"})
-
-    made = rows.groupBy(*by, "window").applyInPandas(solve, schema)
+        some = ~(np.isnan(y) | np.isnan(x) | pd.isna(unit_))
+        trial_, unit_, y, x = trial_[some], unit_[some], y[some], x[some]
+        if not len(y):
+            return np.nan, np.nan, 0
+        at, unit_ = pd.factorize(trial_, sort=True)[0], pd.factorize(unit_, sort=True)[0]
+        _, first, row = np.unique(at + 1j * y, return_index=True, return_inverse=True)  # a trial's labels are rows of their own
+        shape = len(first), unit_.max() + 1
+        total, many = (np.bincount(row * shape[1] + unit_, w, shape[0] * shape[1]).reshape(shape) for w in (x, None))
+        y, X = y[first] > 0.5, np.c_[np.ones(len(first)), total / np.maximum(many, 1)]
+        if len(y) < folds:
+            return np.nan, np.nan, len(y)
+        used = np.concatenate([stratified_folds(y, folds, repeat)[None] != np.arange(folds)[:, None] for repeat in range(repeats)])
+        right, common, size = 0, 0, max(1, SOLVED // X.size)
+        for low in range(0, len(used), size):
+            a = used[low : low + size]
+            t = (X * a[:, :, None]).transpose(0, 2, 1)
+            w = np.linalg.solve(t @ X + reg * np.eye(X.shape[1]), (t @ (2.0 * y - 1))[:, :, None])[:, :, 0]
+            told = w @ X.T
+            for k in np.flatnonzero(((np.abs(told) < 1e-9) & ~a).any(1)):  # the sign of no more than rounding is that of the fold solved by itself
+                v = np.linalg.solve(X[a[k]].T @ X[a[k]] + reg * np.eye(X.shape[1]), X[a[k]].T @ (2.0 * y[a[k]] - 1))
+                told[k, ~a[k]] = X[~a[k]] @ v
+            right += int((((told > 0) == y) & ~a).sum())
+            common += int((((2 * (a & y).sum(1) > a.sum(1))[:, None] == y) & ~a).sum())
+        return right / (repeats * len(y)), common / (repeats * len(y)), len(y)
+
+    def dealt(pdf):
+        import numpy as np
+        import pandas as pd
+
+        keys = [*by, "window"]
+        own = [pdf[c].to_numpy() for c in (trial, unit)] + [pdf[c].to_numpy(float) for c in ("label_", "x")]
+        groups = list(pdf.groupby(keys, dropna=False, sort=False).indices.values())
+        out = pdf[keys].iloc[[g[0] for g in groups]].reset_index(drop=True)
+        out[["accuracy", "majority", "n"]] = np.array([solve(*(c[g] for c in own)) for g in groups], float)
+        return out.astype({"window": "int32", "n": "int32"})
+
+    keys = [*by, "window"]
+    deals = max(math.ceil(rows.count() / DEALT_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+    made = rows.withColumn("_deal", F.pmod(F.xxhash64(*keys), F.lit(deals))).repartition(deals, "_deal").groupBy("_deal").applyInPandas(dealt, schema)
     return made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("accuracy", "majority")})
 
 

@@ -377,3 +377,28 @@ def test_lagged_noise_deals_many_keys_to_a_group(spark):
         assert math.isclose(x.r, np.corrcoef(np.array(pairs).T)[0, 1], abs_tol=1e-9)
     plan = su.lagged_noise_corr(resp, ["s"], "unit", ["trial"], ["stim"], "bin", "v", lags, 1)._jdf.queryExecution().toString()
     assert "_deal" in plan and "Generate" not in plan
+
+
+def test_decoding_deals_many_sessions_to_a_group(spark):
+    rng = np.random.default_rng(13)
+    raster = [(s, e, u, b, float(rng.normal())) for s in range(50) for e in range(7) for u in range(2) for b in range(3) if rng.random() < 0.9]
+    frame = spark.createDataFrame(raster, "s long, event long, unit long, bin long, n double")
+    trials = spark.createDataFrame([(s, e, float((s + e) % 2)) for s in range(50) for e in range(7)], "s long, event long, y double")
+    made = fi.windowed_decoding(frame, trials, ["s"], "event", "unit", "y", 2, 1, 3)
+    assert "_deal" in made._jdf.queryExecution().toString()
+    got = {(r.s, r.window): r for r in made.collect()}
+    assert len(got) == 100
+    for (s, w), r in got.items():
+        alone = {}
+        for _, e, u, b, n in (x for x in raster if x[0] == s and w <= x[3] < w + 2):
+            alone.setdefault((e, u), []).append(n)
+        events = sorted({e for e, _ in alone})
+        x = np.array([[1.0] + [np.mean(alone[e, u]) if (e, u) in alone else 0.0 for u in range(2)] for e in events])
+        y, right = np.array([(s + e) % 2 == 1 for e in events]), 0
+        for repeat in range(5):
+            fold = fi.stratified_folds(y, 5, repeat)
+            for k in range(5):
+                a = fold != k
+                v = np.linalg.solve(x[a].T @ x[a] + np.eye(3), x[a].T @ (2.0 * y[a] - 1))
+                right += ((x[~a] @ v > 0) == y[~a]).sum()
+        assert r.n == len(events) and math.isclose(r.accuracy, right / 5 / len(events))
