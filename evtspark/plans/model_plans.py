@@ -29,9 +29,9 @@ def _cells(spark, d):
 
     order = ["session", "ln", "pk", "rt"]
     t = _trials(spark, d).select("subject", *order, (F.col("level") - 2).alias("vis"), (F.col("side") * 2 - 3).alias("aud"), "response", "feedback")
-    numbered = stage(scan(t, ["subject"], order, 100_000.0, {"rid": ("sum", F.lit(1).cast("long"))}).drop(*order))
+    numbered = stage(scan(t, ["subject"], order, 20_000.0, {"rid": ("sum", F.lit(1).cast("long"))}).drop(*order))
     folded = stage(cv_split(numbered, ["subject", "response"], "rid", 5, width=ORDERS))
-    return ch.choice_cells(folded, ["subject"], ["rid"], "vis", "aud", "response", "feedback", "fold", bucket=100_000.0)
+    return ch.choice_cells(folded, ["subject"], ["rid"], "vis", "aud", "response", "feedback", "fold", bucket=20_000.0)
 
 
 @query(f"WITH {CELLS} SELECT subject, vis, aud, CAST(prev_choice AS INT) AS prev_choice, CAST(prev_outcome AS INT) AS prev_outcome, CAST(fold AS INT) AS fold, n_right, n FROM cells")
