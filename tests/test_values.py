@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from evtspark.operators import signal as sg
 from evtspark.operators import stats as st
 from evtspark.operators import summary as su
 from evtspark.operators import timejoin as tj
+from evtspark.plans import catalogue
+from tests.oracle import difference
 
 
 def test_greedy_match_takes_the_plain_greedy_pairs(spark):
@@ -325,6 +328,48 @@ def test_blocks_leave_the_best_and_the_sums(spark, monkeypatch):
     assert su.stability_of_columns(*halves, "r", "c", "v", ["g"], min_pairs=1000).first().stability is None
 
 
+def test_wide_blocks_give_their_pairs_by_and_by(spark, monkeypatch):
+    monkeypatch.setattr(su, "BLOCK_COLUMNS", 4)
+    monkeypatch.setattr(su, "LIST_COLUMNS", 20)
+    monkeypatch.setattr(su, "STRIPE", 3)
+    rng = np.random.default_rng(23)
+    keys, far = [None, *range(31)], 2**60 + 1  # ids that a float does not hold
+    first = [(k, f"c{c}", r, float(rng.normal())) for k in keys for c in range(22) for r in range(6) if rng.random() < 0.9]
+    second = [(k, far + c if c else None, r, float(rng.normal())) for k in keys[:-1] for c in range(25) for r in range(6) if rng.random() < 0.9]
+    frame = lambda rows, kind: spark.createDataFrame(rows, f"k int, c {kind}, r int, v double")
+    a, b = frame(first, "string"), frame(second, "long")
+    sides = [su.packed_columns(s, ["k"], "c", "r", "v") for s in (a, b)]
+    assert su._wide_blocks(sides, ["k"]) == 2  # of 20 columns, not 7 of BLOCK_COLUMNS
+    assert su._wide_blocks([s.where("k = 3") for s in sides], ["k"]) == 7  # one key for all cores
+    monkeypatch.setattr(su, "BLOCK_CELLS", 30)
+    assert su._wide_blocks(sides, ["k"]) in (5, 6)  # some 25 columns of 5.4 cells
+    left, right = {}, {}
+    for rows, side in ((first, left), (second, right)):
+        for k, c, r, v in rows:
+            if k is None or k > 28:
+                side.setdefault((k, c), {})[r] = v
+    a, b = (s.where("k IS NULL OR k > 28") for s in (a, b))
+    want = {(k, c, e) for k, c in left for q, e in right if k == q and left[k, c].keys() & right[q, e].keys()}
+    for blocks in (None, 1, 2):
+        got = {(r.k, r.a, r.b): r.r for r in su.corr_matrix(a, b, "r", "c", "c", "v", by=["k"], blocks=blocks).collect()}
+        assert got.keys() == want
+        for (k, c, e), r in got.items():
+            both = sorted(left[k, c].keys() & right[k, e].keys())
+            if len(both) > 2:
+                assert math.isclose(r, np.corrcoef([left[k, c][i] for i in both], [right[k, e][i] for i in both])[0, 1], abs_tol=1e-9)
+
+
+def test_next_label_is_as_in_sql_for_any_label(spark, tmp_path):
+    rng = np.random.default_rng(24)
+    labels = [None, -11, -1, 0, 0, 1, 8, 9, 10, 19, 29]
+    rows = [(k, [float(x) for x in rng.normal(size=64)], label) for k, label in enumerate(labels * 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").toPandas().to_parquet(tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    for name in ("a23_corr_matrix", "t2_top_n_matches"):
+        assert (found := difference(catalogue.QUERIES[name](spark, str(tmp_path)), con, catalogue.ORACLE_SQL[name])) is None, found
+
+
 def test_features_are_made_once_for_all_passes(spark):
     seen = spark.sparkContext.accumulator(0)
 
