@@ -382,6 +382,27 @@ def test_features_are_made_once_for_all_passes(spark):
     assert seen.value == 80
 
 
+def test_copies_of_columns_stand_side_by_side(spark, monkeypatch):
+    """Equal r come in runs, and a column with many copies fills no block."""
+    monkeypatch.setattr(su, "COPIES", 8, raising=False)
+    monkeypatch.setattr(su, "BLOCK_COLUMNS", 32)
+    monkeypatch.setattr(su, "LIST_COLUMNS", 64)
+    rng = np.random.default_rng(24)
+    kinds = rng.normal(size=(13, 10))
+    of = {copy * 1000 + kind: kind for kind in range(13) for copy in range(6 if kind else 100)}
+    rows = [(c, r, float(kinds[k, r])) for c, k in of.items() for r in range(10)]
+    a, b = (spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "c long, r int, v double") for _ in range(2))
+    got = su.corr_matrix(a, b, "r", "c", "c", "v").collect()
+    want = np.corrcoef(kinds)
+    assert sorted((x.a, x.b) for x in got) == sorted((i, j) for i in of for j in of)
+    assert all(math.isclose(x.r, want[of[x.a], of[x.b]], abs_tol=1e-9) for x in got)
+    runs = sum(round(x.r, 6) != round(y.r, 6) for x, y in zip(got, got[1:], strict=False))
+    assert runs < len(got) / 6
+    packed = su._with_copies(su.packed_columns(a, [], "c", "r", "v"), [])
+    sizes = [x["count"] for x in su._dealt(packed, packed, 6, ("_h", "_part"))[0].where("_j = 0").groupBy("_i").count().collect()]
+    assert sum(sizes) == len(of) and max(sizes) < 64
+
+
 def test_lists_of_partners_give_the_greedy_pairs(spark, monkeypatch):
     monkeypatch.setattr(ma, "LISTED", 2)
     monkeypatch.setattr(ma, "LISTED_ROWS", 0)
